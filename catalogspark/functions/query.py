@@ -171,10 +171,11 @@ def best_term_weight(alts: list[str], fields: dict) -> Column:
 
 
 def fuzzy_word(text, word: str) -> Column:
-    """The first closest word within one (short words) or two edits; NULL without one."""
+    """The first closest word within one (short words) or two byte edits; NULL without one."""
+    as_bytes = lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
     limit = 1 if len(word.encode()) <= 4 else 2
     words = F.filter(F.split(col(text), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"), lambda w: (w != "") & (F.octet_length(w) + 2 >= len(word.encode())))
-    scored = F.transform(words, lambda w, i: F.struct(F.levenshtein(w, F.lit(word), limit).alias("d"), i.alias("i"), w.alias("w")))
+    scored = F.transform(words, lambda w, i: F.struct(F.levenshtein(as_bytes(w), as_bytes(F.lit(word)), limit).alias("d"), i.alias("i"), w.alias("w")))
     return F.array_min(F.filter(scored, lambda s: s["d"] >= 0))["w"]
 
 

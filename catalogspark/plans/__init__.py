@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "filters", "joins", "aggregates", "windows", "ordering", "scalars", "dates", "places", "dupes",
-           "tags", "search", "generation", "corrections", "organize", "lifecycle", "stream")
+MODULES = ("aggregates", "filters", "ordering", "sources", "joins")
 
 
 def load_all():

@@ -99,7 +99,7 @@ def human_size(n) -> Column:
     out = F.format_string("%d B", col(n).cast("bigint"))
     for scale, unit in steps[1:]:
         x = v / F.lit(scale)
-        text = F.when(x < 10, F.format_string("%.1f " + unit, x)).otherwise(F.format_string("%.0f " + unit, x))
+        text = F.when(x < 10, F.format_string("%.1f " + unit, F.bround(x, 1))).otherwise(F.format_string("%.0f " + unit, F.bround(x, 0)))
         out = F.when(v >= scale, text).otherwise(out)
     return out
 

@@ -145,10 +145,10 @@ def excerpt(text, term, around: int = 24) -> Column:
 
 
 def meta_line(lines, term) -> Column:
-    """The metadata line that holds the first hit, at most 80 characters."""
+    """The metadata line that holds the first hit, at most 80 bytes."""
     w = term if isinstance(term, Column) else F.lit(term)
     line = F.get(F.filter(F.split(col(lines), "\n"), lambda x: F.contains(x, w)), F.lit(0))
-    return F.when(F.length(line) > 80, F.concat(F.left(line, F.lit(80)), F.lit("…"))).otherwise(line)
+    return F.when(F.octet_length(line) > 80, F.concat(utf8_cut(line, 80), F.lit("…"))).otherwise(line)
 
 
 def placeholder_text(text, file_stem) -> Column:

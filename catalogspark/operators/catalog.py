@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import SEARCHABLE
-from ..functions.text import alower, path_under
+from ..functions.text import alower, path_under, utf8_cut
 
 
 def n_true(c: Column) -> Column:
@@ -51,8 +51,8 @@ def meta_lines_to_map(lines: DataFrame, id_: str = "id", line: str = "line", pos
     """"key type value" lines to ``id, meta map<key, struct<t, v>>``; bulky binary values are dropped, long ones cut."""
     p = r"^(\S+) +(\S+) *(.*)$"
     g = lambda i: F.regexp_extract(line, p, i)
-    rows = lines.where(F.col(line).rlike(r"^\S+ +\S")).select(id_, F.col(pos).alias("_p"), g(1).alias("k"), g(2).alias("t"), F.left(g(3), F.lit(4000)).alias("v"),
-                                                               F.length(g(3)).alias("_n"))
+    rows = lines.where(F.col(line).rlike(r"^\S+ +\S")).select(id_, F.col(pos).alias("_p"), g(1).alias("k"), g(2).alias("t"), utf8_cut(g(3), 4000).alias("v"),
+                                                               F.octet_length(g(3)).alias("_n"))
     rows = rows.where(~((F.col("t") == "Undefined") & (F.col("_n") > 200)))
     # the values of one key of one file: as long as the file's own metadata
     per_key = rows.groupBy(id_, "k").agg(F.max_by("t", "_p").alias("t"), F.array_sort(F.collect_list(F.struct("_p", "v"))).alias("vs"))

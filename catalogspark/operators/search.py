@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import MIN_MATCH, best_term_weight, term_weight
-from ..functions.text import alower, basename, col, excerpt
+from ..functions.text import alower, basename, col, excerpt, utf8_cut
 
 OWN_NAMESPACE = "Xmp.catalog."
 
@@ -116,9 +116,9 @@ def ask_decision_log(blended: DataFrame, text: str, name: str = "name") -> DataF
 
 def describe_doc(desc, prompt, date, prec, path) -> Column:
     """Compact text of a candidate for a rating request."""
-    d = F.translate(F.left(col(desc), F.lit(220)), "\n", " ")
+    d = F.translate(utf8_cut(desc, 220), "\n", " ")
     own = F.split_part(col(prompt), F.lit("\nNegative: "), F.lit(1))
-    short = F.translate(F.when(F.length(own) > 240, F.concat(F.left(own, F.lit(240)), F.lit("…"))).otherwise(own), "\n", " ")
+    short = F.translate(F.when(F.octet_length(own) > 240, F.concat(utf8_cut(own, 240), F.lit("…"))).otherwise(own), "\n", " ")
     day = F.left(col(date), F.when(col(prec) == "year", 4).when(col(prec) == "month", 7).otherwise(10))
     return F.concat(d, F.when(F.coalesce(col(prompt), F.lit("")) != "", F.concat(F.lit(" | prompt: "), short)).otherwise(""),
                     F.lit(" | date "), F.coalesce(day, F.lit("unknown")), F.lit(" | file "), basename(path))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars")
+MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars", "dates")
 
 
 def load_all():

@@ -332,8 +332,11 @@ def clean_value(spark, sf):
     return view(spark, sf, "docs").select("id", tx.clean_value("body", 200).alias("v"))
 
 
-@query("describe_doc", using=("docs",), oracle="""
-SELECT id, translate(left(body,220),chr(10),' ')||CASE WHEN id%2=0 THEN ' | prompt: '||translate(CASE WHEN length(body)>240 THEN left(body,240)||'…' ELSE body END,chr(10),' ') ELSE '' END
+CUT = lambda n: f"CASE WHEN strlen(body)<={n} THEN body ELSE left(body, list_max(list_filter(range({n // 4},{n + 1}), lambda k: strlen(left(body,k::int))<={n}))::int)"
+
+
+@query("describe_doc", using=("docs",), oracle=f"""
+SELECT id, translate({CUT(220)} END,chr(10),' ')||CASE WHEN id%2=0 THEN ' | prompt: '||translate({CUT(240)}||'…' END,chr(10),' ') ELSE '' END
  ||' | date '||CASE WHEN id%5=0 THEN 'unknown' ELSE left('2018-01-01 00:00:00', CASE id%3 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 4 END) END||' | file '||regexp_extract(src_path,'([^/]*)$',1) AS txt FROM docs""")
 def describe_doc(spark, sf):
     d = view(spark, sf, "docs")

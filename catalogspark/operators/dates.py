@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import civil
 from ..functions import evidence as ev
 from ..functions.text import alower, col, dirname
+from .ranking import stage
 
 REVIEW_BELOW = 0.55
 CLOSE_CALL_MARGIN = 0.70
@@ -30,7 +31,7 @@ def union_candidates(df: DataFrame, now: int, min_year: int = 1900, *, meta=None
     df = df.withColumn("_all", F.concat(*parts)).withColumn("candidates", ev.weigh("_all", now, min_year))
     if extra is not None:
         df = df.withColumn("candidates", F.concat("candidates", extra))
-    return df.drop("_embedded", "_named", "_foldered", "_all")
+    return stage(df.drop("_embedded", "_named", "_foldered", "_all"), "evidence")
 
 
 def manual_candidate(value) -> Column:
@@ -54,7 +55,7 @@ def rank_candidates(df: DataFrame) -> DataFrame:
     live = F.filter(F.transform("candidates", lambda c, i: ev.with_facts(c, i)), lambda c: c["weight"] > 0)
     df = df.withColumn("_live", live).withColumn("_scored", F.transform("_live", scored))
     keyed = F.sort_array(F.transform("_scored", _rank_key), asc=False)
-    return df.withColumn("ranked", F.transform(keyed, lambda k: k["c"])).drop("_live", "_scored")
+    return stage(df.withColumn("ranked", F.transform(keyed, lambda k: k["c"])).drop("_live", "_scored"), "ranked")
 
 
 def _pick_winner(ranked: Column) -> Column:
@@ -108,7 +109,7 @@ def decide_dates(df: DataFrame, review_below: float = REVIEW_BELOW) -> DataFrame
     """Decide every row from its ``candidates``. No shuffle: all evidence travels with its asset."""
     df = rank_candidates(df).withColumn("winner", _pick_winner(F.col("ranked")))
     df = df.withColumn("alternatives", F.when(F.col("winner").isNotNull(), distinct_alternatives(F.col("ranked"), F.col("winner"))))
-    return _with_outcome(df, review_below)
+    return stage(_with_outcome(df, review_below), "decided")
 
 
 def blend_arbiter(decided: DataFrame, answers: DataFrame, key: str = "id", weight: float = ARBITER_WEIGHT,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Count the rows a stage hands on. Conditions on its results stay above it instead of being rewritten in terms of its inputs,
+    which for long evidence expressions would repeat them for every condition."""
+    return df.observe(f"{name}-{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``row_number()`` per ``keys`` (none = over everything).
 

@@ -25,9 +25,12 @@ def build_session(master: str | None = None, name: str = "catalogspark", **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Metadata times are zone-less; the session zone is fixed so that epoch values read the same everywhere."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set the two session options the plans rely on."""
+    # metadata times are zone-less; a fixed zone makes epoch values read the same everywhere
+    # evidence lists are computed once per row; pruning their fields through explode would compute them once per field
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.optimizer.expression.nestedPruning.enabled", "false")):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -130,8 +130,8 @@ def place_counts(df: DataFrame, limit: int = 8) -> DataFrame:
 def older_runs(df: DataFrame, keep: int) -> DataFrame:
     """Runs beyond the newest ``keep``: everything below the smallest of the newest ones."""
     runs = df.select("run").distinct()
-    newest = runs.orderBy(F.desc("run")).limit(keep).agg(F.min("run").alias("_from"), F.count("*").alias("_n"))
-    return runs.join(newest, (F.col("run") < F.col("_from")) & (F.col("_n") >= keep), "inner").select("run")
+    newest = runs.orderBy(F.desc("run")).limit(keep).agg(F.when(F.count("*") >= keep, F.min("run")).alias("_from"))
+    return runs.where(F.col("run") < newest.scalar())
 
 
 def keep_last_runs(df: DataFrame, keep: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars", "dates", "dupes", "places", "tags", "windows")
+MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars", "dates", "dupes", "places", "tags", "windows", "search", "generation", "corrections")
 
 
 def load_all():

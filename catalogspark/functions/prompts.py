@@ -72,11 +72,15 @@ def settings_parts(text) -> Column:
 _PAIR = r'([^:]+?): *("(?:[^"\\]|\\.)*"|.*?)(?:, +|,? *$)'
 
 
-def settings_value(params, key: str) -> Column:
-    """Value of the last "key: value" pair; quoted values may hold commas."""
-    pairs = F.arrays_zip(F.regexp_extract_all(col(params), F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(col(params), F.lit(_PAIR), F.lit(2)).alias("v"))
-    v = F.get(F.reverse(F.filter(pairs, lambda p: F.trim(F.regexp_replace(p["k"], "^[ ,]+", "")) == key)), F.lit(0))["v"]
-    return F.nullif(F.trim(F.regexp_replace(v, '^"|"$', "")), F.lit(""))
+def settings_pairs(params) -> Column:
+    """``array<struct<k,v>>`` of "key: value, key: value"; quoted values may hold commas."""
+    zipped = F.arrays_zip(F.regexp_extract_all(col(params), F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(col(params), F.lit(_PAIR), F.lit(2)).alias("v"))
+    return F.transform(zipped, lambda p: F.struct(F.trim(F.regexp_replace(p["k"], "^[ ,]+", "")).alias("k"), F.nullif(F.trim(F.regexp_replace(p["v"], '^"|"$', "")), F.lit("")).alias("v")))
+
+
+def pair_value(pairs, key: str) -> Column:
+    """The last value of a key."""
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(col(pairs), lambda p: p["k"] == key), lambda p: p["v"])), -1)
 
 
 def lora_tags(prompt, hashes) -> Column:

@@ -8,65 +8,76 @@ from pyspark.sql import functions as F
 from ..functions import prompts as pr
 from ..functions.text import alower, basename
 from ..session import ensure_checkpoint_dir
+from .ranking import stage
 
 COLUMNS = ["tool", "field", "prompt", "negative", "model", "sampler", "scheduler", "seed", "size", "steps", "cfg", "loras"]
 _LORAS = "array<struct<name:string,strength:double>>"
 
 
-def _info(tool, field, **kw) -> Column:
+def _info(tool, **kw) -> Column:
     """One settings struct; missing parts are NULL."""
     types = {"steps": "bigint", "cfg": "double", "loras": _LORAS}
-    vals = {"tool": tool, "field": field, **kw}
+    vals = {"tool": tool, "field": F.col("_g.field"), **kw}
     return F.struct(*[(vals[c] if isinstance(vals.get(c), Column) else F.lit(vals.get(c))).cast(types.get(c, "string")).alias(c) for c in COLUMNS])
 
 
-def from_settings_text(text: Column, field: str) -> Column:
-    p = pr.settings_parts(text)
-    v = lambda k: pr.settings_value(p["params"], k)
-    return _info("A1111", field, prompt=p["prompt"], negative=p["negative"], model=F.coalesce(v("Model"), v("Model hash")), sampler=v("Sampler"),
-                 scheduler=v("Schedule type"), seed=v("Seed"), size=v("Size"), steps=pr.leading_int(v("Steps")), cfg=pr.leading_number(v("CFG scale")),
-                 loras=pr.lora_tags(p["prompt"], v("Lora hashes")))
+def _json(key: str) -> Column:
+    return F.get_json_object(F.col("_g.text"), "$." + key)
 
 
-def from_json_settings(text: Column, field: str) -> Column:
-    """JSON settings of two tool families; NULL when neither fits."""
-    g = lambda k: F.get_json_object(text, "$." + k)
-    s = lambda k: g("sui_image_params." + k)
-    swarm = _info("SwarmUI", field, prompt=s("prompt"), negative=s("negativeprompt"), model=s("model"), sampler=s("sampler"), scheduler=s("scheduler"), seed=s("seed"),
-                  size=F.concat(s("width"), F.lit("x"), s("height")), steps=pr.leading_int(s("steps")), cfg=pr.leading_number(s("cfgscale")))
-    tool = F.when(pr.any_of([g(k).isNotNull() for k in ("base_model", "fooocus_scheme", "styles")]), "Fooocus").otherwise("JSON")
-    flat = _info(tool, field, prompt=g("prompt"), negative=g("negative_prompt"), model=pr.first_set(g("base_model"), g("model")), sampler=g("sampler"),
-                 scheduler=g("scheduler"), seed=g("seed"), size=g("resolution"), steps=pr.leading_int(g("steps")), cfg=pr.leading_number(g("guidance_scale")))
-    return F.when(g("sui_image_params").isNotNull(), swarm).when(g("prompt").isNotNull(), flat)
+def _size(w: Column, h: Column) -> Column:
+    return F.concat(w, F.lit("x"), h)
 
 
-def extract_generation(df: DataFrame, chunks: str = "chunks", meta: str | None = None) -> DataFrame:
-    """Add ``gen``: typed settings from text chunks (``map<string,string>``), else from metadata text; sources by priority."""
+def _sources(chunks: str, meta: str | None) -> Column:
+    """The first embedded text that holds settings, as ``struct<kind, field, text>``; the order is the tools' priority."""
     c = lambda k: F.try_element_at(F.col(chunks), F.lit(k))
-    where = "text chunk: parameters"
-    par = c("parameters")
-    from_par = F.when(F.ltrim(par).startswith("{"), from_json_settings(par, where)).when(F.trim(par) != "", from_settings_text(par, where))
-    inv = c("invokeai_metadata")
-    i = lambda k: F.get_json_object(inv, "$." + k)
-    invoke = F.when(F.get_json_object(inv, "$").startswith("{"), _info(
-        "InvokeAI", "text chunk: invokeai_metadata", prompt=i("positive_prompt"), negative=i("negative_prompt"), model=i("model.name"), seed=i("seed"),
-        scheduler=i("scheduler"), steps=pr.leading_int(i("steps")), cfg=pr.leading_number(i("cfg_scale")), size=F.concat(i("width"), F.lit("x"), i("height"))))
-    com = c("Comment")
-    n = lambda k: F.get_json_object(com, "$." + k)
-    novel = F.when(F.contains(c("Software"), F.lit("NovelAI")) & F.get_json_object(com, "$").startswith("{"), _info(
-        "NovelAI", "text chunk: Comment", prompt=F.coalesce(n("prompt"), c("Description")), negative=n("uc"), model=c("Source"), sampler=n("sampler"), seed=n("seed"),
-        steps=pr.leading_int(n("steps")), cfg=pr.leading_number(n("scale"))))
-    options = [from_par, invoke, novel]
+    src = lambda cond, kind, field, text: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), text.alias("text")))
+
+    def json_kinds(text, field):
+        g = lambda k: F.get_json_object(text, "$." + k).isNotNull()
+        return [src(F.ltrim(text).startswith("{") & g("sui_image_params"), "SwarmUI", field, text), src(F.ltrim(text).startswith("{") & g("prompt"), "JSON", field, text)]
+
+    where, par = "text chunk: parameters", c("parameters")
+    options = [*json_kinds(par, where), src((F.trim(par) != "") & ~F.ltrim(par).startswith("{"), "text", where, par),
+               src(F.get_json_object(c("invokeai_metadata"), "$").startswith("{"), "InvokeAI", "text chunk: invokeai_metadata", c("invokeai_metadata")),
+               src(F.contains(c("Software"), F.lit("NovelAI")) & F.get_json_object(c("Comment"), "$").startswith("{"), "NovelAI", "text chunk: Comment", c("Comment"))]
     if meta is not None:
         m = lambda k: F.get(F.try_element_at(F.col(meta), F.lit(k))["v"], F.lit(0))
         for k in ("Exif.Photo.UserComment", "Exif.Image.ImageDescription", "Xmp.exif.UserComment"):
             v = F.trim(F.regexp_replace(m(k), "^charset=[^ ]* ?", ""))
-            settings = F.contains(v, F.lit("\nSteps: ")) | F.contains(v, F.lit("Negative prompt:")) | v.startswith("Steps: ")
-            options.append(F.when(settings, from_settings_text(v, k)).when(v.startswith("{"), from_json_settings(v, k)))
+            options += [src(v.rlike(r"(?s)^Steps: |\nSteps: |Negative prompt:"), "text", k, v), *json_kinds(v, k)]
         for k in ("Xmp.dc.description", "Exif.Image.ImageDescription", "Xmp.iptc.Description"):
             v = F.regexp_replace(m(k), "^lang=[^ ]* ?", "")
-            options.append(F.when(F.contains(v, F.lit("Job ID:")), _info("Midjourney", k, prompt=F.trim(F.split_part(v, F.lit("Job ID:"), F.lit(1))))))
-    return df.withColumn("gen", F.coalesce(*options))
+            options.append(src(F.contains(v, F.lit("Job ID:")), "Midjourney", k, F.trim(F.split_part(v, F.lit("Job ID:"), F.lit(1)))))
+    return F.coalesce(*options)
+
+
+def extract_generation(df: DataFrame, chunks: str = "chunks", meta: str | None = None) -> DataFrame:
+    """Add ``gen``: typed settings from text chunks (``map<string,string>``), else from metadata text.
+
+    The source is chosen first and parsed once.
+    """
+    d = stage(df.withColumn("_g", _sources(chunks, meta)), "settings")
+    d = d.withColumn("_p", F.when(F.col("_g.kind") == "text", pr.settings_parts("_g.text"))).withColumn("_kv", pr.settings_pairs("_p.params"))
+    v = lambda k: pr.pair_value("_kv", k)
+    s = lambda k: _json("sui_image_params." + k)
+    tool = F.when(pr.any_of([_json(k).isNotNull() for k in ("base_model", "fooocus_scheme", "styles")]), "Fooocus").otherwise("JSON")
+    c = lambda k: F.try_element_at(F.col(chunks), F.lit(k))
+    kinds = {
+        "text": _info("A1111", prompt=F.col("_p.prompt"), negative=F.col("_p.negative"), model=F.coalesce(v("Model"), v("Model hash")), sampler=v("Sampler"), scheduler=v("Schedule type"),
+                      seed=v("Seed"), size=v("Size"), steps=pr.leading_int(v("Steps")), cfg=pr.leading_number(v("CFG scale")), loras=pr.lora_tags("_p.prompt", v("Lora hashes"))),
+        "SwarmUI": _info("SwarmUI", prompt=s("prompt"), negative=s("negativeprompt"), model=s("model"), sampler=s("sampler"), scheduler=s("scheduler"), seed=s("seed"),
+                         size=_size(s("width"), s("height")), steps=pr.leading_int(s("steps")), cfg=pr.leading_number(s("cfgscale"))),
+        "JSON": _info(tool, prompt=_json("prompt"), negative=_json("negative_prompt"), model=pr.first_set(_json("base_model"), _json("model")), sampler=_json("sampler"),
+                      scheduler=_json("scheduler"), seed=_json("seed"), size=_json("resolution"), steps=pr.leading_int(_json("steps")), cfg=pr.leading_number(_json("guidance_scale"))),
+        "InvokeAI": _info("InvokeAI", prompt=_json("positive_prompt"), negative=_json("negative_prompt"), model=_json("model.name"), seed=_json("seed"), scheduler=_json("scheduler"),
+                          steps=pr.leading_int(_json("steps")), cfg=pr.leading_number(_json("cfg_scale")), size=_size(_json("width"), _json("height"))),
+        "NovelAI": _info("NovelAI", prompt=F.coalesce(_json("prompt"), c("Description")), negative=_json("uc"), model=c("Source"), sampler=_json("sampler"), seed=_json("seed"),
+                         steps=pr.leading_int(_json("steps")), cfg=pr.leading_number(_json("scale"))),
+        "Midjourney": _info("Midjourney", prompt=F.col("_g.text")),
+    }
+    return d.withColumn("gen", F.coalesce(*[F.when(F.col("_g.kind") == k, info) for k, info in kinds.items()])).drop("_g", "_p", "_kv")
 
 
 # ---- node graphs

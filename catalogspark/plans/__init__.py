@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars", "dates", "dupes", "places", "tags", "windows", "search", "generation", "corrections")
+MODULES = ("aggregates", "filters", "ordering", "sources", "joins", "scalars", "dates", "dupes", "places", "tags", "windows", "search", "generation", "corrections",
+           "organize", "lifecycle", "stream")
 
 
 def load_all():

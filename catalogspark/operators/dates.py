@@ -19,9 +19,9 @@ _FIELDS = (*ev.FACTS, "idx", "day", "ym", "fam", "ub")
 
 
 def union_candidates(df: DataFrame, now: int, min_year: int = 1900, *, meta=None, stem="stem", dirs="dirs", mtime="mtime", btime=None,
-                     bulk=None, extra=None) -> DataFrame:
-    """Add ``candidates``: all evidence of one asset in its fixed order, weighed."""
-    df = ev.with_name_dates(df, F.array(col(stem)), False, "_named", now)
+                     bulk=None, extra=None, named: str | None = None) -> DataFrame:
+    """Add ``candidates``: all evidence of one asset in its fixed order, weighed. ``named`` is a column of name dates found before."""
+    df = df.withColumn("_named", F.col(named)) if named else ev.with_name_dates(df, F.array(col(stem)), False, "_named", now)
     df = ev.with_name_dates(df, F.slice(col(dirs), F.lit(1), F.lit(4)), True, "_foldered")
     parts = []
     if meta is not None:

@@ -10,30 +10,24 @@ from ..functions.text import looks_like_copy
 from .ranking import numbered
 
 
-def collisions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur more than once. The counts combine map-side; hot keys only split the probe side of the join."""
-    multi = df.groupBy(*keys).count().where("count > 1").drop("count")
-    return df.join(multi, keys, "left_semi")
-
-
-def tiered(df: DataFrame, size: str, body: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Survivors of each tier: same size; same size and quick key; same size and full key."""
-    one = collisions(df.where(F.col(size) > 0), [size])
-    two = collisions(one.withColumn("quick", quick_key(body, size)), [size, "quick"])
-    three = collisions(two.withColumn("full", content_key(body)), [size, "full"])
-    return one, two, three
+def content_keys(df: DataFrame, size: str, body: str, *keep: str) -> DataFrame:
+    """Narrow rows with the keys of all tiers, computed where the file is read: contents are never shuffled."""
+    return df.where(F.col(size) > 0).select(*keep, size, quick_key(body, size).alias("quick"), content_key(body).alias("full"), F.sha2(F.col(body), 256).alias("proof"))
 
 
 def collision_tiers(df: DataFrame, size: str, body: str) -> DataFrame:
-    """Groups, files and bytes still in play after each tier."""
-    one, two, three = tiered(df, size, body)
+    """Groups, files and bytes still in play after each tier: same size; same quick key; same full key.
+
+    A later key implies the earlier ones, so every tier is a plain map-side combined count.
+    """
+    keys = content_keys(df, size, body)
 
-    def line(d, tier, keys):
-        g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("b"))
-        return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).select(
-            F.lit(tier).alias("tier"), "groups", "files", "bytes")
+    def line(tier, by):
+        g = keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+        return g.agg(F.lit(tier).alias("tier"), F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
+                     F.coalesce(F.sum(F.col("n") * F.col(size)), F.lit(0)).alias("bytes"))
 
-    return line(one, "size", [size]).unionByName(line(two, "quick", [size, "quick"])).unionByName(line(three, "full", [size, "full"]))
+    return line("size", [size]).unionByName(line("quick", [size, "quick"])).unionByName(line("full", [size, "full"]))
 
 
 def keeper_key(pinned="pinned", dest="dest_path", meta_len="meta_len", path="src_path", mtime="mtime", id_="id"):
@@ -51,12 +45,23 @@ def choose_keeper(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by("id", keeper_key()).alias("keeper"), F.count("*").alias("copies"))
 
 
-def dedupe_exact(df: DataFrame, size: str, body: str) -> DataFrame:
-    """``id, dup_of, size``: every extra copy and the file kept instead, proven by comparing the bytes."""
-    _, _, three = tiered(df, size, body)
-    best = three.groupBy(size, "full").agg(F.min_by(F.struct(F.col("id").alias("dup_of"), F.col(body).alias("_kept")), keeper_key()).alias("k"))
-    links = three.join(best, [size, "full"]).where((F.col("id") != F.col("k.dup_of")) & (F.col(body) == F.col("k._kept")))
-    return links.select("id", F.col("k.dup_of").alias("dup_of"), F.col(size).alias("size"))
+KEEPER_COLUMNS = ("id", "pinned", "dest_path", "meta_len", "src_path", "mtime")
+
+
+def dedupe_exact(df: DataFrame, size: str, body: str, compare_bytes: bool = False) -> DataFrame:
+    """``id, dup_of, size``: every extra copy and the file kept instead.
+
+    Copies agree in size, full key and a second, 256-bit key of the whole content. ``compare_bytes`` also fetches the contents of the
+    linked files and compares them, at the price of moving those contents.
+    """
+    keys = content_keys(df, size, body, *KEEPER_COLUMNS)
+    by = [size, "full", "proof"]
+    best = keys.groupBy(*by).agg(F.min_by("id", keeper_key()).alias("dup_of"), F.count("*").alias("_n")).where("_n > 1")
+    links = keys.select("id", *by).join(best, by).where(F.col("id") != F.col("dup_of")).select("id", "dup_of", F.col(size).alias("size"))
+    if compare_bytes:
+        mine, kept = df.select("id", F.col(body).alias("_a")), df.select(F.col("id").alias("dup_of"), F.col(body).alias("_b"))
+        links = links.join(mine, "id").join(kept, "dup_of").where("_a = _b").select("id", "dup_of", "size")
+    return links
 
 
 def dup_groups(df: DataFrame, link: str = "dup_of") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alower, basename, col, ext_lower, path_under
+from ..functions.text import alower, col, ext_lower, path_under
 
 # fixed values: the image extensions a scan keeps
 IMAGE_EXTENSIONS = """jpg jpeg jpe png gif bmp webp tif tiff heic heif avif dng cr2 cr3 crw nef nrw arw srf sr2 orf rw2 raf
@@ -35,20 +35,22 @@ def assign_root(df: DataFrame, roots: list[str], path: str = "src_path") -> Data
     return df.withColumn("root", out)
 
 
+MAX_VOCABULARY_LINES = 1_000_000
+
+
 def vocabulary_lines(lines: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
     """``tag, category, pos`` from lines: "# name" opens a category, the first spelling of a tag wins.
 
     A vocabulary is a hand-edited list; its size is checked before the single ordered pass.
     """
-    limit = 1_000_000
+    if lines.count() > MAX_VOCABULARY_LINES:
+        raise ValueError(f"a vocabulary may have {MAX_VOCABULARY_LINES} lines")
     t = F.trim(F.col(text))
     name = F.trim(F.substring(t, F.lit(2), F.length(t)))
     heading = t.startswith("#")
     cat = F.when(heading & (name != "") & ~F.contains(name, F.lit(":")), F.when(name == "style", "composition").otherwise(name))
-    checked = lines.withColumn("_n", F.count("*").over(Window.partitionBy())).where(
-        F.when(F.col("_n") > limit, F.raise_error(F.lit("vocabulary too long"))).otherwise(F.lit("")).isNotNull())
     w = Window.partitionBy(F.lit(1)).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = checked.withColumn("category", F.coalesce(F.last(cat, ignorenulls=True).over(w), F.lit("object"))).where((t != "") & ~heading)
+    tagged = lines.withColumn("category", F.coalesce(F.last(cat, ignorenulls=True).over(w), F.lit("object"))).where((t != "") & ~heading)
     firsts = tagged.select(t.alias("tag"), "category", F.col(pos).alias("pos"))
     return firsts.groupBy(alower("tag").alias("_key")).agg(F.min_by(F.struct("tag", "category", "pos"), "pos").alias("f")).select("f.*")
 
@@ -58,7 +60,3 @@ def merge_vocab(mine: DataFrame, builtin: DataFrame, moved: list[str] = ()) -> D
     extra = mine.where(~alower("tag").isin(list(moved)) if moved else F.lit(True)).join(
         builtin.select(alower("tag").alias("_k")), alower(mine["tag"]) == F.col("_k"), "left_anti")
     return builtin.withColumn("own", F.lit(0)).unionByName(extra.withColumn("own", F.lit(1)))
-
-
-def name_of(path) -> Column:
-    return basename(path)

@@ -33,13 +33,15 @@ def free_destinations(planned: DataFrame, *taken: DataFrame) -> DataFrame:
     return planned
 
 
-def assign_serials(todo: DataFrame, taken: DataFrame, keys: list[str], order: list[Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+def assign_serials(todo: DataFrame, taken: DataFrame | None, keys: list[str], order: list[Column], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Give every row the next free serial of its key, in order.
 
-    ``taken: keys, sn`` are serials in use; numbering starts after the largest one the catalog assigned (``from`` column, when the
-    todo rows carry it as ``first_sn``) and skips used ones. A row's serial is its rank plus the number of used serials before it:
-    used serials become steps, so the look-up is a range count over few rows per key instead of a sequence of all free numbers.
+    Numbering starts at the row's ``first_sn`` and skips the serials in ``taken`` (``keys, sn``). A row's serial is its rank plus the
+    number of used serials before it: used serials become steps, so the look-up is a range count over few rows per key instead of a
+    sequence of all free numbers.
     """
+    if taken is None:
+        return numbered(todo, keys, order, "_rank", hot_rows).withColumn("sn", F.col("first_sn") + F.col("_rank") - 1).drop("_rank")
     ranked = numbered(todo, keys, order, "_rank", hot_rows).withColumn("_want", F.col("first_sn") + F.col("_rank") - 1)
     first = todo.groupBy(*keys).agg(F.min("first_sn").alias("_from"))
     used = taken.join(first, keys).where(F.col("sn") >= F.col("_from")).select(*keys, "sn").distinct()
@@ -68,10 +70,12 @@ def _carry_forward(both: DataFrame, keys: list[str], width: int = 100_000) -> Da
 
 
 def plan_organize(df: DataFrame, *, file_op: str = "rename", layout: str = "y/y-m", write_mode: str = "embed", library: str = "/out", sep: str = "_", digits: int = 5,
-                  prefix: Column | None = None, excluded: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  prefix: Column | None = None, excluded: DataFrame | None = None, on_disk: DataFrame | None = None,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """``id, action, src, old_dest, dest, sn, include, note``: what organizing would do to every decided asset.
 
-    Up-to-date rows are left out, excluded rows keep their place without a name, duplicates are listed but never included.
+    Up-to-date rows are left out, excluded rows keep their place without a name, duplicates are listed but never included. Serials
+    continue after the catalog's largest; ``on_disk`` (``_key`` folder or library, ``_day``, ``sn``) adds names only the disk knows.
     """
     d = df.where("resolved").withColumn("_day", day_key())
     if excluded is not None:
@@ -98,7 +102,7 @@ def plan_organize(df: DataFrame, *, file_op: str = "rename", layout: str = "y/y-
         F.col("dest_path").startswith(library + "/"), library)).alias("_key"), F.col("day_key").alias("_day"), F.col("sn").cast("bigint").alias("sn"))
     start = used.groupBy("_key", "_day").agg((F.max("sn") + 1).alias("first_sn"))
     named = plan.where(naming).join(start, ["_key", "_day"], "left").withColumn("first_sn", F.coalesce("first_sn", F.lit(1)))
-    named = assign_serials(named, used, ["_key", "_day"], [F.col("date_value").asc_nulls_last(), F.col("src_path").asc(), F.col("id").asc()], hot_rows)
+    named = assign_serials(named, on_disk, ["_key", "_day"], [F.col("date_value").asc_nulls_last(), F.col("src_path").asc(), F.col("id").asc()], hot_rows)
     lead = F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit(sep))).otherwise("") if prefix is not None else F.lit("")
     number = F.when(F.length(F.col("sn").cast("string")) >= digits, F.col("sn").cast("string")).otherwise(F.lpad(F.col("sn").cast("string"), digits, "0"))
     new = F.concat(F.col("_dir"), F.lit("/"), lead, F.col("_day"), F.lit(sep), number, F.lit("."), norm_ext(ext_lower("src_path")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..operators import catalog as cat
 from ..operators import dates, dedupe, generation, organize, tags
-from ..sources.views import label_vocabulary, read, view
+from ..sources.views import label_vocabulary, read, text_table, view
 from .registry import query
 
 
@@ -199,7 +199,7 @@ WITH w AS (SELECT doc_id AS id, unnest(ws) AS word, unnest(range(len(ws))) AS p
 g AS (SELECT id, word, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(p)) AS rank FROM w GROUP BY id, word)
 SELECT id, word, n, rank FROM g WHERE rank<=10""")
 def word_frequency(spark, sf):
-    return generation.word_frequency(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
+    return generation.word_frequency(text_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
 
 
 @query("trash_groups", using=("shelf",), oracle="""

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..operators import generation
-from ..sources.views import read
+from ..sources.views import read, text_table
 from .registry import query
 
 
 def settings_rows(spark, sf):
     """Conversations as prompts of several tools: settings text, JSON of three families, metadata text."""
-    c = read(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    c = text_table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     flat = F.translate("text", "\n\"\\:", "    ")
     seed = F.col("id").cast("string")
     a = F.concat(flat, F.lit(" <lora:ink:0.6>\nNegative prompt: lowres, "), "role", F.lit("\nSteps: 28, Sampler: DPM++ 2M, Schedule type: Karras, CFG scale: 6.5, Seed: "), seed,

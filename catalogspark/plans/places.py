@@ -14,11 +14,11 @@ from .registry import query
 
 def folders(spark, sf):
     """Distinct folders of the event set, some renamed so that plain and trip names compete, with their place phrases."""
-    a = asset_paths(spark, sf).select(dirname("src_path").alias("dir"), ancestor_dirs("src_root", "src_path").alias("dirs"), "user_id", "folder").distinct()
+    a = asset_paths(spark, sf).select(dirname("src_path").alias("dir"), ancestor_dirs("src_root", "src_path").alias("dirs"), "user_id", "folder")
+    a = a.groupBy("dir").agg(F.any_value("dirs").alias("dirs"), F.max("user_id").alias("user_id"), F.any_value("folder").alias("folder"))
     name = F.when(F.col("folder").startswith("user_"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("Kyoto "), "folder")).when(F.col("user_id") % 3 == 1, "Birthday"))
     a = a.withColumn("dirs", F.when(name.isNotNull(), F.array(name, F.when(F.col("user_id") % 2 == 0, "Rome trip").otherwise("Lima 2019"), F.lit("lib"))).otherwise(F.col("dirs")))
-    c = a.select("dir", pn.place_candidates("dirs").alias("candidates")).groupBy("dir").agg(F.any_value("candidates").alias("candidates"))
-    return stage(c, "places")
+    return stage(a.select("dir", pn.place_candidates("dirs").alias("candidates")), "places")
 
 
 # the phrases each folder yields, in order: text, prior, trip word

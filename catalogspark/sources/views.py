@@ -190,9 +190,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of long texts, spread over all cores when it is one small file."""
+    from ..operators.ranking import spread
+
+    return spread(read(spark, sf_dir, table))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, cols = _VIEWS[name]
-    df = read(spark, sf_dir, table)
+    df = text_table(spark, sf_dir, table) if table == "documents" else read(spark, sf_dir, table)
     return df.selectExpr(*[f"{_render(e, _SPARK)} as {c}" for c, e in cols])
 
 

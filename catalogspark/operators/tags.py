@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.tags import SEARCHABLE
 from ..functions.text import alower, col
+from .ranking import stage
 
 MAX_VOCABULARY = 20_000
 LOGIT_SCALE = 100.0  # fixed value: softmax temperature of the embedding model
@@ -68,7 +69,7 @@ def cosines(vec, matrix: np.ndarray) -> Column:
 
 def score_vocab(df: DataFrame, vec: str, vocab: Vocabulary) -> DataFrame:
     """Add ``logits``: 100 x cosine to every tag, in vocabulary order."""
-    return df.withColumn("logits", F.transform(cosines(vec, vocab.vectors), lambda c: c * LOGIT_SCALE))
+    return stage(df.withColumn("logits", F.transform(cosines(vec, vocab.vectors), lambda c: c * LOGIT_SCALE)), "logits")
 
 
 def _lse(values: Column) -> Column:
@@ -81,7 +82,8 @@ def log_sum_exp(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     df = df.withColumn("_max", F.array_max("logits"))
     part = lambda idx: F.ln(F.aggregate(F.array(*[F.lit(i) for i in idx]), F.lit(0.0), lambda a, i: a + F.exp(F.get("logits", i) - F.col("_max")))) + F.col("_max")
     total = F.ln(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_max")))) + F.col("_max")
-    return df.withColumn("lse", total).withColumn("cat_lse", F.array(*[part(i) for i in at])).drop("_max")
+    df = df.withColumn("lse", total).withColumn("cat_lse", F.array(*[part(i) for i in at])).drop("_max")
+    return stage(df, "sums")
 
 
 def tag_scores(df: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -97,7 +99,7 @@ def tag_scores(df: DataFrame, vocab: Vocabulary) -> DataFrame:
         return F.struct(m["tag"].alias("tag"), m["cat"].alias("cat"), share.alias("share"), mass.alias("mass"), conf.alias("conf"),
                         F.get("logits", i).alias("logit"), i.alias("i"))
 
-    return df.withColumn("scored", F.transform(meta, one))
+    return stage(df.withColumn("scored", F.transform(meta, one)), "scores")
 
 
 def pick_tags(df: DataFrame, max_tags: int = 8) -> DataFrame:
@@ -107,7 +109,7 @@ def pick_tags(df: DataFrame, max_tags: int = 8) -> DataFrame:
     """
     good = F.filter("scored", lambda t: F.when(t["cat"] == "medium", t["share"] >= 0.3).otherwise(
         (t["mass"] >= 0.08) & (t["share"] >= 0.25) & (t["conf"] >= 0.12)))
-    df = df.withColumn("_good", good)
+    df = stage(df.withColumn("_good", good), "picks")
     limit = lambda t: F.when(t["cat"].isin("medium", "scene"), 1).when(t["cat"] == "people", 3).otherwise(2)
     ahead = lambda t: F.size(F.filter("_good", lambda o: (o["cat"] == t["cat"]) & ((o["logit"] > t["logit"]) | ((o["logit"] == t["logit"]) & (o["i"] < t["i"])))))
     kept = F.filter("_good", lambda t: ahead(t) < limit(t))

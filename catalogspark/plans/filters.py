@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.hashes import informative_hash
 from ..operators import catalog as cat
 from ..operators import search
+from ..operators.ranking import spread
 from ..operators.tags import TAG_PANEL
 from ..sources.views import hashes, read, view
 from .aggregates import TAG_FLAGS, tag_flags
@@ -163,7 +164,7 @@ SELECT id, CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN 'name' ELSE 'desc
  CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN regexp_extract(name,'src1[0-3]',0,'i') ELSE regexp_extract(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]',0,'i') END AS hit
 FROM docs WHERE regexp_matches(name,'src1[0-3]','i') OR regexp_matches(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]','i')""")
 def regex_search(spark, sf):
-    return search.regex_search(view(spark, sf, "docs"), "(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]", {"name": "name", "desc": "body"}).select("id", "field", "hit")
+    return search.regex_search(spread(view(spark, sf, "docs")), "(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]", {"name": "name", "desc": "body"}).select("id", "field", "hit")
 
 
 @query("browse", using=("shelf",), oracle="""
@@ -204,4 +205,4 @@ WITH w AS (SELECT id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT
 m AS (SELECT id, min_by(w, levenshtein(w,'thaer')*10000000+i) AS word FROM w WHERE strlen(w)+2>=5 AND abs(length(w)-5)<=2 AND levenshtein(w,'thaer')<=2 GROUP BY id)
 SELECT docs.id, word FROM docs LEFT JOIN m ON docs.id=m.id""")
 def fuzzy_word(spark, sf):
-    return view(spark, sf, "docs").select("id", q.fuzzy_word(tx.alower("body"), "thaer").alias("word"))
+    return spread(view(spark, sf, "docs")).select("id", q.fuzzy_word(tx.alower("body"), "thaer").alias("word"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import query as q
 from ..functions import text as tx
 from ..operators import search
-from ..operators.ranking import in_batches
+from ..operators.ranking import in_batches, spread
 from ..sources.views import view
 from .filters import LOW
 from .joins import TRANSLATIONS, translations
@@ -19,7 +19,7 @@ FIELDS = {"desc": "low", "name": "name"}
 
 
 def docs(spark, sf):
-    return view(spark, sf, "docs").withColumn("low", tx.alower("body"))
+    return spread(view(spark, sf, "docs")).withColumn("low", tx.alower("body"))
 
 
 @query("search_words", using=("docs",), oracle=f"""

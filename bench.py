@@ -13,10 +13,11 @@ from catalogspark import plans  # noqa: E402
 from catalogspark.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "assets_per_month", "decide_dates", "catalog_stats", "month_histogram", "year_rollup", "decision_stats", "journal_runs", "collision_tiers", "dedupe_exact", "choose_keeper",
+    "catalog_stats", "month_histogram", "year_rollup", "decision_stats", "journal_runs", "collision_tiers", "dedupe_exact", "choose_keeper",
     "dup_summary", "cluster_similar", "hamming_pairs", "tag_assets", "phrase_confidence", "retag_stale", "effective_tags", "boolean_search", "search_words", "search_smart", "regex_search",
     "fuzzy_word", "ask_blend", "decide_places", "sequence_neighbors", "upsert_scan", "extract_generation", "trace_prompt_graph", "word_frequency", "propose_corrections", "decide_description",
     "plan_metadata", "assign_serials", "plan_organize", "validate_plan", "apply_run_results", "browse", "order_browse", "watch_catalog",
+    "decide_dates", "assets_per_month",
 ]
 
 

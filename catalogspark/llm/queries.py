@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding, tiff
+from . import bpe, credentials, fingerprints, language, packing, pii, sharding, suffixes, tiff
 from .common import documents, prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Plan] = {
     name: _prepared(fn)
     for name, fn in {
+        "op1_merkle_fingerprints": fingerprints.op1,
+        "op2_pair_index_bpe": bpe.op2,
+        "op3_credential_links": credentials.op3,
+        "op4_bucket_pointer_suffixes": suffixes.op4,
+        "op5_mixture_packing": packing.op5,
         "op7_pii_anchors": pii.op7,
+        "op8_kneser_ney_language": language.op8,
         "op9_tiff_pages": tiff.op9,
         "op10_label_shards": op10,
     }.items()

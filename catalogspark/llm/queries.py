@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, fingerprints, language, packing, pii, sharding, suffixes, tiff
+from . import bpe, credentials, fingerprints, language, packing, partenum, pii, sharding, suffixes, tiff
 from .common import documents, prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ QUERIES: dict[str, Plan] = {
         "op3_credential_links": credentials.op3,
         "op4_bucket_pointer_suffixes": suffixes.op4,
         "op5_mixture_packing": packing.op5,
+        "op6_partenum_join": partenum.op6,
         "op7_pii_anchors": pii.op7,
         "op8_kneser_ney_language": language.op8,
         "op9_tiff_pages": tiff.op9,

@@ -335,7 +335,7 @@ def _settle(span: int):
     return run
 
 
-def _cut(keep: list[str], fields: list[pa.Field], span: int):
+def _cut(keep: list[str], fields: list[pa.Field], span: int, as_text: bool):
     """Remove what is covered from every row of a block."""
 
     def run(key, texts, notes):
@@ -366,13 +366,13 @@ def _cut(keep: list[str], fields: list[pa.Field], span: int):
             removed.append(int(gone.sum()))
             spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
         cols = [texts[c].cast(f.type) for c, f in zip(keep, fields, strict=True)]
-        return pa.table([*cols, texts["_n"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([*cols, texts["_n"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The input's columns but the text, with ``n_bytes, n_removed, n_spans, kept`` (the bytes that stay)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+    """The input's columns but the text, with ``n_bytes, n_removed, n_spans, kept``: the bytes that stay, or the letters that are whole in them."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
@@ -400,9 +400,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = with_notes(copies.unionByName(shared), _second_pass(blocks, span), note)
     settled = sent.groupBy("bucket").applyInArrow(_settle(span), note)
     kinds = StructType([docs.schema[c] for c in keep])
-    schema = StructType(list(kinds.fields)).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    schema = StructType(list(kinds.fields)).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds.fields]
-    return with_notes(copies.unionByName(settled), _cut(keep, fields, span), schema)
+    return with_notes(copies.unionByName(settled), _cut(keep, fields, span, as_text), schema)
 
 
 def _longs(copies: DataFrame) -> DataFrame:

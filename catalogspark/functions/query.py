@@ -15,6 +15,7 @@ from .text import alower, col
 FIELD_WEIGHTS = {"desc": 1.5, "prompt": 1.2, "name": 1.0, "exif": 0.8}
 UNITS = [("gb", 1e9), ("mb", 1e6), ("kb", 1e3), ("mp", 1e6), ("k", 1e3), ("m", 1e6), ("b", 1.0)]
 RAW_EXTENSIONS = ["dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2"]
+FUZZY_FIELDS = ("desc", "name", "prompt")
 MIN_MATCH = 0.30
 
 
@@ -240,7 +241,7 @@ def _leaf(n: Term, ctx: Context) -> Column:
     if f == "like":
         return F.coalesce(ctx.similar.get(t, F.lit(0.0)), F.lit(0.0))
     if f == "fuzzy":
-        return one(reduce(lambda a, b: a | b, [fuzzy_word(x, t).isNotNull() for x in ctx.fields.values()]))
+        return one(reduce(lambda a, b: a | b, [fuzzy_word(x, t).isNotNull() for k, x in ctx.fields.items() if k in FUZZY_FIELDS]))
     if f in ("place", "loc"):
         return one(place_filter(c("location"), alts))
     if f == "tag":

@@ -111,7 +111,8 @@ def decision_stats(df: DataFrame) -> DataFrame:
 
 
 def embedding_counts(df: DataFrame, model: str, vocab: str) -> DataFrame:
-    """Rows in total, without the current model's vector, with a stale vocabulary, with fewer than two sure tags (``tags``)."""
+    """Rows in total, without the current model's vector, with a stale vocabulary, with fewer than two sure tags (``tags``); duplicates don't count."""
+    df = df.where(F.coalesce(F.col("dup_of"), F.lit(0)) == 0)
     has = F.coalesce(F.col("clip_model") == model, F.lit(False))
     sure = F.size(F.filter("tags", lambda t: t["conf"] >= SEARCHABLE))
     return df.agg(F.count("*").alias("total"), n_true(~has).alias("no_vec"), n_true(has & (F.col("clip_vocab") != vocab)).alias("stale"), n_true(has & (sure < 2)).alias("few"))
@@ -123,8 +124,10 @@ def journal_runs(df: DataFrame, limit: int) -> DataFrame:
             .orderBy(F.desc("run")).limit(limit))
 
 
-def place_counts(df: DataFrame, limit: int = 8) -> DataFrame:
-    return df.where(F.col("location").isNotNull()).groupBy("location").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "location").limit(limit)
+def place_counts(df: DataFrame, limit: int | None = 8) -> DataFrame:
+    """Files per place; the most frequent ``limit`` places for a panel, or all."""
+    counts = df.where(F.col("location").isNotNull()).groupBy("location").agg(F.count("*").alias("files"))
+    return counts.orderBy(F.desc("files"), "location").limit(limit) if limit else counts
 
 
 def older_runs(df: DataFrame, keep: int) -> DataFrame:
@@ -199,13 +202,17 @@ def known_tags(used: DataFrame, vocab: DataFrame) -> DataFrame:
 FLAG_WORDS = [("favorites", "is:fav"), ("starred", "is:fav"), ("generated", "is:ai")]  # fixed values
 
 
-def suggest(typed: str, tags: DataFrame, places: DataFrame, months: DataFrame) -> DataFrame:
+def suggest(typed: str, tags: DataFrame, places: DataFrame, months: DataFrame, blocked: list[str] = ()) -> DataFrame:
     """``kind, text, query`` suggestions for typed text: up to 5 tags, 7 with places, 8 with years and months, then flags.
 
-    Every source is cut to its own maximum before the union, so only a few rows meet in the final ranking.
+    Blank text suggests nothing and blocked tags are never offered. Every source is cut to its own maximum before the union, so only a few
+    rows meet in the final ranking.
     """
     t = typed.strip().lower()
     spark = tags.sparkSession
+    if not t:
+        return spark.createDataFrame([], "kind string, text string, query string")
+    tags = tags.where(~alower("tag").isin([b.strip().lower() for b in blocked])) if blocked else tags
     quoted = lambda c: F.when(F.contains(c, F.lit(" ")), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
 
     def part(df, prio, kind, n):
@@ -246,6 +253,7 @@ WORK = {
     "undecided": lambda c: ~F.col("resolved"),
     "unembedded": lambda c: (F.col("dup_of") == 0) & (F.col("clip_model").isNull() | (F.col("clip_model") != c["model"])),
     "stale_tags": lambda c: (F.col("dup_of") == 0) & (F.col("clip_model") == c["model"]) & ~F.col("clip_vocab").eqNullSafe(F.lit(c["vocab"])),
+    "few_tags": lambda c: (F.col("dup_of") == 0) & (F.col("clip_model") == c["model"]) & F.col("clip_vocab").eqNullSafe(F.lit(c["vocab"])) & (F.col("sure") < 2),
     "no_prompt_keywords": lambda c: F.col("gen_tool").isNotNull() & (F.coalesce("gen_keywords", F.lit("")) == ""),
     "undescribed": lambda c: (F.col("dup_of") == 0) & F.col("vision_status").isNull(),
     "failed": lambda c: (F.col("dup_of") == 0) & (F.col("vision_status") == "failed"),
@@ -253,6 +261,6 @@ WORK = {
 
 
 def work_selection(df: DataFrame, config: dict) -> DataFrame:
-    """``stage, id`` of everything each stage still has to do, in one pass over the catalog."""
+    """``stage, id`` of everything each stage still has to do, in one pass over the catalog. ``sure`` counts an asset's sure tags."""
     todo = F.filter(F.array(*[F.when(F.coalesce(test(config), F.lit(False)), name) for name, test in WORK.items()]), lambda x: x.isNotNull())
     return df.select("id", F.explode(todo).alias("stage"))

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (the smallest node of each component) by alternating large-star and small-star rounds.
 
     Each round replaces edges by edges to the smallest known neighbour, using one min-aggregation and one join per star, so a
-    node with very many neighbours is aggregated map-side and never collected. Rounds grow with the logarithm of the diameter.
-    Lineage is cut with checkpoints.
+    node with very many neighbours is aggregated map-side and never collected. Rounds go on until nothing
+    changes and grow with the logarithm of the diameter. Lineage is cut with checkpoints.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     cur = (edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct().checkpoint())
     sign = None
-    for _ in range(max_rounds):
+    while True:
         # large-star: every larger neighbour of u is linked to the smallest node around u
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -32,7 +32,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(now) == sign:
             break
         sign = tuple(now)
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -20,7 +20,7 @@ PROPOSAL = "struct<field:string,action:string,current:string,proposed:string,con
 def _proposal(field, action, current, proposed, conf, source) -> Column:
     c = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(c(field).alias("field"), c(action).alias("action"), c(current).alias("current"), c(proposed).alias("proposed"),
-                    F.round(conf, 2).alias("confidence"), c(source).alias("source")).cast(PROPOSAL)
+                    conf.alias("confidence"), c(source).alias("source")).cast(PROPOSAL)
 
 
 def propose_corrections(df: DataFrame, answers: DataFrame | None = None, decided: DataFrame | None = None, blocked: list[str] = (), sep: str = "_",
@@ -28,7 +28,8 @@ def propose_corrections(df: DataFrame, answers: DataFrame | None = None, decided
     """``id`` and the proposals for it, one row each.
 
     Needs ``id, src_path, dest_path, tags (tag,conf), user_tags, camera, prompt, name_words (word, p = picture confidence),
-    name_decided``; rows with user tags only get naming proposals. ``answers: id, wrong array<struct<tag,confidence>>`` holds the rating
+    name_decided``, and ``sources`` (input images of a generated picture, whose prompt then only says what changed) where known; rows with
+    user tags only get naming proposals. The rules stand in order: of two proposals for one change the earlier one is kept. ``answers: id, wrong array<struct<tag,confidence>>`` holds the rating
     model's verdicts, ``decided: id, field, current, proposed`` what the user settled before.
     """
     none = F.array().cast(f"array<{PROPOSAL}>")
@@ -37,6 +38,7 @@ def propose_corrections(df: DataFrame, answers: DataFrame | None = None, decided
     else:
         df = df.join(answers.select("id", F.col("wrong").cast("array<struct<tag:string,confidence:double>>").alias("_wrong")), "id", "left")
     tags, prompt = F.col("tags"), alower("prompt")
+    edit = F.coalesce(F.size("sources") > 0, F.lit(False)) if "sources" in df.columns else F.lit(False)
     low = lambda t: alower(t["tag"])
     auto, made = ~F.col("user_tags"), F.col("prompt").isNotNull() & (F.col("prompt") != "")
     camera = F.col("camera") & ~made
@@ -59,12 +61,14 @@ def propose_corrections(df: DataFrame, answers: DataFrame | None = None, decided
                        lambda w: _proposal("tag", "add", "", w["word"], 0.3 + 0.6 * w["p"], "file name + vector"))
     parts = F.concat(
         F.when(auto & camera, art).otherwise(none), F.when(auto & is_shot, shot).otherwise(none),
-        F.when(auto & made & (F.size(tags) > 0), F.coalesce(by_prompt, none)).otherwise(none), F.when(auto & ~made, F.coalesce(seen, none)).otherwise(none),
+        F.when(auto & made & ~edit & (F.size(tags) > 0), F.coalesce(by_prompt, none)).otherwise(none), F.when(auto & ~made, F.coalesce(seen, none)).otherwise(none),
         F.coalesce(_rename(sep, digits), none))
     good = F.filter(parts, lambda p: (p["confidence"] >= MIN_CONFIDENCE) & ~((p["field"] == "tag") & (p["action"] == "add") & alower(p["proposed"]).isin(list(blocked) or [""])))
-    out = df.select("id", F.explode(good).alias("p")).select("id", "p.*")
-    # the first proposal for one change stands
-    out = out.groupBy("id", "field", "current", "proposed").agg(F.max("action").alias("action"), F.max("confidence").alias("confidence"), F.max("source").alias("source"))
+    # the first proposal for one change stands; all proposals of an asset are in its own row
+    same = lambda a, b: (a["field"] == b["field"]) & (a["current"] == b["current"]) & (a["proposed"] == b["proposed"])
+    df = df.withColumn("_good", good)
+    first = F.filter("_good", lambda p, i: ~F.exists(F.slice("_good", 1, i), lambda q: same(p, q)))
+    out = df.select("id", F.explode(first).alias("p")).select("id", "p.*").withColumn("confidence", F.round("confidence", 2))
     return out if decided is None else drop_decided(out, decided)
 
 
@@ -72,7 +76,8 @@ def _rename(sep: str, digits: int) -> Column:
     """A name that kept a long prefix, shortened to its key words."""
     s = stem("dest_path")
     ser = serial_name(s, sep)
-    tail = F.concat(ser["day_key"], F.lit(sep), F.lpad(ser["sn"].cast("string"), digits, "0"))
+    number = ser["sn"].cast("string")
+    tail = F.concat(ser["day_key"], F.lit(sep), F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0")))
     prefix = F.left(s, F.length(s) - F.length(tail) - len(sep))
     want = short_prefix(stem("src_path"), F.transform("name_words", lambda w: w["word"]))
     to = F.concat(want, F.lit(sep), tail, F.lit("."), ext_lower("dest_path"))

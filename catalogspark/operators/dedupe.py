@@ -72,13 +72,14 @@ def dup_groups(df: DataFrame, link: str = "dup_of") -> DataFrame:
 
 def dup_summary(df: DataFrame) -> DataFrame:
     """One row: files, bytes, exact groups, extra copies, reclaimable bytes, similar groups and their members."""
-    e, s = dup_groups(df, "dup_of"), dup_groups(df, "similar_to")
-    a = df.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    b = e.agg(F.count_distinct("keeper").alias("exact_groups"), F.count("*").alias("extra"), F.coalesce(F.sum("size"), F.lit(0)).alias("reclaimable"))
-    c = s.agg(F.count_distinct("keeper").alias("similar_groups"), (F.count("*") + F.count_distinct("keeper")).alias("similar_files"))
-    # three one-row results, put side by side through a constant key
-    one = F.lit(1).alias("_j")
-    return a.select("*", one).join(b.select("*", one), "_j").join(c.select("*", one), "_j").drop("_j")
+    linked = df.select("size", F.explode(F.array(F.struct(F.lit("exact").alias("kind"), F.col("dup_of").alias("link")), F.struct(F.lit("similar").alias("kind"), F.col("similar_to").alias("link")))).alias("x"))
+    linked = linked.select("size", "x.kind", "x.link").where("link > 0").join(df.select(F.col("id").alias("keeper")), F.col("link") == F.col("keeper"))
+    rows = df.select("size", F.lit("file").alias("kind"), F.lit(None).cast("bigint").alias("keeper")).unionByName(linked.select("size", "kind", F.col("keeper").cast("bigint")))
+    n = lambda kind, c=F.lit(1): F.count(F.when(F.col("kind") == kind, c))
+    groups = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("keeper")))
+    size = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("size")))
+    return rows.agg(n("file").alias("files"), size("file").alias("bytes"), groups("exact").alias("exact_groups"), n("exact").alias("extra"),
+                    F.coalesce(size("exact"), F.lit(0)).alias("reclaimable"), groups("similar").alias("similar_groups"), (n("similar") + groups("similar")).alias("similar_files"))
 
 
 def group_sizes(df: DataFrame, link: str = "dup_of") -> DataFrame:
@@ -91,22 +92,22 @@ def order_dup_groups(df: DataFrame, link: str = "dup_of") -> DataFrame:
     return group_sizes(df, link).withColumn("waste", F.col("keeper_size") * F.col("members")).orderBy(F.desc("waste"), "keeper")
 
 
-def numbered_groups(df: DataFrame, link: str = "dup_of", **options) -> DataFrame:
+def numbered_groups(df: DataFrame, link: str = "dup_of") -> DataFrame:
     """``keeper, group``: dense numbers of the groups, largest waste first."""
     g = group_sizes(df, link).withColumn("waste", F.col("keeper_size") * F.col("members"))
-    return numbered(g, [], [F.desc("waste"), F.asc("keeper")], "group", **options)
+    return numbered(g, [], [F.desc("waste"), F.asc("keeper")], "group")
 
 
-def trash_groups(df: DataFrame, **options) -> DataFrame:
+def trash_groups(df: DataFrame) -> DataFrame:
     """Every extra copy with its group number (in order of the kept file) and the seconds its removal takes."""
     g = dup_groups(df)
-    ids = numbered(g.select("keeper").distinct(), [], [F.asc("keeper")], "group", **options)
+    ids = numbered(g.select("keeper").distinct(), [], [F.asc("keeper")], "group")
     return g.join(ids, "keeper").select("group", "keeper", "id", "size", F.lit(0.05).alias("seconds"))
 
 
-def dupe_report(df: DataFrame, link: str = "dup_of", roles: tuple[str, str] = ("keep", "duplicate"), **options) -> DataFrame:
-    """``group, role, size, date, path`` lines: the kept file and its copies, ready for a CSV sink."""
-    nums = numbered_groups(df, link, **options).select("keeper", "group")
+def dupe_report(df: DataFrame, link: str = "dup_of", roles: tuple[str, str] = ("keep", "duplicate")) -> DataFrame:
+    """``group, role, id, size, width, height, date, path`` lines: the kept file and its copies, ready for a CSV sink."""
+    nums = numbered_groups(df, link).select("keeper", "group")
     members = df.where(F.col(link) > 0).join(nums, F.col(link) == F.col("keeper")).withColumn("role", F.lit(roles[1]))
     keepers = df.join(nums, F.col("id") == F.col("keeper")).withColumn("role", F.lit(roles[0]))
-    return members.unionByName(keepers).select("group", "role", "id", "size", F.coalesce("date_value", F.lit("")).alias("date"), F.col("src_path").alias("path"))
+    return members.unionByName(keepers).select("group", "role", "id", "size", "width", "height", F.coalesce("date_value", F.lit("")).alias("date"), F.col("src_path").alias("path"))

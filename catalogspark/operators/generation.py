@@ -10,13 +10,13 @@ from ..functions.text import alower, basename
 from ..session import ensure_checkpoint_dir
 from .ranking import stage
 
-COLUMNS = ["tool", "field", "prompt", "negative", "model", "sampler", "scheduler", "seed", "size", "steps", "cfg", "loras"]
+COLUMNS = ["tool", "field", "prompt", "negative", "model", "sampler", "scheduler", "seed", "size", "steps", "cfg", "loras", "sources"]
 _LORAS = "array<struct<name:string,strength:double>>"
 
 
 def _info(tool, **kw) -> Column:
     """One settings struct; missing parts are NULL."""
-    types = {"steps": "bigint", "cfg": "double", "loras": _LORAS}
+    types = {"steps": "bigint", "cfg": "double", "loras": _LORAS, "sources": "array<string>"}
     vals = {"tool": tool, "field": F.col("_g.field"), **kw}
     return F.struct(*[(vals[c] if isinstance(vals.get(c), Column) else F.lit(vals.get(c))).cast(types.get(c, "string")).alias(c) for c in COLUMNS])
 
@@ -53,11 +53,36 @@ def _sources(chunks: str, meta: str | None) -> Column:
     return F.coalesce(*options)
 
 
-def extract_generation(df: DataFrame, chunks: str = "chunks", meta: str | None = None) -> DataFrame:
-    """Add ``gen``: typed settings from text chunks (``map<string,string>``), else from metadata text.
+def graph_text(chunks: str, meta: str | None) -> Column:
+    """A node graph that comes before (text chunk) or after (camera fields) the other text chunks, as ``struct<field, text, first>``."""
+    c = F.try_element_at(F.col(chunks), F.lit("prompt"))
+    pick = lambda cond, field, text, first: F.when(cond, F.struct(F.lit(field).alias("field"), text.alias("text"), F.lit(first).alias("first")))
+    options = [pick(c.isNotNull(), "text chunk: prompt", c, True)]
+    for k in ("Exif.Image.Model", "Exif.Image.Make") if meta is not None else ():
+        v = F.get(F.try_element_at(F.col(meta), F.lit(k))["v"], F.lit(0))
+        options.append(pick(v.startswith("prompt:"), k, F.substring(v, F.lit(8), F.length(v)), False))
+    return F.coalesce(*options)
+
+
+def extract_generation(df: DataFrame, chunks: str = "chunks", meta: str | None = None, id_: str = "id") -> DataFrame:
+    """Add ``gen``: typed settings from a node graph, from text chunks (``map<string,string>``), else from metadata text.
 
-    The source is chosen first and parsed once.
+    The source is chosen first and parsed once. Only rows with a graph are traced; a graph that tells neither text nor model leaves the
+    choice to the other sources.
     """
+    graphs = df.select(id_, graph_text(chunks, meta).alias("_t")).where("_t is not null").select(id_, F.col("_t.text").alias("graph"), F.col("_t.field").alias("_field"), F.col("_t.first").alias("_first"))
+    info = graph_info(graphs, "graph", id_).where((F.coalesce("prompt", F.lit("")) != "") | (F.coalesce("model", F.lit("")) != "")).join(graphs.select(id_, "_field", "_first"), id_)
+    types = {"steps": "bigint", "cfg": "double", "loras": _LORAS, "sources": "array<string>"}
+    value = {"tool": F.lit("ComfyUI"), "field": F.col("_field")}
+    traced = info.select(id_, F.struct(*[value.get(k, F.col(k) if k not in value else None).cast(types.get(k, "string")).alias(k) for k in COLUMNS]).alias("_graph"), "_first")
+    texts = _text_settings(df, chunks, meta)
+    chunk_gen = F.when(F.coalesce(F.col("gen.field").startswith("text chunk:"), F.lit(False)), F.col("gen"))
+    out = texts.join(traced, id_, "left")
+    # a graph in a text chunk comes first, one in a camera field after the other text chunks
+    return out.withColumn("gen", F.coalesce(F.when(F.col("_first"), F.col("_graph")), chunk_gen, F.col("_graph"), F.col("gen"))).drop("_graph", "_first")
+
+
+def _text_settings(df: DataFrame, chunks: str, meta: str | None) -> DataFrame:
     d = stage(df.withColumn("_g", _sources(chunks, meta)), "settings")
     d = d.withColumn("_p", F.when(F.col("_g.kind") == "text", pr.settings_parts("_g.text"))).withColumn("_kv", pr.settings_pairs("_p.params"))
     v = lambda k: pr.pair_value("_kv", k)
@@ -118,7 +143,7 @@ def trace_prompt_graph(df: DataFrame, graph: str = "graph", id_: str = "id", max
     nodes = graph_nodes(df, graph, id_)
     inputs = _inputs(nodes, id_).checkpoint()
     sampler = nodes.where(F.col("class").rlike("Sampler|Guider") & (F.map_contains_key("inputs", "positive") | F.map_contains_key("inputs", "guider")))
-    first = sampler.groupBy(id_).agg(F.min_by("node", F.struct((~F.contains("class", F.lit("Sampler"))).alias("g"), F.col("node").try_cast("int").alias("n"))).alias("node"))
+    first = sampler.groupBy(id_).agg(F.min_by("node", F.struct((~F.contains("class", F.lit("Sampler"))).alias("g"), F.when(F.contains("class", F.lit("Sampler")), 1).otherwise(-1) * F.col("node").try_cast("int"))).alias("node"))  # else the last guider
     roots = inputs.join(first, [id_, "node"], "left_semi")
     start = roots.where(F.col("key").isin("positive", "negative") & F.col("link").isNotNull())
     guided = (roots.where("key = 'guider'").select(id_, F.col("link").alias("node")).join(inputs, [id_, "node"])
@@ -158,31 +183,70 @@ def trace_prompt_graph(df: DataFrame, graph: str = "graph", id_: str = "id", max
     return out.groupBy(id_).agg(F.max(F.when(F.col("start") == 0, F.col("text"))).alias("prompt"), F.max(F.when(F.col("start") == 1, F.col("text"))).alias("negative"))
 
 
+def _graph(text: Column) -> Column:
+    """The nodes of a graph in order of their numbers, as ``array<struct<key, value<class_type, inputs>>>``; null for other text."""
+    nodes = F.map_entries(F.from_json(text, "map<string,struct<class_type:string,inputs:map<string,string>>>"))
+    number = lambda x: F.coalesce(x["key"].try_cast("int"), F.lit(0))
+    return F.array_sort(nodes, lambda a, b: F.when(number(a) < number(b), -1).when(number(a) > number(b), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
+LITERAL_KEYS = ("seed", "noise_seed", "value", "int", "float", "number", "string")  # fixed values: where a linked node keeps a literal
+LITERAL_DEPTH = 6
+
+
 def graph_settings(df: DataFrame, graph: str = "graph", id_: str = "id") -> DataFrame:
-    """``id, model, size, steps, cfg, seed, sampler, loras, sources`` from the node graph; a linked seed is read from its node."""
-    n = graph_nodes(df, graph, id_)
-    v = lambda k: F.try_element_at("inputs", F.lit(k))
-    num = F.col("node").try_cast("int")
-    loader = F.contains("class", F.lit("Loader")) & ~F.col("class").rlike("CLIP|VAE|Lora|LoRA")
-    lora = F.when(v("lora_name").isNotNull(), F.struct(num.alias("o"), basename(v("lora_name")).alias("name"), F.coalesce(
-        F.coalesce(v("strength_model"), v("strength")).try_cast("double"), F.lit(1.0)).alias("strength")))
-    latent = F.contains("class", F.lit("LatentImage")) & v("width").rlike(r"^\d+$")
-    sampler = F.contains("class", F.lit("Sampler")) & v("positive").isNotNull()
-    seed = F.coalesce(v("seed"), v("noise_seed"))
-    # the nodes of one graph
-    out = n.groupBy(id_).agg(
-        F.min_by(v("ckpt_name"), F.when(v("ckpt_name").isNotNull(), num)).alias("_ckpt"),
-        F.min_by(F.coalesce(v("unet_name"), v("model_name")), F.when(v("unet_name").isNotNull() | (loader & v("model_name").isNotNull()), num)).alias("_unet"),
-        F.min_by(F.concat(v("width"), F.lit("x"), v("height")), F.when(latent, num)).alias("size"),
-        F.min_by(F.struct(v("steps").try_cast("bigint").alias("steps"), v("cfg").try_cast("double").alias("cfg"), seed.alias("seed"), v("sampler_name").alias("sampler")), F.when(sampler, num)).alias("_s"),
-        F.array_sort(F.collect_list(lora)).alias("_l"),
-        F.array_sort(F.collect_list(F.when(F.col("class").isin("LoadImage", "LoadImageMask"), F.struct(num.alias("o"), v("image").alias("image"))))).alias("_src"))
-    linked = F.regexp_extract(F.col("_s.seed"), LINK, 1)
-    seeds = n.select(F.col(id_).alias("_g"), F.col("node").alias("_node"), F.coalesce(v("seed"), v("noise_seed"), v("value"), v("int"), v("number")).alias("_seed"))
-    out = out.join(seeds, (F.col(id_) == F.col("_g")) & (linked == F.col("_node")), "left")
-    return out.select(id_, basename(F.coalesce("_ckpt", "_unet")).alias("model"), "size", F.col("_s.steps").alias("steps"), F.col("_s.cfg").alias("cfg"),
-                      F.when(F.col("_s.seed").rlike(LINK), F.col("_seed")).otherwise(F.col("_s.seed")).alias("seed"), F.col("_s.sampler").alias("sampler"),
-                      F.transform("_l", lambda x: F.struct(x["name"].alias("name"), x["strength"].alias("strength"))).alias("loras"), F.transform("_src", lambda x: x["image"]).alias("sources"))
+    """``id, model, size, steps, cfg, seed, sampler, scheduler, loras, sources, fallback`` from the node graph.
+
+    Every graph is walked in its own row. Literals behind links are followed ``LITERAL_DEPTH`` steps; a seed may also come from the noise node of
+    the sampler. ``fallback`` is the text of all encoders, for graphs without a sampler that leads to text.
+    """
+    d = df.select(id_, _graph(F.col(graph)).alias("_a")).withColumn("_m", F.map_from_entries("_a"))
+    got = lambda inputs, k: F.try_element_at(inputs, F.lit(k))
+    inputs_of = lambda link: F.try_element_at("_m", F.regexp_extract(link, LINK, 1))["inputs"]
+
+    def literal(v: Column) -> Column:
+        """A value, or what stands behind a chain of links; null when the chain is too long."""
+        step = lambda acc: F.coalesce(*[got(inputs_of(acc), k) for k in LITERAL_KEYS])
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(LITERAL_DEPTH + 1)), v, lambda acc, _: F.when(acc.rlike(LINK), step(acc)).otherwise(acc))
+        return F.when(~end.rlike(LINK), end)
+
+    def first(cond, value) -> Column:
+        """The value of the first node that has one."""
+        return F.get(F.filter(F.transform("_a", lambda n: F.when(cond(n), value(n))), lambda v: v.isNotNull() & (v != "")), F.lit(0))
+
+    cls, inp = (lambda n: n["value"]["class_type"]), (lambda n: n["value"]["inputs"])
+    always = lambda n: F.lit(True)
+    has = lambda n, w: F.coalesce(F.contains(cls(n), F.lit(w)), F.lit(False))
+    loader = lambda n: has(n, "Loader") & ~F.coalesce(cls(n).rlike("CLIP|VAE|Lora|LoRA"), F.lit(False))
+    unet = lambda n: F.coalesce(F.nullif(got(inp(n), "unet_name"), F.lit("")), F.when(loader(n), got(inp(n), "model_name")))
+    number = r"^-?\d+(\.\d+)?$"
+    # the literals inside a lambda may refer to the row's columns only, so sizes and strengths are resolved per node
+    size = lambda n: F.when(literal(got(inp(n), "width")).rlike(number) & literal(got(inp(n), "height")).rlike(number), F.concat(
+        literal(got(inp(n), "width")).cast("double").cast("bigint").cast("string"), F.lit("x"), literal(got(inp(n), "height")).cast("double").cast("bigint").cast("string")))
+    strength = lambda n: F.when(got(inp(n), "strength_model").isNotNull(), literal(got(inp(n), "strength_model"))).otherwise(literal(got(inp(n), "strength")))
+    loras = F.transform(F.filter("_a", lambda n: F.coalesce(got(inp(n), "lora_name") != "", F.lit(False))), lambda n: F.struct(
+        basename(got(inp(n), "lora_name")).alias("name"), F.coalesce(strength(n).try_cast("double"), F.lit(1.0)).alias("strength")))
+    images = F.transform(F.filter("_a", lambda n: F.coalesce(cls(n).isin("LoadImage", "LoadImageMask") & (got(inp(n), "image") != ""), F.lit(False))), lambda n: got(inp(n), "image"))
+    able = F.filter("_a", lambda n: F.coalesce(F.map_contains_key(inp(n), F.lit("positive")) | F.map_contains_key(inp(n), F.lit("guider")), F.lit(False)) & (has(n, "Sampler") | has(n, "Guider")))
+    d = d.withColumn("_able", able)
+    d = d.withColumn("_s", F.coalesce(F.get(F.filter("_able", lambda n: has(n, "Sampler")), F.lit(0)), F.try_element_at("_able", F.lit(-1)))["value"]["inputs"])
+    lit = lambda k: literal(got(F.col("_s"), k))
+    whole = lambda v: F.when(v.rlike(r"^-?\d+$"), v)
+    noise = F.when(got(F.col("_s"), "noise").rlike(LINK), literal(got(inputs_of(got(F.col("_s"), "noise")), "noise_seed")))
+    texts = lambda n: F.transform(F.filter(F.array_sort(F.map_entries(inp(n)), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), lambda e: (
+        alower(e["key"]).rlike(TEXTISH) & ~(F.contains(alower(e["key"]), F.lit("negative")) | (alower(e["key"]) == "uc")) & ~e["value"].rlike(LINK) & (e["value"] != ""))), lambda e: e["value"])
+    encoders = F.array_join(F.flatten(F.transform(F.filter("_a", lambda n: has(n, "TextEncode")), texts)), "\n")
+    return d.select(
+        id_, basename(F.coalesce(first(always, lambda n: got(inp(n), "ckpt_name")), first(always, unet))).alias("model"), first(lambda n: has(n, "LatentImage"), size).alias("size"),
+        whole(lit("steps")).cast("bigint").alias("steps"), F.when(lit("cfg").rlike(number), lit("cfg")).cast("double").alias("cfg"),
+        F.coalesce(whole(lit("seed")), whole(lit("noise_seed")), whole(noise)).alias("seed"), lit("sampler_name").alias("sampler"), lit("scheduler").alias("scheduler"),
+        loras.alias("loras"), images.alias("sources"), F.nullif(encoders, F.lit("")).alias("fallback"))
+
+
+def graph_info(df: DataFrame, graph: str = "graph", id_: str = "id") -> DataFrame:
+    """``id, prompt`` and the other settings of each graph: the traced text, or that of all encoders where no sampler leads to any."""
+    s = graph_settings(df, graph, id_).join(trace_prompt_graph(df, graph, id_), id_, "left")
+    return s.withColumn("prompt", F.coalesce(F.nullif("prompt", F.lit("")), "fallback")).drop("fallback")
 
 
 # ---- keywords

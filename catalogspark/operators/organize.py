@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import fingerprint
 from ..functions.tags import merge_keywords
-from ..functions.text import alower, basename, clean_value, col, dirname, ext_lower, norm_ext, placeholder_text, stem, text_covers, utf8_cut
-from .ranking import HOT_ROWS, numbered
+from ..functions.text import alower, basename, clean_value, col, dirname, ext_lower, human_size, norm_ext, placeholder_text, text_covers, utf8_cut
+from .ranking import numbered
 
 LAYOUTS = {"y/y-m": lambda y, m: F.concat(y, F.lit("/"), y, F.lit("-"), m), "y-m": lambda y, m: F.concat(y, F.lit("-"), m), "y/m": lambda y, m: F.concat(y, F.lit("/"), m)}
 
@@ -33,7 +36,7 @@ def free_destinations(planned: DataFrame, *taken: DataFrame) -> DataFrame:
     return planned
 
 
-def assign_serials(todo: DataFrame, taken: DataFrame | None, keys: list[str], order: list[Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+def assign_serials(todo: DataFrame, taken: DataFrame | None, keys: list[str], order: list[Column]) -> DataFrame:
     """Give every row the next free serial of its key, in order.
 
     Numbering starts at the row's ``first_sn`` and skips the serials in ``taken`` (``keys, sn``). A row's serial is its rank plus the
@@ -41,12 +44,13 @@ def assign_serials(todo: DataFrame, taken: DataFrame | None, keys: list[str], or
     sequence of all free numbers.
     """
     if taken is None:
-        return numbered(todo, keys, order, "_rank", hot_rows).withColumn("sn", F.col("first_sn") + F.col("_rank") - 1).drop("_rank")
-    ranked = numbered(todo, keys, order, "_rank", hot_rows).withColumn("_want", F.col("first_sn") + F.col("_rank") - 1)
+        return numbered(todo, keys, order, "_rank").withColumn("sn", F.col("first_sn") + F.col("_rank") - 1).drop("_rank")
+    ranked = numbered(todo, keys, order, "_rank").withColumn("_want", F.col("first_sn") + F.col("_rank") - 1)
     first = todo.groupBy(*keys).agg(F.min("first_sn").alias("_from"))
-    used = taken.join(first, keys).where(F.col("sn") >= F.col("_from")).select(*keys, "sn").distinct()
+    t, f = taken.alias("t"), first.alias("f")
+    used = t.join(f, _same(keys, "t", "f")).where(F.col("t.sn") >= F.col("f._from")).select(*[F.col(f"t.{k}") for k in keys], F.col("t.sn").alias("sn")).distinct()
     # the k-th used serial s shifts everyone whose unshifted number is at least s - (k - 1)
-    steps = numbered(used, keys, [F.col("sn").asc()], "_k", hot_rows).select(*keys, (F.col("sn") - F.col("_k") + 1).alias("_want"), F.col("_k"))
+    steps = numbered(used, keys, [F.col("sn").asc()], "_k").select(*keys, (F.col("sn") - F.col("_k") + 1).alias("_want"), F.col("_k"))
     steps = steps.groupBy(*keys, "_want").agg(F.max("_k").alias("_k"))
     rows = ranked.withColumn("_k", F.lit(None).cast("int")).withColumn("_row", F.lit(1))
     marks = steps.withColumn("_row", F.lit(0))
@@ -66,16 +70,25 @@ def _carry_forward(both: DataFrame, keys: list[str], width: int = 100_000) -> Da
     tops = b.groupBy(*keys, "_bucket").agg(F.max("_k").alias("_top"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.withColumn("_prev", F.max("_top").over(before)).drop("_top")
-    return b.join(tops, [*keys, "_bucket"]).withColumn("_shift", F.coalesce("_in", "_prev")).drop("_in", "_prev")
+    joined = b.alias("l").join(tops.alias("s"), _same([*keys, "_bucket"], "l", "s"))
+    return joined.select("l.*", F.col("s._prev").alias("_prev")).withColumn("_shift", F.coalesce("_in", "_prev")).drop("_in", "_prev")
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    """Equal keys, a missing one included."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def plan_organize(df: DataFrame, *, file_op: str = "rename", layout: str = "y/y-m", write_mode: str = "embed", library: str = "/out", sep: str = "_", digits: int = 5,
-                  prefix: Column | None = None, excluded: DataFrame | None = None, on_disk: DataFrame | None = None,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  prefix: Column | None = None, excluded: DataFrame | None = None, on_disk: DataFrame | None = None, libraries: dict[str, str] | None = None,
+                  listing: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """``id, action, src, old_dest, dest, sn, include, note``: what organizing would do to every decided asset.
 
-    Up-to-date rows are left out, excluded rows keep their place without a name, duplicates are listed but never included. Serials
-    continue after the catalog's largest; ``on_disk`` (``_key`` folder or library, ``_day``, ``sn``) adds names only the disk knows.
+    Up-to-date rows are left out, excluded rows keep their place without a name, duplicates are listed but never included. Files go to the
+    library of their source root (``libraries``), else to ``library``. Serials continue after the catalog's largest of the day in the
+    folder or below it, and skip names that exist: ``on_disk`` (``_key`` folder or library, ``_day``, ``sn``), and the files and
+    sidecars of a ``listing`` (``path``) that would have the same name. ``changes: id, added, removed, desc_action`` tells what a
+    metadata write would do: items without anything new are left out, those that wait for a choice are not ticked.
     """
     d = df.where("resolved").withColumn("_day", day_key())
     if excluded is not None:
@@ -95,33 +108,66 @@ def plan_organize(df: DataFrame, *, file_op: str = "rename", layout: str = "y/y-
     y, m = F.left("_day", F.lit(4)), F.substring("_day", 5, 2)
     folder = F.when(F.col("_day") == "00000000", "undated").otherwise(LAYOUTS[layout](y, m))
     here = dirname(F.when(F.col("action") == "refile", F.col("dest_path")).otherwise(F.col("src_path")))
-    plan = plan.withColumn("_dir", here if file_op == "rename" else F.concat(F.lit(library + "/"), folder))
-    plan = plan.withColumn("_key", F.col("_dir") if file_op == "rename" else F.lit(library))
+    lib = F.lit(library)
+    for root, place in (libraries or {}).items():
+        lib = F.when(F.col("src_root") == root, place).otherwise(lib)
+    plan = plan.withColumn("_dir", here if file_op == "rename" else F.concat(lib, F.lit("/"), folder))
+    plan = plan.withColumn("_key", F.col("_dir") if file_op == "rename" else lib)
     naming = F.col("include") & (F.col("action") != "metadata")
-    used = df.where("dest_path IS NOT NULL").select((dirname("dest_path") if file_op == "rename" else F.when(
-        F.col("dest_path").startswith(library + "/"), library)).alias("_key"), F.col("day_key").alias("_day"), F.col("sn").cast("bigint").alias("sn"))
+    if file_op == "rename":  # every folder above a file, its own included
+        parts = F.split(dirname("dest_path"), "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    else:
+        above = F.filter(F.array(*[F.lit(x) for x in sorted({library, *(libraries or {}).values()})]), lambda x: F.col("dest_path").startswith(F.concat(x, F.lit("/"))))
+    used = df.where("dest_path IS NOT NULL").select(F.explode(above).alias("_key"), F.col("day_key").alias("_day"), F.col("sn").cast("bigint").alias("sn"))
     start = used.groupBy("_key", "_day").agg((F.max("sn") + 1).alias("first_sn"))
     named = plan.where(naming).join(start, ["_key", "_day"], "left").withColumn("first_sn", F.coalesce("first_sn", F.lit(1)))
-    named = assign_serials(named, on_disk, ["_key", "_day"], [F.col("date_value").asc_nulls_last(), F.col("src_path").asc(), F.col("id").asc()], hot_rows)
     lead = F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit(sep))).otherwise("") if prefix is not None else F.lit("")
-    number = F.when(F.length(F.col("sn").cast("string")) >= digits, F.col("sn").cast("string")).otherwise(F.lpad(F.col("sn").cast("string"), digits, "0"))
-    new = F.concat(F.col("_dir"), F.lit("/"), lead, F.col("_day"), F.lit(sep), number, F.lit("."), norm_ext(ext_lower("src_path")))
+    named = named.withColumn("_lead", lead).withColumn("_ext", norm_ext(ext_lower("src_path")))
+    if listing is not None:
+        paths = listing.select(F.regexp_replace("path", r"\.xmp$", "").alias("p")).unionByName(df.where("dest_path IS NOT NULL").select(F.col("dest_path").alias("p")))
+        known = _names_in_use(paths, named, sep, digits)
+        on_disk = known if on_disk is None else on_disk.select("_key", "_day", "sn").unionByName(known)
+    named = assign_serials(named, on_disk, ["_key", "_day"], [F.col("date_value").asc_nulls_last(), F.col("src_path").asc(), F.col("id").asc()])
+    new = F.concat(F.col("_dir"), F.lit("/"), F.col("_lead"), F.col("_day"), F.lit(sep), _padded(F.col("sn"), digits), F.lit("."), F.col("_ext"))
     review = F.when(F.col("needs_review"), "date needs review")
     cols = lambda x, dest, sn, note, inc=None: x.select(
         "id", "action", F.col("src_path").alias("src"), F.when(F.col("action") == "refile", F.col("dest_path")).alias("old_dest"), dest.alias("dest"),
         sn.cast("bigint").alias("sn"), (F.col("include") if inc is None else inc).alias("include"), F.nullif(F.concat_ws("; ", note, review), F.lit("")).alias("note"),
-        "size", "needs_review")
+        "size", "mtime", "needs_review")
     null = F.lit(None)
     out = cols(named, new, F.col("sn"), null.cast("string"))
     rest = plan.where(~naming)
+    choice = F.lit(False)
+    if changes is not None:
+        rest = rest.join(changes.select("id", F.col("added").alias("_added"), F.col("removed").alias("_removed"), F.col("desc_action").alias("_desc")), "id", "left")
+        nothing = (F.col("action") == "metadata") & F.col("include") & (F.coalesce("_added", F.lit(0)) <= 0) & (F.coalesce("_removed", F.lit(0)) <= 0)
+        undecided = F.coalesce(F.col("_desc") == "decide", F.lit(False))
+        rest = rest.where(~nothing | undecided).withColumn("_choice", nothing & undecided)
+        choice = F.col("_choice")
     kept = F.coalesce("dest_path", "src_path")
     reason = (F.when(F.col("dest_path").isNull(), "adds missing fields to the original").otherwise("adds missing fields to the organized copy")
               if file_op == "metadata" else F.lit("tags changed after organizing"))
-    out = out.unionByName(cols(rest, F.when(F.col("action") == "metadata", kept).otherwise("(excluded)"), null, F.when(F.col("action") == "metadata", reason)))
+    out = out.unionByName(cols(rest, F.when(F.col("action") == "metadata", kept).otherwise("(excluded)"), null,
+                               F.when(choice, "description: your choice (keep / append / replace)").when(F.col("action") == "metadata", reason), F.col("include") & ~choice))
     copies = d.where(dup).withColumn("action", F.lit("duplicate"))
     return out.unionByName(copies.select("id", "action", F.col("src_path").alias("src"), null.cast("string").alias("old_dest"), null.cast("string").alias("dest"),
                                          null.cast("bigint").alias("sn"), F.lit(False).alias("include"),
-                                         F.concat(F.lit("same content as #"), F.col("dup_of").cast("string")).alias("note"), "size", "needs_review"))
+                                         F.concat(F.lit("same content as #"), F.col("dup_of").cast("string"), F.lit(", not copied ("), human_size("size"), F.lit(")")).alias("note"), "size", "mtime", "needs_review"))
+
+
+def _padded(number: Column, digits: int) -> Column:
+    text = number.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
+def _names_in_use(paths: DataFrame, named: DataFrame, sep: str, digits: int) -> DataFrame:
+    """``_key, _day, sn`` of the paths that a planned row could be given as its name."""
+    part = lambda k: F.regexp_extract(basename("p"), r"^(.*?)(\d{8})" + re.escape(sep) + r"(\d+)\.([^.]*)$", k)
+    names = paths.select(dirname("p").alias("_dir"), part(1).alias("_lead"), part(2).alias("_day"), part(3).alias("_n"), part(4).alias("_ext")).where("_n <> '' AND length(_n) < 18")
+    names = names.withColumn("sn", F.col("_n").cast("bigint")).where(F.col("_n") == _padded(F.col("sn"), digits))
+    like = ["_dir", "_lead", "_day", "_ext"]
+    return names.join(named.select(*like, "_key").distinct(), like).select("_key", "_day", "sn").distinct()
 
 
 def plan_totals(plan: DataFrame, write_mode: str = "embed") -> DataFrame:
@@ -206,15 +252,16 @@ def decide_description(df: DataFrame, policy: str = "agree", answers: DataFrame
 
 
 def validate_plan(plan: DataFrame, catalog: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Add ``problem`` to included items: destination taken, source missing or changed since the scan."""
+    """Add ``problem`` to included items: destination taken, source missing, its size or time changed since the scan (``fresh: src_path, size, mtime``)."""
     taken = fresh.select(F.col("src_path").alias("dest")).unionByName(catalog.where("dest_path IS NOT NULL").select(F.col("dest_path").alias("dest"))).distinct()
     p = plan.where(F.col("include") & (F.col("action") != "duplicate"))
     p = p.withColumn("_from", F.coalesce("old_dest", "src"))
     p = p.join(taken.select("dest", F.lit(True).alias("_t")), "dest", "left")
-    p = p.join(fresh.select(F.col("src_path").alias("_from"), F.col("size").alias("_size")), "_from", "left")
+    p = p.join(fresh.select(F.col("src_path").alias("_from"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime")), "_from", "left")
     moves = F.col("action").isin("copy", "move", "rename", "refile")
+    changed = (F.col("_size") != F.col("size")) | (F.col("_mtime") != F.col("mtime"))
     return p.withColumn("problem", F.when(moves & F.col("_t"), "destination taken").when(F.col("_size").isNull(), "source missing").when(
-        (F.col("action") != "refile") & (F.col("_size") != F.col("size")), "source changed")).drop("_from", "_t", "_size")
+        (F.col("action") != "refile") & changed, "source changed")).drop("_from", "_t", "_size", "_mtime")
 
 
 def record_run(plan: DataFrame, run: str) -> DataFrame:
@@ -249,5 +296,3 @@ def apply_run_results(assets: DataFrame, results: DataFrame) -> DataFrame:
             .withColumn("size", F.when(o == "refreshed", F.col("_r.new_size")).otherwise(F.col("size"))).drop("_r"))
 
 
-def destination_name(path) -> Column:
-    return stem(basename(path))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-HOT_ROWS = 2_000_000
-
 
 def spread(df: DataFrame) -> DataFrame:
     """More partitions for CPU-heavy work when the input has fewer than the cluster has cores."""
@@ -24,22 +22,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.observe(f"{name}-{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn") -> DataFrame:
     """``row_number()`` per ``keys`` (none = over everything).
 
-    A window sorts each group in one task. The group sizes are therefore counted first (a map-side combined count); when one is
-    too large the rows are range-partitioned on keys and order, numbered inside each range, and shifted by the sizes of the
-    ranges before it. The order must be total.
+    A window would sort each group in one task. The rows are therefore range-partitioned on keys and order, numbered inside each
+    range, and shifted by the sizes of the ranges before it. The order must be total.
     """
-    biggest = (df.groupBy(*keys) if keys else df.groupBy()).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= hot_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)))
     ensure_checkpoint_dir(df.sparkSession)
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(biggest // hot_rows) * 4 + 1)
     # written out once: partition numbers must not change between the two uses below
-    ranged = (df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())).checkpoint()
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy(*keys, "_part").count()
-    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("l._part") == F.col("s._part")]
@@ -50,8 +43,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._rn") + F.col("s._shift")).cast("int").alias(out))
 
 
-def in_batches(df: DataFrame, order: list[Column], size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def in_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Number rows into request groups of ``size``; each group is one row holding its items in order."""
-    n = numbered(df, [], order, "_n", hot_rows).withColumn("batch", F.floor((F.col("_n") - 1) / size))
+    n = numbered(df, [], order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size))
     items = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("pos"), *[F.col(c) for c in df.columns])))
     return n.groupBy("batch").agg(items.alias("items"))

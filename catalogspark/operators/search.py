@@ -93,12 +93,13 @@ def ask_candidates(df: DataFrame, keywords: list[str], excludes: list[str], fiel
 
 
 def ask_blend(cands: DataFrame, rating: DataFrame, arbiter: DataFrame, keep: float = 50.0) -> DataFrame:
-    """Fold model ratings (0-100) and second opinions of their close calls (30-70) into the local score.
+    """Fold model ratings (0-100) and second opinions into the local score.
 
-    ``rating: id, r`` · ``arbiter: id, q``. Rows without any answer keep the local score.
+    ``rating: id, r`` · ``arbiter: id, q``. A second opinion counts for close calls of the rating (30-70), and alone where the rating failed.
+    Rows without any answer keep the local score.
     """
     df = cands.join(rating.select("id", F.col("r").cast("double").alias("r")), "id", "left").join(arbiter.select("id", F.col("q").cast("double").alias("q")), "id", "left")
-    df = df.withColumn("q", F.when(F.col("r").between(30, 70), F.col("q")))
+    df = df.withColumn("q", F.when(F.col("r").isNull() | F.col("r").between(30, 70), F.col("q")))
     decision = F.when(F.col("r").isNotNull() & F.col("q").isNotNull(), 0.5 * F.col("r") + 0.5 * F.col("q")).otherwise(F.coalesce("r", "q"))
     df = df.withColumn("decision", decision).withColumn("kept", F.coalesce(F.col("decision") >= keep, F.lit(True)))
     before = F.col("r") >= keep
@@ -110,7 +111,7 @@ def ask_decision_log(blended: DataFrame, text: str, name: str = "name") -> DataF
     """A log row for every candidate the second opinion judged."""
     return blended.where(F.col("q").isNotNull()).select(
         F.lit("search").alias("kind"), F.col("id").alias("photo_id"), F.lit(text).alias("subject"), basename(name).alias("question"),
-        F.when(F.col("r") >= 50, "keep").otherwise("drop").alias("rules_pick"), F.when(F.col("q") >= 50, "yes").otherwise("no").alias("arbiter_pick"),
+        F.when(F.col("r").isNull(), "-").when(F.col("r") >= 50, "keep").otherwise("drop").alias("rules_pick"), F.when(F.col("q") >= 50, "yes").otherwise("no").alias("arbiter_pick"),
         F.when(F.col("kept"), "keep").otherwise("drop").alias("final_pick"), "changed")
 
 

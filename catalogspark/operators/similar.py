@@ -122,7 +122,7 @@ def cluster_similar(df: DataFrame, threshold: int = 6, *, id_: str = "id", h: st
     """
     rows = df.where(informative_hash(h)).withColumn("_a", aspect_value(w, ht))
     rows = rows.withColumn("_class", F.coalesce(F.floor(F.col("_a") / ASPECT_STEP), F.lit(-1)))
-    rows = rows.withColumn("_node", F.xxhash64(h, "_class"))
+    rows = rows.withColumn("_node", F.struct(F.col(h).alias("h"), F.col("_class").alias("c")))  # exact: a hash of the pair could merge strangers
     nodes = rows.groupBy("_node", h, "_class").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi"))
 
     def shapes(a, b):

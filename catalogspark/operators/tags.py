@@ -14,7 +14,6 @@ from ..functions.tags import SEARCHABLE
 from ..functions.text import alower, col
 from .ranking import stage
 
-MAX_VOCABULARY = 20_000
 LOGIT_SCALE = 100.0  # fixed value: softmax temperature of the embedding model
 
 
@@ -34,17 +33,15 @@ def prompt_ensemble(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tag list small enough to ship with the task closures; its size is checked when it is read."""
+    """A hand-edited tag list with its vectors. It travels with the task closures as arrays; plans do not grow with it."""
 
     tags: list[str]
     categories: list[str]
     vectors: np.ndarray
 
     @classmethod
-    def load(cls, df: DataFrame, limit: int = MAX_VOCABULARY) -> Vocabulary:
-        rows = df.select("tag", "category", "pos", "vec").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"vocabulary has more than {limit} tags")
+    def load(cls, df: DataFrame) -> Vocabulary:
+        rows = df.select("tag", "category", "pos", "vec").collect()
         rows.sort(key=lambda r: r["pos"])
         return cls([r["tag"] for r in rows], [r["category"] for r in rows], np.array([r["vec"] for r in rows], dtype=np.float64))
 
@@ -53,18 +50,38 @@ class Vocabulary:
         """Categories in order of first appearance."""
         return list(dict.fromkeys(self.categories))
 
+    @property
+    def index(self) -> np.ndarray:
+        """The number of each tag's category."""
+        at = {n: i for i, n in enumerate(self.names)}
+        return np.array([at[c] for c in self.categories], dtype=np.int64)
+
+
+def _per_vector(kind, fn):
+    """A UDF that gives ``fn`` the known vectors of a batch as one matrix; rows without a vector get null."""
+
+    @F.pandas_udf(kind)
+    def run(v: pd.Series) -> pd.Series:
+        return _filled(v, lambda known: fn(np.stack(v[known].to_numpy()).astype(np.float64)))
+
+    return run
+
+
+def _filled(v: pd.Series, fn) -> pd.Series:
+    """``fn(known)`` gives a value for each known entry of ``v``; the others are null."""
+    known = v.notna().to_numpy()
+    out: list = [None] * len(v)
+    if known.any():
+        for i, x in zip(np.flatnonzero(known).tolist(), fn(known), strict=True):
+            out[i] = x
+    return pd.Series(out, index=v.index, dtype=object)
+
 
 def cosines(vec, matrix: np.ndarray) -> Column:
-    """Dot products of each row's vector with a fixed matrix, as ``array<double>`` (Arrow batches, one matrix product each)."""
+    """Dot products of each row's vector with a fixed matrix, as ``array<double>`` (Arrow batches, one matrix product each); null without a vector."""
     fixed = np.ascontiguousarray(matrix, dtype=np.float64).T
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def product(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ fixed))
-
-    return product(col(vec))
+    return _per_vector(T.ArrayType(T.DoubleType()), lambda m: list(m @ fixed))(col(vec))
 
 
 def score_vocab(df: DataFrame, vec: str, vocab: Vocabulary) -> DataFrame:
@@ -72,44 +89,54 @@ def score_vocab(df: DataFrame, vec: str, vocab: Vocabulary) -> DataFrame:
     return stage(df.withColumn("logits", F.transform(cosines(vec, vocab.vectors), lambda c: c * LOGIT_SCALE)), "logits")
 
 
-def _lse(values: Column) -> Column:
-    return F.array_max(values) + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(values))))
+def category_sums(logits: np.ndarray, index: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the summed exponentials over all tags, and per category."""
+    top = logits.max(axis=1, keepdims=True)
+    e = np.exp(logits - top)
+    each = np.stack([e[:, index == k].sum(axis=1) for k in range(n)], axis=1)
+    return np.log(e.sum(axis=1)) + top[:, 0], np.log(each) + top
 
 
 def log_sum_exp(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Add ``lse`` over the vocabulary and ``cat_lse`` per category (in the order of ``vocab.names``)."""
-    at = [[i for i, c in enumerate(vocab.categories) if c == n] for n in vocab.names]
-    df = df.withColumn("_max", F.array_max("logits"))
-    part = lambda idx: F.ln(F.aggregate(F.array(*[F.lit(i) for i in idx]), F.lit(0.0), lambda a, i: a + F.exp(F.get("logits", i) - F.col("_max")))) + F.col("_max")
-    total = F.ln(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_max")))) + F.col("_max")
-    df = df.withColumn("lse", total).withColumn("cat_lse", F.array(*[part(i) for i in at])).drop("_max")
-    return stage(df, "sums")
+    index, n = vocab.index, len(vocab.names)
+
+    def sums(m: np.ndarray) -> list:
+        whole, each = category_sums(m, index, n)
+        return [{"lse": a, "cat_lse": b} for a, b in zip(whole.tolist(), each.tolist(), strict=True)]
+
+    kind = T.StructType().add("lse", "double").add("cat_lse", T.ArrayType(T.DoubleType()))
+    # a struct result comes as a frame, so the pair travels in a list of one
+    both = F.get(_per_vector(T.ArrayType(kind), lambda m: [[x] for x in sums(m)])(F.col("logits")), F.lit(0))
+    return stage(df.withColumn("_b", both).withColumn("lse", F.col("_b.lse")).withColumn("cat_lse", F.col("_b.cat_lse")).drop("_b"), "sums")
+
+
+# fixed values: from which share, mass and confidence a tag may be picked
+MIN_MEDIUM_SHARE, MIN_MASS, MIN_SHARE, MIN_CONF = 0.3, 0.08, 0.25, 0.12
+SCORE = "array<struct<tag:string,cat:string,share:double,mass:double,conf:double,logit:double,i:int>>"
 
 
 def tag_scores(df: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Add ``scored``: per tag its share inside the category, the category's mass and the confidence."""
-    names = vocab.names
-    meta = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(c).alias("cat"), F.lit(names.index(c)).alias("ci"), F.lit(presence_scale(c)).alias("scale"))
-                     for t, c in zip(vocab.tags, vocab.categories)])
+    """Add ``scored``: the tags that may be picked, with their share inside the category, the category's mass and the confidence."""
+    index, n, tags, cats = vocab.index, len(vocab.names), vocab.tags, vocab.categories
+    scale, medium = np.array([presence_scale(c) for c in cats]), np.array([c == "medium" for c in cats])
 
-    def one(m, i):
-        cat = F.get("cat_lse", m["ci"])
-        share, mass = F.exp(F.get("logits", i) - cat), F.exp(cat - F.col("lse"))
-        conf = F.when(m["cat"] == "medium", share).otherwise(share * F.least(F.lit(1.0), mass / m["scale"]))
-        return F.struct(m["tag"].alias("tag"), m["cat"].alias("cat"), share.alias("share"), mass.alias("mass"), conf.alias("conf"),
-                        F.get("logits", i).alias("logit"), i.alias("i"))
+    def scores(m: np.ndarray) -> list:
+        whole, each = category_sums(m, index, n)
+        share, mass = np.exp(m - each[:, index]), np.exp(each - whole[:, None])[:, index]
+        conf = np.where(medium, share, share * np.minimum(1.0, mass / scale))
+        good = np.where(medium, share >= MIN_MEDIUM_SHARE, (mass >= MIN_MASS) & (share >= MIN_SHARE) & (conf >= MIN_CONF))
+        return [[{"tag": tags[i], "cat": cats[i], "share": share[r, i], "mass": mass[r, i], "conf": conf[r, i], "logit": m[r, i], "i": i} for i in np.flatnonzero(good[r]).tolist()] for r in range(len(m))]
 
-    return stage(df.withColumn("scored", F.transform(meta, one)), "scores")
+    return stage(df.withColumn("scored", _per_vector(SCORE, scores)(F.col("logits"))), "scores")
 
 
 def pick_tags(df: DataFrame, max_tags: int = 8) -> DataFrame:
-    """Add ``picked``: thresholds, limits per category, then the best few. Works on one row at a time, so nothing is shuffled.
+    """Add ``picked``: of the scored tags, limits per category, then the best few. Works on one row at a time, so nothing is shuffled.
 
-    Fixed values: the thresholds and the limits (medium and scene 1, people 3, others 2).
+    Fixed values: the limits (medium and scene 1, people 3, others 2).
     """
-    good = F.filter("scored", lambda t: F.when(t["cat"] == "medium", t["share"] >= 0.3).otherwise(
-        (t["mass"] >= 0.08) & (t["share"] >= 0.25) & (t["conf"] >= 0.12)))
-    df = stage(df.withColumn("_good", good), "picks")
+    df = df.withColumn("_good", F.col("scored"))
     limit = lambda t: F.when(t["cat"].isin("medium", "scene"), 1).when(t["cat"] == "people", 3).otherwise(2)
     ahead = lambda t: F.size(F.filter("_good", lambda o: (o["cat"] == t["cat"]) & ((o["logit"] > t["logit"]) | ((o["logit"] == t["logit"]) & (o["i"] < t["i"])))))
     kept = F.filter("_good", lambda t: ahead(t) < limit(t))
@@ -124,16 +151,20 @@ def tag_assets(df: DataFrame, vec: str, vocab: Vocabulary, max_tags: int = 8) ->
 
 def nearest_tag(df: DataFrame, vec: str, vocab: Vocabulary, name: str | None = None) -> DataFrame:
     """Add ``near`` (tag, category, cos): the closest tag; an exact tag name short-cuts the search."""
-    meta = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(c).alias("category")) for t, c in zip(vocab.tags, vocab.categories)])
-    df = df.withColumn("_cos", cosines(vec, vocab.vectors))
-    ranked = F.transform("_cos", lambda c, i: F.struct(c.alias("cos"), (-i).alias("i"), F.get(meta, i).alias("m")))
-    best = F.array_max(ranked)
-    if name is not None:
-        known = F.array(*[F.lit(t.lower()) for t in vocab.tags])
-        at = F.array_position(known, alower(name)).cast("int") - 1
-        best = F.when(at >= 0, F.get(ranked, at)).otherwise(best)
-    return df.withColumn("_b", best).withColumn("near", F.struct(F.col("_b.m.tag").alias("tag"), F.col("_b.m.category").alias("category"),
-                                                                F.col("_b.cos").alias("cos"))).drop("_cos", "_b")
+    matrix, tags, cats = np.ascontiguousarray(vocab.vectors, dtype=np.float64).T, vocab.tags, vocab.categories
+    known = {t.lower(): i for i, t in reversed(list(enumerate(tags)))}
+
+    @F.pandas_udf("array<struct<tag:string,category:string,cos:double>>")
+    def closest(v: pd.Series, names: pd.Series) -> pd.Series:
+        def best(has: np.ndarray) -> list:
+            c = np.stack(v[has].to_numpy()).astype(np.float64) @ matrix
+            at = [known.get(n, b) for n, b in zip(names[has], c.argmax(axis=1).tolist(), strict=True)]
+            return [[{"tag": tags[i], "category": cats[i], "cos": c[r, i]}] for r, i in enumerate(at)]
+
+        return _filled(v, best)
+
+    wanted = alower(name) if name is not None else F.lit(None).cast("string")
+    return df.withColumn("near", F.get(closest(col(vec), wanted), F.lit(0)))
 
 
 def phrase_confidence(df: DataFrame, vec: str, vocab: Vocabulary, query: np.ndarray, category: str, same: int | None = None) -> DataFrame:

@@ -16,22 +16,24 @@ def checked_rows(spark, sf):
     tag = lambda name, c: F.struct(name.alias("tag"), F.col(c).alias("conf"))
     first = F.when(F.col("id") % 5 == 0, "Screenshot").otherwise(F.col("word1"))
     stem = F.when(F.col("id") % 8 == 1, F.concat(F.lit("Screenshot "), F.col("word1"))).otherwise(F.col("word1"))
-    long = F.concat(F.lit("a_very_long_file_name_about_"), "word2", F.lit("_and_its_parts_20240102_00007.jpg"))
-    words = F.array(F.struct(F.col("word2").alias("word"), F.lit(0.9).alias("p")), F.struct(F.col("brand").alias("word"), F.col("conf1").alias("p")), F.struct(F.lit("ab").alias("word"), F.lit(0.9).alias("p")))
+    long = F.concat(F.lit("a_very_long_file_name_about_"), "word2", F.lit("_and_its_parts_20240102_1234567.jpg"))
+    words = F.array(F.struct(F.col("word2").alias("word"), F.lit(0.9).alias("p")), F.struct(F.col("brand").alias("word"), F.col("conf1").alias("p")), F.struct(F.lit("ab").alias("word"), F.lit(0.9).alias("p")),
+                    F.struct(F.when(F.col("id") % 16 == 1, "screenshot").otherwise("zz").alias("word"), F.lit(0.98).alias("p")))
     return t.select("id", F.concat(F.lit("/lib/"), stem, F.lit(".jpg")).alias("src_path"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("/out/"), long)).alias("dest_path"),
                     F.array(tag(first, "conf1"), tag(F.col("word2"), "conf2")).cast(TAGS).alias("tags"), (F.col("id") % 11 == 0).alias("user_tags"), (F.col("id") % 3 == 0).alias("camera"),
-                    F.when(F.col("id") % 4 == 0, F.concat(F.lit("a picture of a "), F.when(F.col("id") % 8 == 0, "screen").otherwise("lake"))).alias("prompt"), words.alias("name_words"),
+                    F.when(F.col("id") % 4 == 0, F.concat(F.lit("a picture of a "), F.when(F.col("id") % 8 == 0, "screen").otherwise("lake"))).alias("prompt"), words.alias("name_words"), F.when(F.col("id") % 12 == 8, F.array(F.lit("in.png"))).otherwise(F.array().cast("array<string>")).alias("sources"),
                     (F.col("id") % 2 == 0).alias("name_decided"), "word1", "word2", "brand", "conf1", "conf2")
 
 
-RULES = """r AS (SELECT id, CASE WHEN id%5=0 THEN 'Screenshot' ELSE word1 END AS t1, word2 AS t2, conf1, conf2, brand, id%11=0 AS own, id%3=0 AND id%4<>0 AS camera, id%4=0 AS made, id%8=0 AS screens, id%40=4 OR id%40=24 AS answered FROM tagrows),
+RULES = """r AS (SELECT id, CASE WHEN id%5=0 THEN 'Screenshot' ELSE word1 END AS t1, word2 AS t2, conf1, conf2, brand, id%11=0 AS own, id%3=0 AND id%4<>0 AS camera, id%4=0 AS made, id%8=0 AS screens, id%40=4 OR id%40=24 AS answered, id%12=8 AS edit FROM tagrows),
 p AS (
  SELECT id, 'tag' AS field, 'remove' AS action, t1 AS current, '' AS proposed, round(0.9-0.3*conf1,2) AS confidence, 'camera EXIF' AS source FROM r WHERE NOT own AND camera AND t1='Screenshot'
  UNION ALL SELECT id, 'tag', 'add', '', 'screenshot', 0.85, 'file name' FROM r WHERE NOT own AND NOT camera AND id%8=1 AND t1<>'Screenshot'
- UNION ALL SELECT id, 'tag', 'remove', t1, '', round(0.75-0.2*conf1,2), 'prompt' FROM r WHERE NOT own AND made AND NOT answered AND NOT screens AND t1='Screenshot'
- UNION ALL SELECT id, 'tag', 'remove', t1, '', round(least(0.95, 0.8*(1-CASE WHEN t1='Screenshot' THEN 0.3 ELSE 0.5 END*conf1)),2), 'prompt + rating' FROM r WHERE NOT own AND made AND answered
+ UNION ALL SELECT id, 'tag', 'remove', t1, '', round(0.75-0.2*conf1,2), 'prompt' FROM r WHERE NOT own AND made AND NOT edit AND NOT answered AND NOT screens AND t1='Screenshot'
+ UNION ALL SELECT id, 'tag', 'remove', t1, '', round(least(0.95, 0.8*(1-CASE WHEN t1='Screenshot' THEN 0.3 ELSE 0.5 END*conf1)),2), 'prompt + rating' FROM r WHERE NOT own AND made AND NOT edit AND answered
  UNION ALL SELECT id, 'tag', 'add', '', brand, round(0.3+0.6*conf1,2), 'file name + vector' FROM r WHERE NOT own AND NOT made AND conf1>=0.4 AND brand<>'Brand#3'
- UNION ALL SELECT id, 'name', 'rename', 'a_very_long_file_name_about_'||t2||'_and_its_parts_20240102_00007.jpg', CASE WHEN id%8=1 THEN 'Screenshot '||x ELSE x END||'_20240102_00007.jpg', CASE WHEN id%2=0 THEN 0.8 ELSE 0.6 END,
+ UNION ALL SELECT id, 'tag', 'add', '', 'screenshot', 0.89, 'file name + vector' FROM r WHERE NOT own AND NOT made AND id%16=1 AND camera AND t1<>'Screenshot'
+ UNION ALL SELECT id, 'name', 'rename', 'a_very_long_file_name_about_'||t2||'_and_its_parts_20240102_1234567.jpg', CASE WHEN id%8=1 THEN 'Screenshot '||x ELSE x END||'_20240102_1234567.jpg', CASE WHEN id%2=0 THEN 0.8 ELSE 0.6 END,
    CASE WHEN id%2=0 THEN 'file name + rating' ELSE 'file name' END FROM (SELECT r.*, t.word1 AS x FROM r JOIN tagrows t USING (id)) WHERE id%7=0)"""
 
 

@@ -26,17 +26,25 @@ def settings_rows(spark, sf):
     entry = lambda v: F.struct(F.lit("Ascii").alias("t"), F.array(v).alias("v"))
     meta = F.when(m == 4, F.create_map(F.lit("Exif.Photo.UserComment"), entry(F.concat(F.lit("charset=Unicode "), a)))).when(
         m == 5, F.create_map(F.lit("Xmp.dc.description"), entry(F.concat(F.lit('lang="x-default" '), flat, F.lit(" --ar 16:9 Job ID: 12-ab")))))
-    return c.withColumn("chunks", chunks).withColumn("meta", meta)
+    g = graphs(spark, sf).withColumnRenamed("graph", "_g").select("id", "_g")
+    c = c.withColumn("chunks", chunks).withColumn("meta", meta).join(g, "id")
+    # some rows hold a graph too: in a text chunk (first of all), in a camera field (after the chunks), or one that tells nothing
+    found = F.map_concat("chunks", F.create_map(F.lit("prompt"), F.when(F.col("id") % 7 == 0, F.col("_g")).otherwise('{"1": {"class_type": "Note", "inputs": {}}}')))
+    camera = F.map_concat(F.coalesce("meta", F.create_map().cast("map<string,struct<t:string,v:array<string>>>")), F.create_map(F.lit("Exif.Image.Model"), entry(F.concat(F.lit("prompt:"), "_g"))))
+    return c.withColumn("chunks", F.when(F.col("id") % 7 < 2, found).otherwise(F.col("chunks"))).withColumn("meta", F.when(F.col("id") % 7 == 3, camera).otherwise(F.col("meta"))).drop("_g")
 
 
-@query("extract_generation", oracle=r"""
-WITH c AS (SELECT conv_id*1000+turn AS id, trim(translate(text, chr(10)||'"\:', '    ')) AS flat, translate(text, chr(10)||'"\:', '    ') AS rawp, role FROM conversations),
-t AS (SELECT *, id%6 AS m FROM c)
-SELECT id, CASE WHEN m IN (0,4) THEN 'A1111' WHEN m=1 THEN 'Fooocus' WHEN m=2 THEN 'SwarmUI' WHEN m=3 THEN 'InvokeAI' ELSE 'Midjourney' END AS tool,
- md5(CASE WHEN m IN (0,4) THEN ltrim(rawp)||' <lora:ink:0.6>' WHEN m=5 THEN trim(rawp||' --ar 16:9') ELSE rawp END) AS prompt,
- CASE WHEN m IN (0,4) THEN 'lowres, '||role WHEN m=1 THEN 'blurry' WHEN m=3 THEN 'bad' END AS negative, CASE WHEN m IN (0,4) THEN 'dream_'||role WHEN m=1 THEN 'base.bin' WHEN m=2 THEN 'sui' WHEN m=3 THEN 'inv' END AS model,
- CASE WHEN m IN (0,1,4) THEN id::varchar END AS seed, CASE WHEN m IN (0,4) THEN 28 WHEN m=1 THEN 30 WHEN m=2 THEN 20 WHEN m=3 THEN 12 END::bigint AS steps, CASE WHEN m IN (0,4) THEN 6.5 WHEN m=1 THEN 4.5 END::double AS cfg,
- CASE WHEN m IN (0,4) THEN '832x1216' WHEN m=2 THEN '512x768' WHEN m=3 THEN '64x32' END AS size, CASE WHEN m IN (0,4) THEN 'detail=1.0|ink=1.0' END AS loras FROM t""")
+GRAPH_TEXT = r"""trim(translate(trim(text),chr(10)||'"\','   '))"""
+
+
+@query("extract_generation", oracle=rf"""
+WITH c AS (SELECT conv_id*1000+turn AS id, trim(translate(text, chr(10)||'"\:', '    ')) AS flat, translate(text, chr(10)||'"\:', '    ') AS rawp, role, {GRAPH_TEXT} AS g FROM conversations),
+t AS (SELECT *, CASE WHEN id%7=0 OR id%7=3 AND id%6>=4 THEN 6 ELSE id%6 END AS m FROM c)
+SELECT id, CASE WHEN m=6 THEN 'ComfyUI' WHEN m IN (0,4) THEN 'A1111' WHEN m=1 THEN 'Fooocus' WHEN m=2 THEN 'SwarmUI' WHEN m=3 THEN 'InvokeAI' ELSE 'Midjourney' END AS tool,
+ md5(CASE WHEN m=6 THEN CASE WHEN contains(g,'ink '||role) THEN g ELSE g||chr(10)||'ink '||role END WHEN m IN (0,4) THEN ltrim(rawp)||' <lora:ink:0.6>' WHEN m=5 THEN trim(rawp||' --ar 16:9') ELSE rawp END) AS prompt,
+ CASE WHEN m IN (0,4) THEN 'lowres, '||role WHEN m=1 THEN 'blurry' WHEN m=3 THEN 'bad' END AS negative, CASE WHEN m=6 THEN role||'.bin' WHEN m IN (0,4) THEN 'dream_'||role WHEN m=1 THEN 'base.bin' WHEN m=2 THEN 'sui' WHEN m=3 THEN 'inv' END AS model,
+ CASE WHEN m IN (0,1,4,6) THEN id::varchar END AS seed, CASE WHEN m=6 THEN 20 WHEN m IN (0,4) THEN 28 WHEN m=1 THEN 30 WHEN m=2 THEN 20 WHEN m=3 THEN 12 END::bigint AS steps, CASE WHEN m=6 THEN 3.5 WHEN m IN (0,4) THEN 6.5 WHEN m=1 THEN 4.5 END::double AS cfg,
+ CASE WHEN m=6 THEN '1024x768' WHEN m IN (0,4) THEN '832x1216' WHEN m=2 THEN '512x768' WHEN m=3 THEN '64x32' END AS size, CASE WHEN m=6 THEN 'ink.bin=0.7' WHEN m IN (0,4) THEN 'detail=1.0|ink=1.0' END AS loras FROM t""")
 def extract_generation(spark, sf):
     g = generation.extract_generation(settings_rows(spark, sf), "chunks", "meta").select("id", "gen").where("gen is not null")
     loras = F.array_join(F.transform("gen.loras", lambda x: F.concat(x["name"], F.lit("="), x["strength"].cast("string"))), "|")
@@ -50,7 +58,7 @@ def graphs(spark, sf):
     link = lambda n, slot=0: F.from_json(F.lit(f'["{n}","{slot}"]'), "array<string>")
     through = F.col("id") % 3 == 0
     g = F.to_json(F.struct(
-        node("KSampler", seed=link("9"), steps=F.lit(20), cfg=F.lit(3.5), sampler_name=F.lit("euler"), positive=F.when(through, link("12")).otherwise(link("6")), negative=link("7")).alias("3"),
+        node("KSampler", seed=link("9"), steps=link("13"), cfg=F.lit(3.5), scheduler=link("15"), sampler_name=F.lit("euler"), positive=F.when(through, link("12")).otherwise(link("6")), negative=link("7")).alias("3"),
         node("CheckpointLoaderSimple", ckpt_name=F.concat(F.lit("models/"), "role", F.lit(".bin"))).alias("4"),
         node("LoraLoader", lora_name=F.lit("style/ink.bin"), strength_model=F.lit(0.7)).alias("5"),
         node("CLIPTextEncode", text=link("10"), clip=link("5", 1)).alias("6"),
@@ -59,7 +67,8 @@ def graphs(spark, sf):
         node("SeedNode", seed=F.col("id")).alias("9"),
         node("StringConcatenate", string_a=F.col("t"), string_b=link("11"), delimiter=F.lit(", ")).alias("10"),
         node("PrimitiveString", value=F.concat(F.lit("ink "), "role")).alias("11"),
-        node("ControlNetApply", conditioning=link("6"), strength=F.lit(1)).alias("12")))
+        node("ControlNetApply", conditioning=link("6"), strength=F.lit(1)).alias("12"),
+        node("Reroute", value=link("14")).alias("13"), node("PrimitiveInt", value=F.lit(20)).alias("14"), node("PrimitiveString", string=F.lit("karras")).alias("15")))
     # the slot of a link is a number
     return c.withColumn("graph", F.regexp_replace(g, r'\["([0-9]+)","([0-9]+)"\]', '["$1",$2]'))
 
@@ -71,10 +80,10 @@ def trace_prompt_graph(spark, sf):
 
 
 @query("graph_settings", oracle="""
-SELECT conv_id*1000+turn AS id, role||'.bin' AS model, '1024x768' AS size, 20::bigint AS steps, 3.5::double AS cfg, (conv_id*1000+turn)::varchar AS seed, 'euler' AS sampler, 'ink.bin=0.7' AS loras FROM conversations""")
+SELECT conv_id*1000+turn AS id, role||'.bin' AS model, '1024x768' AS size, 20::bigint AS steps, 3.5::double AS cfg, (conv_id*1000+turn)::varchar AS seed, 'euler' AS sampler, 'karras' AS scheduler, 'ink.bin=0.7' AS loras FROM conversations""")
 def graph_settings(spark, sf):
     s = generation.graph_settings(graphs(spark, sf))
-    return s.select("id", "model", "size", "steps", "cfg", "seed", "sampler", F.array_join(F.transform("loras", lambda x: F.concat(x["name"], F.lit("="), x["strength"].cast("string"))), "|").alias("loras"))
+    return s.select("id", "model", "size", "steps", "cfg", "seed", "sampler", "scheduler", F.array_join(F.transform("loras", lambda x: F.concat(x["name"], F.lit("="), x["strength"].cast("string"))), "|").alias("loras"))
 
 
 @query("short_wide_phrases", oracle="""

@@ -35,9 +35,13 @@ def drop_decided(spark, sf):
 
 
 @query("hamming_pairs", using=("hashes",), oracle="""
-SELECT a.id AS a, b.id AS b, bit_count(xor(a.h,b.h))::int AS dist FROM hashes a JOIN hashes b ON a.id<b.id AND bit_count(xor(a.h,b.h))<=6""")
+WITH d AS (SELECT h, min(id) AS id, count(*) AS n FROM hashes GROUP BY h)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h,b.h))::int AS dist, a.n AS n_a, b.n AS n_b FROM d a JOIN d b ON a.id<b.id AND bit_count(xor(a.h,b.h))<=6""")
 def hamming_pairs(spark, sf):
-    return similar.hamming_pairs(hashes(spark, sf).select("id", "h"), 6, node="id")
+    """Pairs of distinct hashes, each named by its first file, with how many files have it: equal hashes are never paired with each other."""
+    d = hashes(spark, sf).groupBy("h").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    n = lambda side: d.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
+    return similar.hamming_pairs(d.select("node", "h"), 6, node="node").join(n("a"), "a").join(n("b"), "b").select("a", "b", "dist", "n_a", "n_b")
 
 
 # decided assets of numbered sequences, from the event set: the number runs per folder, every third one is certain

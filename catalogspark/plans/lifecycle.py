@@ -25,11 +25,12 @@ def apply_user_overrides(spark, sf):
 SELECT 'undecided' AS stage, id FROM shelf WHERE NOT resolved
 UNION ALL SELECT 'unembedded', id FROM shelf WHERE dup_of=0 AND clip_model IS DISTINCT FROM 'm1'
 UNION ALL SELECT 'stale_tags', id FROM shelf WHERE dup_of=0 AND clip_model='m1' AND id%3=0
+UNION ALL SELECT 'few_tags', id FROM shelf WHERE dup_of=0 AND clip_model='m1' AND id%3<>0 AND id%4<2
 UNION ALL SELECT 'no_prompt_keywords', id FROM shelf WHERE gen_tool IS NOT NULL
 UNION ALL SELECT 'undescribed', id FROM shelf WHERE dup_of=0 AND vision_status IS NULL
 UNION ALL SELECT 'failed', id FROM shelf WHERE dup_of=0 AND vision_status='failed'""")
 def work_selection(spark, sf):
-    s = view(spark, sf, "shelf").withColumn("clip_vocab", F.when(F.col("id") % 3 == 0, "old").otherwise("v1")).withColumn("gen_keywords", F.lit(""))
+    s = view(spark, sf, "shelf").withColumn("clip_vocab", F.when(F.col("id") % 3 == 0, "old").otherwise("v1")).withColumn("gen_keywords", F.lit("")).withColumn("sure", F.col("id") % 4)
     return cat.work_selection(s, {"model": "m1", "vocab": "v1"})
 
 
@@ -46,5 +47,5 @@ def catalog_view(spark, sf):
     rows = cat.browse(s).where("favorite AND location = 'Paris'")
     stats = cat.catalog_stats(s).select(F.explode(F.create_map(F.lit("total"), F.col("total"), F.lit("dups"), F.col("dups"))).alias("k", "v"))
     return (part(rows, "row", "id", "size").unionByName(part(cat.month_histogram(s), "month", "month", "files"))
-            .unionByName(part(cat.place_counts(s, 1000), "place", "location", "files"))
+            .unionByName(part(cat.place_counts(s, None), "place", "location", "files"))
             .unionByName(part(dedupe.order_dup_groups(s), "group", "keeper", "waste")).unionByName(part(stats, "stat", "k", "v")))

@@ -110,14 +110,15 @@ def merge_keywords(spark, sf):
 
 @query("suggest", using=("tagrows", "shelf"), oracle="""
 WITH tags AS (SELECT DISTINCT word1 AS tag FROM tagrows UNION SELECT DISTINCT word2 FROM tagrows UNION SELECT DISTINCT kind FROM tagrows),
-r AS (SELECT * FROM (SELECT 1 AS prio, 'tag' AS kind, tag AS text, 'tag:'||tag AS query FROM tags WHERE contains(tag,'g') ORDER BY tag LIMIT 5)
+r AS (SELECT * FROM (SELECT 1 AS prio, 'tag' AS kind, tag AS text, 'tag:'||tag AS query FROM tags WHERE contains(tag,'g') AND tag NOT IN (SELECT min(tag) FROM tags WHERE contains(tag,'g')) ORDER BY tag LIMIT 5)
  UNION ALL SELECT * FROM (SELECT DISTINCT 2, 'place', location, 'place:'||lower(location) FROM shelf WHERE contains(lower(location),'g') ORDER BY 3 LIMIT 7)),
 n AS (SELECT *, row_number() OVER (ORDER BY prio, text) AS n FROM r)
 SELECT kind, text, query FROM n WHERE (prio=1 AND n<=5) OR (prio=2 AND n<=7) UNION ALL SELECT 'filter','generated','is:ai'""")
 def suggest(spark, sf):
     t = view(spark, sf, "tagrows").select(F.explode(F.array("word1", "word2", "kind")).alias("tag")).distinct()
     s = view(spark, sf, "shelf")
-    return cat.suggest("g", t, s.select("location").where("location IS NOT NULL").distinct(), cat.month_histogram(s))
+    first = t.where(F.contains("tag", F.lit("g"))).agg(F.min("tag")).first()[0]
+    return cat.suggest("g", t, s.select("location").where("location IS NOT NULL").distinct(), cat.month_histogram(s), blocked=[f" {first.upper()}"])
 
 
 @query("suggest_dates", using=("tagrows", "shelf"), oracle="""

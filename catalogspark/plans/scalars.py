@@ -207,14 +207,14 @@ BOIL = "['" + "','".join(prompts.BOILERPLATE) + "']"
 
 
 @query("prompt_keywords", oracle=rf"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'masterpiece, Score 9, '||array_to_string(string_split(text,' ')[1:30],', ') ELSE text END AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'masterpiece, Score 9, '||array_to_string(string_split(text,' '),', ') ELSE text END AS text FROM conversations),
 s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({CLEAN},'[，、；;\n]',',','g'),','), lambda p: translate(trim(replace(p,'_',' ')),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')), lambda x: x<>'') AS segs FROM t),
 g AS (SELECT *, list_filter(segs, lambda x: length(regexp_replace(x,'[^ ]','','g'))<=3) AS short FROM s),
 k AS (SELECT conv_id, turn, CASE WHEN len(segs)>=3 AND len(short)*10>=len(segs)*8 THEN list_filter(short, lambda x: NOT list_contains({BOIL},x) AND strlen(x)<=40 AND NOT starts_with(x,'score ') AND NOT starts_with(x,'rating:')) ELSE [] END AS ks FROM g)
 SELECT conv_id, turn, array_to_string(list_filter(ks, lambda x, i: list_position(ks,x)=i)[1:20],'|') AS keywords FROM k""")
 def prompt_keywords(spark, sf):
     c = read(spark, sf, "conversations")
-    tagged = F.concat(F.lit("masterpiece, Score 9, "), F.array_join(F.slice(F.split("text", " "), 1, 30), ", "))
+    tagged = F.concat(F.lit("masterpiece, Score 9, "), F.array_join(F.split("text", " "), ", "))
     return c.select("conv_id", "turn", F.array_join(prompts.prompt_keywords(F.when(F.col("turn") % 2 == 0, tagged).otherwise(F.col("text"))), "|").alias("keywords"))
 
 
@@ -228,13 +228,13 @@ def placeholder_text(spark, sf):
 
 
 @query("text_covers", oracle=r"""
-WITH b AS (SELECT item_id, list_filter(regexp_extract_all(lower(left(text,60)),'[a-z0-9\x80-\x{10FFFF}]+'), lambda w: strlen(w)>1 AND NOT list_contains(['shows','a','an','the','of','and','with','in','on','at','photo'], w)) AS ws, lower(left(text,60)) AS o FROM benchmark),
+WITH b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text),'[a-z0-9\x80-\x{10FFFF}]+'), lambda w: strlen(w)>1 AND NOT list_contains(['shows','a','an','the','of','and','with','in','on','at','photo'], w)) AS ws, lower(text) AS o FROM benchmark),
 n AS (SELECT count(*) AS n FROM benchmark)
 SELECT doc_id AS id, contains(lower(d.text), o) OR (len(ws)>0 AND len(list_filter(ws, lambda w: contains(lower(d.text), w)))=len(ws)) AS covers FROM documents d, n JOIN b ON b.item_id = d.doc_id % n.n""")
 def text_covers(spark, sf):
     b = read(spark, sf, "benchmark")
     n = b.count()
-    j = read(spark, sf, "documents").join(b.select("item_id", F.left("text", F.lit(60)).alias("ours")), F.col("doc_id") % n == F.col("item_id"))
+    j = read(spark, sf, "documents").join(b.select("item_id", F.col("text").alias("ours")), F.col("doc_id") % n == F.col("item_id"))
     return j.select(F.col("doc_id").alias("id"), tx.text_covers("text", "ours").alias("covers"))
 
 

@@ -65,19 +65,19 @@ def blended(spark, sf):
     return search.ask_blend(c, rating, arb)
 
 
-BLEND = """b AS (SELECT *, CASE WHEN id%4<>0 THEN (id*37)%101 END AS r, CASE WHEN id%4<>0 AND (id*37)%101 BETWEEN 30 AND 70 AND id%3<>0 THEN (id*53)%101 END AS q FROM cand WHERE local>=0.5),
-d AS (SELECT *, CASE WHEN q IS NOT NULL THEN 0.5*r+0.5*q ELSE r END AS decision FROM b)"""
+BLEND = """b AS (SELECT *, CASE WHEN id%4<>0 THEN (id*37)%101 END AS r, CASE WHEN (id%4=0 OR (id*37)%101 BETWEEN 30 AND 70) AND id%3<>0 THEN (id*53)%101 END AS q FROM cand WHERE local>=0.5),
+d AS (SELECT *, CASE WHEN q IS NOT NULL AND r IS NOT NULL THEN 0.5*r+0.5*q ELSE coalesce(r,q) END AS decision FROM b)"""
 
 
 @query("ask_blend", using=("cosines", "docs"), oracle=f"""
-WITH {PHRASE}, {ASK}, {BLEND} SELECT id, round(CASE WHEN decision IS NULL THEN local ELSE 0.3*local+0.7*decision/100.0 END,6) AS score, q IS NOT NULL AND (r>=50)<>(decision>=50) AS changed FROM d WHERE decision IS NULL OR decision>=50""")
+WITH {PHRASE}, {ASK}, {BLEND} SELECT id, round(CASE WHEN decision IS NULL THEN local ELSE 0.3*local+0.7*decision/100.0 END,6) AS score, coalesce(q IS NOT NULL AND (r>=50)<>(decision>=50),false) AS changed FROM d WHERE decision IS NULL OR decision>=50""")
 def ask_blend(spark, sf):
     return blended(spark, sf).where("kept").select("id", F.round("score", 6).alias("score"), "changed")
 
 
 @query("ask_decision_log", using=("cosines", "docs"), oracle=f"""
-WITH {PHRASE}, {ASK}, {BLEND} SELECT 'search' AS kind, id AS photo_id, name AS question, CASE WHEN r>=50 THEN 'keep' ELSE 'drop' END AS rules_pick, CASE WHEN q>=50 THEN 'yes' ELSE 'no' END AS arbiter_pick,
- CASE WHEN decision>=50 THEN 'keep' ELSE 'drop' END AS final_pick, (r>=50)<>(decision>=50) AS changed FROM d WHERE q IS NOT NULL""")
+WITH {PHRASE}, {ASK}, {BLEND} SELECT 'search' AS kind, id AS photo_id, name AS question, CASE WHEN r IS NULL THEN '-' WHEN r>=50 THEN 'keep' ELSE 'drop' END AS rules_pick, CASE WHEN q>=50 THEN 'yes' ELSE 'no' END AS arbiter_pick,
+ CASE WHEN decision>=50 THEN 'keep' ELSE 'drop' END AS final_pick, coalesce((r>=50)<>(decision>=50),false) AS changed FROM d WHERE q IS NOT NULL""")
 def ask_decision_log(spark, sf):
     return search.ask_decision_log(blended(spark, sf), "a question").select("kind", "photo_id", "question", "rules_pick", "arbiter_pick", "final_pick", "changed")
 

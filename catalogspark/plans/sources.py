@@ -62,17 +62,17 @@ def upsert_scan(spark, sf):
 def page_lines(spark, sf):
     """"key type value" lines of every page: its tags with their attributes, and its address."""
     p = read(spark, sf, "pages")
-    tags = F.regexp_extract_all("html", F.lit("<(h1|title|article|footer|li|p|a)[ >]"), F.lit(1))
-    lines = F.concat(F.array(F.concat(F.lit("Xmp.page.url XmpBag "), F.regexp_replace("url", "[?&#/]", ",")), F.concat(F.lit("Exif.Blob Undefined "), F.left("html", F.lit(300))),
+    tags = F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), F.lit(1))
+    lines = F.concat(F.array(F.concat(F.lit("Xmp.page.url XmpBag "), F.regexp_replace("url", "[?&#/]", ",")), F.concat(F.lit("Exif.Blob Undefined "), F.translate("html", "\n", " ")),
                              F.lit("malformed")), F.transform(tags, lambda t, i: F.concat(F.lit("Xmp.tag."), t, F.lit("   XmpText  n"), i.cast("string"))))
     return p.select(F.col("page_id").alias("id"), F.posexplode(lines).alias("pos", "line"))
 
 
 @query("meta_lines_to_map", oracle="""
-WITH t AS (SELECT page_id AS id, unnest(ts) AS tag, unnest(range(len(ts))) AS i FROM (SELECT page_id, regexp_extract_all(html,'<(h1|title|article|footer|li|p|a)[ >]',1) AS ts FROM pages))
+WITH t AS (SELECT page_id AS id, unnest(ts) AS tag, unnest(range(len(ts))) AS i FROM (SELECT page_id, regexp_extract_all(html,'<([a-z][a-z0-9]*)[ >]',1) AS ts FROM pages))
 SELECT id, 'Xmp.tag.'||tag AS key, 'XmpText' AS type, string_agg('n'||i, '|' ORDER BY i) AS vals FROM t GROUP BY 1, 2
 UNION ALL SELECT page_id, 'Xmp.page.url', 'XmpBag', regexp_replace(url,'[?&#/]',',','g') FROM pages
-UNION ALL SELECT page_id, 'Exif.Blob', 'Undefined', left(html,300) FROM pages WHERE length(left(html,300))<=200""")
+UNION ALL SELECT page_id, 'Exif.Blob', 'Undefined', translate(html,chr(10),' ') FROM pages WHERE strlen(html)<=200""")
 def meta_lines_to_map(spark, sf):
     m = cat.meta_lines_to_map(page_lines(spark, sf))
     return m.select("id", F.explode("meta").alias("key", "e")).select("id", "key", F.col("e.t").alias("type"), F.array_join("e.v", "|").alias("vals"))
@@ -122,18 +122,19 @@ def drop_blocked(spark, sf):
 
 @query("dupe_report_csv", using=("shelf",), oracle="""
 WITH g AS (SELECT k.id AS keeper, row_number() OVER (ORDER BY k.size*count(*) DESC, k.id) AS grp FROM shelf m JOIN shelf k ON m.dup_of=k.id WHERE m.dup_of>0 GROUP BY k.id, k.size)
-SELECT grp AS "group", 'duplicate' AS role, id, size, coalesce(date_value,'') AS date, src_path AS path FROM shelf JOIN g ON dup_of=keeper WHERE dup_of>0
-UNION ALL SELECT grp, 'keep', id, size, coalesce(date_value,''), src_path FROM shelf JOIN g ON id=keeper""")
+SELECT grp AS "group", 'duplicate' AS role, id, size, (600+id%1000)::bigint AS width, (400+id%900)::bigint AS height, coalesce(date_value,'') AS date, src_path AS path FROM shelf JOIN g ON dup_of=keeper WHERE dup_of>0
+UNION ALL SELECT grp, 'keep', id, size, 600+id%1000, 400+id%900, coalesce(date_value,''), src_path FROM shelf JOIN g ON id=keeper""")
 def dupe_report_csv(spark, sf):
-    return dedupe.dupe_report(view(spark, sf, "shelf"))
+    s = view(spark, sf, "shelf")
+    return dedupe.dupe_report(s.withColumn("width", 600 + F.col("id") % 1000).withColumn("height", 400 + F.col("id") % 900))
 
 
 @query("build_docs", using=("docs",), oracle="""
 SELECT id, lower(src_path)||CASE WHEN dest_path IS NULL THEN '' ELSE chr(10)||lower(dest_path) END AS name,
- md5(left(body,40)||CASE WHEN lang='' OR contains(left(body,40),lang) THEN '' ELSE ' | '||lang END||CASE WHEN contains(left(body,40)||' | '||lang, name) THEN '' ELSE ' | '||name END) AS descr FROM docs WHERE n_chars%9<>0""")
+ md5(body||CASE WHEN lang='' OR contains(body,lang) THEN '' ELSE ' | '||lang END||CASE WHEN contains(body||' | '||lang, name) THEN '' ELSE ' | '||name END) AS descr FROM docs WHERE n_chars%9<>0""")
 def build_docs(spark, sf):
     d = view(spark, sf, "docs").withColumn("dup_of", F.when(F.col("n_chars") % 9 == 0, 1).otherwise(0)).withColumn("label", F.col("name"))
-    out = search.build_docs(d.withColumn("tags", F.array("lang")), caption=F.left("body", F.lit(40)), parts=F.array("lang", F.lit(""), "lang", "label"))
+    out = search.build_docs(d.withColumn("tags", F.array("lang")), caption="body", parts=F.array("lang", F.lit(""), "lang", "label"))
     return out.select("id", "name", F.md5("desc_raw").alias("descr"))
 
 

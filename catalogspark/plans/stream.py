@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
 from ..session import ensure_checkpoint_dir
 from ..sources.views import _SPARK, _VIEWS, _render, read, view
-from ..streaming.watch import Catalog, run_metrics, watch_catalog
+from ..streaming.watch import Catalog, metric_columns, watch_catalog
 from .registry import query
 
 
@@ -29,14 +30,25 @@ def latest_version(spark, sf):
 @query("watch_catalog", using=("assets",), oracle="""
 SELECT '/lib/user_'||user_id||'/'||kind||'.jpg' AS src_path, max_by(size, struct_pack(m := mtime, i := id)) AS size, false AS resolved FROM assets GROUP BY 1""")
 def watch(spark, sf):
-    """The catalog a file stream builds from the event table equals the newest version of every path."""
+    """The catalog that two file streams build from the event table, in batches out of order, equals the newest version of every path."""
     base = f"{ensure_checkpoint_dir(spark)}/watch-{uuid.uuid4().hex}"
-    schema = read(spark, sf, "events").schema
-    stream = watch_catalog(spark, f"{sf}/event[s].parquet", schema, f"{base}/catalog", f"{base}/progress", prepare=scan_rows)
-    stream.awaitTermination()
+    events = read(spark, sf, "events")
+    # files that each hold events of all times, so later batches bring older rows
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).repartition(3, F.xxhash64("event_id")).write.parquet(f"{base}/arrived-{half}")
+        stream = watch_catalog(spark, f"{base}/arrived-{half}", events.schema, f"{base}/catalog", f"{base}/progress-{half}", prepare=scan_rows, files_per_batch=1)
+        stream.awaitTermination()
+        if not half:
+            Catalog(spark, f"{base}/catalog").compact()
     return Catalog(spark, f"{base}/catalog").read().select("src_path", "size", "resolved")
 
 
-@query("run_metrics", using=("assets",), oracle="SELECT id, size FROM assets")
+@query("run_metrics", using=("assets",), oracle="""
+SELECT count(*) AS done, sum(CASE WHEN id%50=0 THEN 0 ELSE size END)::bigint AS bytes, count(*) FILTER (id%50=0 OR size<=0) AS errors FROM assets""")
 def metrics(spark, sf):
-    return run_metrics(view(spark, sf, "assets"), f"scan-{uuid.uuid4().hex[:8]}").select("id", "size")
+    """The figures that a stage reports beside its rows, read back after it ran."""
+    seen = Observation(f"scan-{uuid.uuid4().hex[:8]}")
+    assets = view(spark, sf, "assets").withColumn("size", F.when(F.col("id") % 50 == 0, 0).otherwise(F.col("size")))
+    assets.observe(seen, *metric_columns()).select("id", "size").write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.range(1).select(*[F.lit(got[k]).cast("bigint").alias(k) for k in ("done", "bytes", "errors")])

@@ -35,23 +35,26 @@ def assign_root(df: DataFrame, roots: list[str], path: str = "src_path") -> Data
     return df.withColumn("root", out)
 
 
-MAX_VOCABULARY_LINES = 1_000_000
+LINE_RANGE = 100_000
 
 
-def vocabulary_lines(lines: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
+def vocabulary_lines(lines: DataFrame, pos: str = "pos", text: str = "text", width: int = LINE_RANGE) -> DataFrame:
     """``tag, category, pos`` from lines: "# name" opens a category, the first spelling of a tag wins.
 
-    A vocabulary is a hand-edited list; its size is checked before the single ordered pass.
+    Headings are carried forward inside ranges of ``width`` positions; the last heading of the ranges before is added, so no task reads
+    more than one range and one row of each range.
     """
-    if lines.count() > MAX_VOCABULARY_LINES:
-        raise ValueError(f"a vocabulary may have {MAX_VOCABULARY_LINES} lines")
     t = F.trim(F.col(text))
     name = F.trim(F.substring(t, F.lit(2), F.length(t)))
     heading = t.startswith("#")
     cat = F.when(heading & (name != "") & ~F.contains(name, F.lit(":")), F.when(name == "style", "composition").otherwise(name))
-    w = Window.partitionBy(F.lit(1)).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("category", F.coalesce(F.last(cat, ignorenulls=True).over(w), F.lit("object"))).where((t != "") & ~heading)
-    firsts = tagged.select(t.alias("tag"), "category", F.col(pos).alias("pos"))
+    rows = lines.select(t.alias("tag"), F.col(pos).alias("pos"), cat.alias("_cat"), heading.alias("_head"), F.floor(F.col(pos) / width).alias("_range"))
+    inside = Window.partitionBy("_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = rows.groupBy("_range").agg(F.max_by("_cat", F.when(F.col("_cat").isNotNull(), F.col("pos"))).alias("_last"))
+    lasts = lasts.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_open"))
+    tagged = rows.withColumn("_cat", F.last("_cat", ignorenulls=True).over(inside)).where((F.col("tag") != "") & ~F.col("_head")).join(lasts, "_range")
+    firsts = tagged.select("tag", F.coalesce("_cat", "_open", F.lit("object")).alias("category"), "pos")
     return firsts.groupBy(alower("tag").alias("_key")).agg(F.min_by(F.struct("tag", "category", "pos"), "pos").alias("f")).select("f.*")
 
 

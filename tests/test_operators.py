@@ -62,7 +62,7 @@ def test_components_equal_union_find(spark):
 def test_numbering_of_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"), F.xxhash64("id").alias("o"), "id")
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")))
-    got = numbered(df, ["k"], [F.asc("o")], "n", hot_rows=100)
+    got = numbered(df, ["k"], [F.asc("o")], "n")
     assert sorted(map(tuple, got.select("id", "n").collect())) == sorted(map(tuple, want.select("id", "n").collect()))
 
 
@@ -172,3 +172,86 @@ def test_stream_equals_batch(spark):
     # a repeated batch changes nothing
     Catalog(spark, f"{base}/catalog").fold(spark.read.parquet(f"{src}/b2"), 2)
     assert {r["src_path"] for r in Catalog(spark, f"{base}/catalog").read().collect()} == {"/a", "/b", "/c"}
+
+
+def test_stream_keeps_the_newest_row_and_survives_new_progress(spark):
+    src, base = fresh(), fresh()
+    schema = "src_path string, size bigint, mtime bigint, at int"
+    struct = spark.createDataFrame([], schema).schema
+    rows = lambda: {r["src_path"]: r["size"] for r in Catalog(spark, f"{base}/catalog").read().collect()}
+    for i, batch in enumerate([[("/a", 2, 9, 9), ("/b", 5, 1, 1)], [("/a", 1, 1, 1), ("/b", 6, 2, 2)], [("/z", 7, 1, 1), ("/b", 4, 0, 0)]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{src}/b{i}")
+        # every run has a progress folder of its own and sees one folder only
+        watch_catalog(spark, f"{src}/b{i}", struct, f"{base}/catalog", f"{base}/progress{i}").awaitTermination()
+        if i == 1:
+            Catalog(spark, f"{base}/catalog").compact()
+    assert rows() == {"/a": 2, "/b": 6, "/z": 7}
+    Catalog(spark, f"{base}/catalog").compact()
+    Catalog(spark, f"{base}/catalog").compact()
+    assert rows() == {"/a": 2, "/b": 6, "/z": 7}
+
+
+def test_serials_of_missing_keys(spark):
+    todo = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "d", 1)], "id int, day string, first_sn int")
+    taken = spark.createDataFrame([(None, 1), ("d", 2)], "day string, sn int")
+    got = {r["id"]: r["sn"] for r in organize.assign_serials(todo, taken, ["day"], [F.asc("id")]).collect()}
+    assert got == {1: 2, 2: 3, 3: 1}
+
+
+def test_first_correction_rule_stands(spark):
+    from catalogspark.operators.corrections import propose_corrections
+
+    rows = [(1, "/p/Screenshot 1.png", None, [], False, False, None, [("screenshot", 0.98)], False, []),
+            (2, "/p/x.png", "/out/a_very_long_file_name_about_things_and_its_parts_20240102_123456.jpg", [("code", 0.9)], False, False, "a lake", [], False, ["in.png"])]
+    df = spark.createDataFrame(rows, "id int, src_path string, dest_path string, tags array<struct<tag:string,conf:double>>, user_tags boolean, camera boolean, prompt string, "
+                                     "name_words array<struct<word:string,p:double>>, name_decided boolean, sources array<string>")
+    got = {(r["id"], r["field"]): (r["proposed"], r["confidence"], r["source"]) for r in propose_corrections(df).collect()}
+    assert got[1, "tag"] == ("screenshot", 0.85, "file name")
+    assert (2, "tag") not in got and got[2, "name"][0].endswith("_20240102_123456.jpg")
+
+
+def test_second_opinions_alone_and_missing_vectors(spark):
+    from catalogspark.operators import search, tags
+
+    cands = spark.createDataFrame([(1, 0.9), (2, 0.9), (3, 0.9)], "id int, local double")
+    rating = spark.createDataFrame([(2, 90.0)], "id int, r double")
+    arbiter = spark.createDataFrame([(1, 3.0), (2, 1.0)], "id int, q double")
+    got = {r["id"]: (r["kept"], round(r["score"], 3)) for r in search.ask_blend(cands, rating, arbiter).collect()}
+    assert got == {1: (False, round(0.27 + 0.021, 3)), 2: (True, round(0.27 + 0.63, 3)), 3: (True, 0.9)}
+    vocab = tags.Vocabulary(["a", "b"], ["object", "object"], [[1.0, 0.0], [0.0, 1.0]])
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id int, vec array<double>")
+    picked = {r["id"]: r["picked"] for r in tags.tag_assets(df, "vec", vocab).collect()}
+    assert picked[1][0]["tag"] == "a" and not picked[2]
+
+
+def test_changed_times_are_reported(spark):
+    plan = spark.createDataFrame([(1, "copy", "/a", None, "/o/1", True, 5, 7), (2, "copy", "/b", None, "/o/2", True, 5, 7)], "id int, action string, src string, old_dest string, dest string, include boolean, size bigint, mtime bigint")
+    catalog = spark.createDataFrame([], "dest_path string")
+    now = spark.createDataFrame([("/a", 5, 7), ("/b", 5, 8)], "src_path string, size bigint, mtime bigint")
+    assert {r["id"]: r["problem"] for r in organize.validate_plan(plan, catalog, now).collect()} == {1: None, 2: "source changed"}
+
+
+def test_long_vocabularies(spark):
+    lines = spark.range(1_200_000).select(F.col("id").alias("pos"), F.when(F.col("id") % 300_000 == 5, F.concat(F.lit("# part"), (F.col("id") / 300_000).cast("int").cast("string"))).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    got = files.vocabulary_lines(lines).groupBy("category").count().collect()
+    assert {r["category"]: r["count"] for r in got} == {"object": 5, "part0": 299_999, "part1": 299_999, "part2": 299_999, "part3": 299_994}
+
+
+def test_all_places_are_counted(spark):
+    rows = spark.range(1500).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("location"))
+    assert cat.place_counts(rows, None).count() == 1500 and cat.place_counts(rows).count() == 8
+
+
+def test_plans_do_not_grow_with_the_vocabulary(spark):
+    import numpy as np
+    from catalogspark.operators import tags
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(20_000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vocab = tags.Vocabulary([f"t{i}" for i in range(20_000)], [("object", "scene", "medium", "people")[i % 4] for i in range(20_000)], vectors)
+    df = spark.createDataFrame([(i, vectors[i * 7].tolist()) for i in range(5)], "id int, vec array<double>")
+    out = tags.tag_assets(df, "vec", vocab)
+    assert len(out._jdf.queryExecution().toString()) < 50_000
+    assert {r["id"]: r["near"]["tag"] for r in tags.nearest_tag(df, "vec", vocab).collect()} == {i: f"t{i * 7}" for i in range(5)}
+    assert out.count() == 5

@@ -6,12 +6,9 @@ import pytest
 from catalogspark import plans
 
 REG = plans.load_all()
-# long to plan and covered by decide_dates on the same evidence; tests/compare.py runs them too
-SLOW = {"assets_per_month", "union_candidates", "rank_candidates", "borrow_detail", "distinct_alternatives", "option_text", "confirm_candidates", "explain_asset",
-        "cluster_similar_hot_keys", "plan_rename_in_place", "record_run"}
 
 
-@pytest.mark.parametrize("name", [n for n in REG.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(REG.QUERIES))
 def test_query(spark, name):
     assert compare.differences(name, REG.QUERIES[name], REG.ORACLES.get(name), spark, "0.001") == ""
 

@@ -34,7 +34,7 @@ from .common import documents, map_arrow, shuffle_parts, written
 from .segment import mixed, span_hashes
 
 SPARE, LEVELS, BITS = 1, 4, 1024
-PART_BYTES = 3_000_000
+PART_BYTES = 1_500_000
 PIECE_ROWS = 2000
 LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -230,7 +230,7 @@ def signature_notes(base: DataFrame, words: int, bands: Bands, buckets: int) ->
                 fresh = np.zeros(len(name), bool)
                 for k, x in enumerate(name.tolist()):
                     if x not in seen:
-                        if len(seen) < 1_000_000:  # a set forgotten is only sent once more
+                        if len(seen) < 200_000:  # a set forgotten is only sent once more
                             seen.add(x)
                         fresh[k] = True
                 keep = np.flatnonzero(fresh)
@@ -258,7 +258,7 @@ def signature_notes(base: DataFrame, words: int, bands: Bands, buckets: int) ->
             for t in b.column("raw").to_pylist():
                 held.append(t or b"")
                 size += len(held[-1])
-            if size >= 8 * PART_BYTES:
+            if size >= 6 * PART_BYTES:
                 yield from flush()
                 held, size = [], 0
         if held:

@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
 Documents that share a link value (by default: equal texts) are neighbours. Every document starts with a label drawn from its row
-number; in each round a document asks to move to the label that weighs most among its neighbours, among labels with room
-left, and a quota per label decides which requests are met. Afterwards the unlinked documents fill what room is left, so that shard
-counts differ by one at most (law ``rows``).
+number; in each round a document asks to move to the label that weighs most among its neighbours, if it weighs more than its own (after
+the first round, among labels that have a twentieth of their room left or enough for the rest of its group), and a quota per label, its room and what its leavers free, decides
+which requests are met. Afterwards the unlinked documents fill what room is left, so that shard counts differ by one at most (law ``rows``).
 
 Neighbours meet through the link value (a hub), so a group of k documents costs k rows a round instead of k*k pairs; the weights are
 counted per (group, label) before they are shuffled. Quotas and positions come from prefix sums over hash buckets, so that no task
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-FIELDS = 64
+FIELDS, ROW_FIELDS = 64, 256
 
 
 def _caps(n: int, shards: int) -> list[int]:
@@ -42,10 +42,10 @@ def _numbered(df: DataFrame, keys: list[str], row: str, buckets: int, out: str)
     return df.withColumn("_local", local).join(shift, [*keys, "_b"]).withColumn(out, F.col("_shift") + F.col("_local")).drop("_b", "_local", "_shift")
 
 
-def propagate(linked: DataFrame, caps: list[int], rounds: int = 4) -> tuple[DataFrame, list[int]]:
+def propagate(linked: DataFrame, caps: list[int], rounds: int = 8) -> tuple[DataFrame, list[int]]:
     """Move ``_row, _key, _label`` towards their neighbours' labels under ``caps``; returns the rows and the counts per label.
 
-    Stops when no request is met. A row keeps its label when its wish has no room.
+    Stops when nothing moves. A row keeps its label when its wish has no room.
     """
     shards = len(caps)
 
@@ -54,25 +54,26 @@ def propagate(linked: DataFrame, caps: list[int], rounds: int = 4) -> tuple[Data
         return [got.get(t, 0) for t in range(shards)]
 
     used = counts(linked)
-    for _ in range(rounds):
+    for turn in range(rounds):
         free = [max(0, c - u) for c, u in zip(caps, used, strict=True)]
         weights = linked.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_w"))
         per_key = weights.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_label", "_w"))).alias("_m"))  # at most one entry a shard
         # the heaviest label with room; among equals a label that depends on the group, so that groups do not all ask for the same one
-        choices = F.array(*[
-            F.struct(
-                F.when(F.lit(free[t] > 0), F.coalesce(F.try_element_at("_m", F.lit(t)), F.lit(0))).otherwise(F.lit(-1)).alias("w"),
-                F.pmod(F.xxhash64("_key", F.lit(t)), F.lit(1 << 20)).alias("tie"), F.lit(t).alias("t"))
-            for t in range(shards)])
-        best = F.array_max(choices)
-        wish = written(per_key.select("_key", F.when(best["w"] > 0, best["t"]).alias("_to")), "wishes")
-        asked = linked.join(wish, "_key")
+        choices = F.array(*[F.struct(F.coalesce(F.try_element_at("_m", F.lit(t)), F.lit(0)).alias("w"), F.pmod(F.xxhash64("_key", F.lit(t)), F.lit(1 << 20)).alias("tie"), F.lit(t).alias("t")) for t in range(shards)])
+        open_ = [t for t in range(shards) if turn == 0 or free[t] > caps[t] // 20]
+        rest = lambda c: F.aggregate("_choices", F.lit(0).cast("long"), lambda s, x: s + x["w"]) - c["w"]
+        best = F.array_max(F.filter("_choices", lambda c: (c["w"] > 0) & (c["t"].isin(open_) | (rest(c) <= F.element_at(_lit_array(free), c["t"] + 1)))))
+        wish = written(per_key.select("_key", choices.alias("_choices")).withColumn("_best", best), "wishes")
+        asked = linked.join(wish, "_key").withColumn("_to", F.when(F.col("_best") > F.get("_choices", F.col("_label")), F.col("_best.t")))
         # requests are met in the order of these fields: groups stay together, and a group too large for the room left is cut
-        field = F.pmod(F.xxhash64("_key"), F.lit(FIELDS)) * FIELDS + F.pmod(F.xxhash64("_row"), F.lit(FIELDS))
-        asked = written(asked.select("_row", "_key", "_label", F.when(F.col("_to") != F.col("_label"), F.col("_to")).alias("_to"), field.cast("int").alias("_f")), "asked")
+        field = F.pmod(F.xxhash64("_key"), F.lit(FIELDS)) * ROW_FIELDS + F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(ROW_FIELDS))
+        asked = written(asked.select("_row", "_key", "_label", "_to", field.cast("int").alias("_f")), "asked")
+        # rows that ask to leave a label make room there; where they are not let in elsewhere, the surplus is settled at the end
+        leaving = {r["_label"]: r["count"] for r in asked.where("_to is not null").groupBy("_label").count().collect()}
+        quota = [max(0, c - u + leaving.get(t, 0)) for t, (c, u) in enumerate(zip(caps, used, strict=True))]
         per_field = asked.where("_to is not null").groupBy("_to", "_f").agg(F.count(F.lit(1)).alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy("_to").orderBy("_f"))
-        met = per_field.select("_to", "_f", (upto <= F.element_at(_lit_array(free), F.col("_to") + 1)).alias("_met")).where("_met")
+        met = per_field.select("_to", "_f", (upto <= F.element_at(_lit_array(quota), F.col("_to") + 1)).alias("_met")).where("_met")
         moved = written(asked.join(met, ["_to", "_f"], "left").select("_row", "_key", F.when(F.col("_met"), F.col("_to")).otherwise(F.col("_label")).alias("_label")), "labels")
         now = counts(moved)
         linked = moved
@@ -82,7 +83,7 @@ def propagate(linked: DataFrame, caps: list[int], rounds: int = 4) -> tuple[Data
     return linked, used
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, rounds: int = 8) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     facts = written(docs.select(

@@ -24,10 +24,6 @@ def alower(c) -> Column:
     return F.translate(col(c), _UPPER, _LOWER)
 
 
-def blank_to_null(c) -> Column:
-    return F.when(F.length(col(c)) > 0, col(c))
-
-
 def basename(path) -> Column:
     return F.substring_index(col(path), "/", -1)
 
@@ -135,10 +131,15 @@ def is_text_image(path) -> Column:
 
 def excerpt(text, term, around: int = 24) -> Column:
     """The first hit of ``term`` with context on both sides; cut ends are marked."""
-    t, w = col(text), term if isinstance(term, Column) else F.lit(term)
-    pos = F.locate_col(w, alower(t)) if hasattr(F, "locate_col") else F.position(w, alower(t))
+    w = term if isinstance(term, Column) else F.lit(term)
+    return excerpt_at(text, F.position(w, alower(text)), F.length(w), around)
+
+
+def excerpt_at(text, pos: Column, length: Column, around: int = 24) -> Column:
+    """The stretch at ``pos`` (from 1) with context on both sides."""
+    t = col(text)
     start = F.greatest(pos - around, F.lit(1))
-    stop = F.least(pos + F.length(w) + around, F.length(t) + 1)
+    stop = F.least(pos + length + around, F.length(t) + 1)
     body = F.trim(F.translate(F.substring(t, start, stop - start), "\n", " "))
     return F.when(pos > 0, F.concat(F.when(start > 1, "…").otherwise(""), body,
                                     F.when(stop <= F.length(t), "…").otherwise("")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import MIN_MATCH, best_term_weight, term_weight
-from ..functions.text import alower, basename, col, excerpt, utf8_cut
+from ..functions.text import alower, basename, col, excerpt_at, meta_line, utf8_cut
 
 OWN_NAMESPACE = "Xmp.catalog."
 
@@ -44,11 +44,22 @@ def top_hits(df: DataFrame, limit: int, score: str = "score") -> DataFrame:
 
 
 def regex_search(df: DataFrame, pattern: str, fields: dict) -> DataFrame:
-    """Case-insensitive matches with the first field that matches and the matched text."""
+    """Case-insensitive matches: the first field that matches, the matched text, and ``why``: its label with the start of a name, the text
+    around the match, or the metadata line it stands in (field ``exif``)."""
     p = "(?i)" + pattern
-    where = F.coalesce(*[F.when(col(c).rlike(p), f) for f, c in fields.items()])
-    text = F.coalesce(*[F.when(col(c).rlike(p), F.regexp_extract(col(c), p, 0)) for c in fields.values()])
-    return df.withColumn("field", where).where(F.col("field").isNotNull()).withColumn("hit", text)
+
+    def shown(field: str, c) -> Column:
+        hit = F.regexp_extract(col(c), p, 0)
+        if field == "name":
+            text = F.left(hit, F.lit(80))
+        elif field == "exif":
+            text = meta_line(c, hit)
+        else:
+            text = excerpt_at(c, F.regexp_instr(col(c), F.lit(p)), F.length(hit))
+        return F.when(col(c).rlike(p), F.struct(F.lit(field).alias("field"), hit.alias("hit"), F.concat(F.lit(f"{field}: "), text).alias("why")))
+
+    found = df.withColumn("_m", F.coalesce(*[shown(f, c) for f, c in fields.items()])).where("_m is not null")
+    return found.withColumns({k: F.col(f"_m.{k}") for k in ("field", "hit", "why")}).drop("_m")
 
 
 def search_words(df: DataFrame, terms: list[str], excludes: list[str], fields: dict, alts: dict | None = None) -> DataFrame:
@@ -161,8 +172,3 @@ def english_phrase(queries: DataFrame, translations: DataFrame) -> DataFrame:
 def date_listing(df: DataFrame) -> DataFrame:
     """An empty query with a date range lists its pool in catalog order."""
     return df.select("id", F.lit(0.0).alias("score"), F.left("date_value", F.lit(10)).alias("why")).orderBy("id")
-
-
-def why_excerpt(fields: dict, term: str) -> Column:
-    """The first field with a hit and the text around it."""
-    return F.coalesce(*[F.when(F.contains(alower(c), F.lit(term)), F.concat(F.lit(f + ": "), excerpt(c, term))) for f, c in fields.items()])

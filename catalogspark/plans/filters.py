@@ -161,10 +161,11 @@ def term_weight(spark, sf):
 
 @query("regex_search", using=("docs",), oracle=r"""
 SELECT id, CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN 'name' ELSE 'desc' END AS field,
- CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN regexp_extract(name,'src1[0-3]',0,'i') ELSE regexp_extract(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]',0,'i') END AS hit
-FROM docs WHERE regexp_matches(name,'src1[0-3]','i') OR regexp_matches(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]','i')""")
+ hit, CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN 'name: '||hit ELSE 'desc: '||CASE WHEN s>1 THEN '…' ELSE '' END||trim(translate(substr(body,s,e-s),chr(10),' '))||CASE WHEN e<=length(body) THEN '…' ELSE '' END END AS why
+FROM (SELECT *, greatest(pos-24,1) AS s, least(pos+length(hit)+24, length(body)+1) AS e FROM (SELECT *, strpos(body, hit) AS pos FROM (SELECT *,
+ CASE WHEN regexp_matches(name,'src1[0-3]','i') THEN regexp_extract(name,'src1[0-3]',0,'i') ELSE regexp_extract(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]',0,'i') END AS hit FROM docs))) WHERE regexp_matches(name,'src1[0-3]','i') OR regexp_matches(body,'(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]','i')""")
 def regex_search(spark, sf):
-    return search.regex_search(spread(view(spark, sf, "docs")), "(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]", {"name": "name", "desc": "body"}).select("id", "field", "hit")
+    return search.regex_search(spread(view(spark, sf, "docs")), "(^|[ .])[a-d]{3}ou[a-z]*|src1[0-3]", {"name": "name", "desc": "body"}).select("id", "field", "hit", "why")
 
 
 @query("browse", using=("shelf",), oracle="""

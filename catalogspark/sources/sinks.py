@@ -1,4 +1,4 @@
-"""Writers: append-only facts, snapshots and the duplicate report."""
+"""Writers: append-only facts and the duplicate report."""
 
 from __future__ import annotations
 
@@ -12,12 +12,5 @@ def append_facts(df: DataFrame, path: str, run: str) -> None:
      .write.mode("append").partitionBy("run").parquet(path))
 
 
-def write_snapshot(df: DataFrame, path: str, version: int) -> str:
-    """A new immutable version of a table; readers move to it when it is complete."""
-    target = f"{path}/v={version}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
-
-
 def dupe_report_csv(report: DataFrame, path: str) -> None:
     report.write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,9 @@ def runs_of(data: np.ndarray, starts: np.ndarray, span: int = SPAN) -> tuple[np.
     return places[at], np.diff(np.append(at, len(places))), names[at]
 
 
-def bucket_pointer_refinement(data: np.ndarray, depth: int, first: int = FIRST_GRAM) -> np.ndarray:
-    """Places of ``data`` (without its padding) in the order of their first ``depth`` bytes or more.
+def bucket_pointer_refinement(data: np.ndarray, depth: int, first: int = FIRST_GRAM, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of ``data`` (without its padding) in the order of their first ``depth`` bytes or more; with ``wanted`` flags, only
+    these places need be in order, so the last refinement leaves the others out.
 
     ``pointer[p]`` is the last rank of the bucket that holds the suffix at ``p``. A bucket that is refined keeps its ranks, so pointers stay in order
     while others are refined with them.
@@ -115,6 +117,13 @@ def bucket_pointer_refinement(data: np.ndarray, depth: int, first: int = FIRST_G
     offset = first
     while offset < depth and len(open_ranks):
         left = []
+        if wanted is not None and 2 * offset >= depth:
+            # the wanted places of each bucket, on the first of its ranks that are open
+            keep = wanted[order[open_ranks]]
+            last = pointer[order[open_ranks]]
+            by = np.lexsort((~keep, last))
+            order[open_ranks] = order[open_ranks][by]
+            open_ranks = open_ranks[keep[by]]
         bounds = pointer[order[open_ranks]]
         edges = np.flatnonzero(np.append(True, bounds[1:] != bounds[:-1]))
         for part in np.array_split(edges, SLICES):
@@ -136,7 +145,7 @@ def covered_stretches(data: np.ndarray, places: np.ndarray, ids: np.ndarray, spa
     """Which stretches at ``places`` also start, byte for byte, at a place with a smaller id."""
     which = np.full(len(data), -1, np.int64)
     which[places] = np.arange(len(places))
-    ranked = which[bucket_pointer_refinement(data, span)]
+    ranked = which[bucket_pointer_refinement(data, span, wanted=which >= 0)]
     ranked = ranked[ranked >= 0]
     at, w = places[ranked], words_at(data)
     same = np.ones(max(0, len(at) - 1), bool)
@@ -188,7 +197,7 @@ class Block:
     """The texts of a block that take part: the smallest ids of each text, one row of each."""
 
     def __init__(self, texts: pa.Table, notes: pa.Table):
-        copies = {x for b in notes.filter(pa.compute.equal(notes["bucket"], COPY))["ids"].to_pylist() for x in np.frombuffer(b, np.int64).tolist()}
+        copies = {x for b in notes.filter(pc.equal(notes["bucket"], COPY))["ids"].to_pylist() for x in np.frombuffer(b, np.int64).tolist()}
         seen: set[int] = set()
         rows, tids = [], texts["_tid"].to_pylist()
         for i, t in enumerate(tids):
@@ -253,7 +262,7 @@ def _second_pass(buckets: int, span: int):
     def run(key, texts, notes):
         number = key[0].as_py()
         block = Block(texts, notes)
-        replies = notes.filter(pa.compute.greater_equal(notes["bucket"], 0))
+        replies = notes.filter(pc.greater_equal(notes["bucket"], 0))
         if not replies.num_rows:
             return _notes([])
         shared = np.concatenate([_plain(b, np.uint64) for b in replies["values"].to_pylist()])
@@ -272,22 +281,15 @@ def _second_pass(buckets: int, span: int):
         bucket_key = np.concatenate([names[~is_common], content[len(first) - len(single):]])
         text = np.searchsorted(block.starts, first, "right") - 1
         ids = block.ord[text]
-        order = np.lexsort((first, ids, content))
-        head = np.append(True, content[order][1:] != content[order][:-1]) if len(order) else np.zeros(0, bool)
-        lead = order[head][np.cumsum(head) - 1] if len(order) else order
-        later = ids[order] > ids[lead]
-        gone, sent = order[later], order[head]
-        # a run whose hash equals another's is compared byte by byte before anything is cut
-        equal = _equal_runs(block.data, first, size, gone, lead[later])
-        sent = np.concatenate([sent, gone[~equal]])
-        gone = gone[equal]
+        gone, _ = _later_equals(block.data, first, size, ids, content)
+        sent = np.ones(len(first), bool)
+        sent[gone] = False
+        sent = np.flatnonzero(sent)
         out = [_covered_note(number, block.tid[text[gone]], first[gone] - block.starts[text[gone]], first[gone] + size[gone] - block.starts[text[gone]])] if len(gone) else []
         for b, part in _by_bucket((bucket_key[sent] % np.uint64(buckets)).astype(np.int64)):
             r = sent[part]
-            lead_in = np.cumsum(size[r]) - size[r]
-            source = np.arange(int(size[r].sum())) + np.repeat(first[r] - lead_in, size[r])
-            meta = np.stack([ids[r], block.tid[text[r]], first[r] - block.starts[text[r]]], axis=1)
-            out.append(_dense(number, b, ids=meta, values=size[r], data=block.data[source], flags=np.zeros(0)))
+            meta = np.stack([ids[r], block.tid[text[r]], first[r] - block.starts[text[r]], bucket_key[r].view(np.int64)], axis=1)
+            out.append(_dense(number, b, ids=meta, values=size[r], data=_gather(block.data, first[r], size[r]), flags=np.zeros(0)))
         return _notes(out)
 
     return run
@@ -299,6 +301,23 @@ def _content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np
     return span_hashes(data[:len(data) - PAD], first, first + size)
 
 
+def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Several stretches of the data, one behind the other."""
+    return data[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
+def _later_equals(data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray, content: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs whose bytes equal those of a run with a smaller id, and that run. Equal hashes are checked byte by byte."""
+    content = _content_hashes(data, first, size) if content is None else content
+    order = np.lexsort((first, ids, content))
+    head = np.append(True, content[order][1:] != content[order][:-1]) if len(order) else np.zeros(0, bool)
+    lead = order[head][np.cumsum(head) - 1] if len(order) else order
+    later = ids[order] > ids[lead]
+    gone, lead = order[later], lead[later]
+    equal = _equal_runs(data, first, size, gone, lead)
+    return gone[equal], lead[equal]
+
+
 def _equal_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a):
         return np.zeros(0, bool)
@@ -310,18 +329,39 @@ def _equal_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.nda
 
 
 def _settle(span: int):
-    """The suffix array of a bucket's runs: which stretches are covered."""
+    """The suffix array of a bucket's runs: which stretches are covered.
+
+    Of runs with equal bytes only one of the smallest id is sorted, the later ones are covered whole; and a name that is left with one
+    document's runs has nothing to compare.
+    """
 
     def run(key, rows):
         if key[0].as_py() <= COVERED:
             return rows.select(_NOTE.names).cast(_NOTE)
         out = []
         sizes = [_plain(b, np.int64) for b in rows["values"].to_pylist()]
-        meta = np.concatenate([_plain(b, np.int64).reshape(-1, 3) for b in rows["ids"].to_pylist()])
+        meta = np.concatenate([_plain(b, np.int64).reshape(-1, 4) for b in rows["ids"].to_pylist()])
         block = np.repeat(np.array(rows["block"].to_pylist(), np.int64), [len(s) for s in sizes])
         size = np.concatenate(sizes)
         data = np.concatenate([*[_plain(b, np.uint8) for b in rows["data"].to_pylist()], np.zeros(PAD, np.uint8)])
         starts = np.concatenate([[0], np.cumsum(size)])
+        gone, lead = _later_equals(data, starts[:-1], size, meta[:, 0])
+        for number, part in _by_bucket(block[gone]):
+            r = gone[part]
+            out.append(_covered_note(number, meta[r, 1], meta[r, 2], meta[r, 2] + size[r]))
+        left = np.ones(len(size), bool)
+        left[gone] = False
+        left = np.flatnonzero(left)
+        name, number = np.unique(meta[left, 3], return_inverse=True)
+        least, most = np.full(len(name), LAST), np.full(len(name), -LAST)
+        np.minimum.at(least, number, meta[left, 0])
+        np.maximum.at(most, number, meta[left, 0])
+        left = left[(least < most)[number]]
+        if not len(left):
+            return _notes(out)
+        size, meta, block = size[left], meta[left], block[left]
+        data = np.append(_gather(data, starts[left], size), np.zeros(PAD, np.uint8))
+        starts = np.concatenate([[0], np.cumsum(size)])
         places = stretch_places(starts, span)
         run_of = np.searchsorted(starts, places, "right") - 1
         covered = covered_stretches(data, places, meta[run_of, 0], span)
@@ -380,7 +420,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(4 * shuffle_parts(spark), int(total // block_bytes) + 1)
+    blocks = max(shuffle_parts(spark), int(total // block_bytes) + 1)
     block = F.pmod(F.xxhash64(F.lit("block"), order), F.lit(blocks)).cast("int")
     tid = F.xxhash64(order, raw)
     narrow = docs.select(block.alias("block"), tid.alias("tid"), order.alias("ord"), F.sha2(raw, 256).alias("sha"))

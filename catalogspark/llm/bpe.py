@@ -36,7 +36,7 @@ from .segment import span_hashes, split_words, unassigned
 
 WORD_BPE = "word_bpe_49k.json"
 PART_CHARS = 2_000_000  # characters cut into words at once
-BLOCK_CHARS = 32_000_000  # characters whose distinct words share one index
+BLOCK_CHARS = 16_000_000  # characters whose distinct words share one index
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:

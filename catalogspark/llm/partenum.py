@@ -10,7 +10,7 @@ with other partitions, as its similar sets are, and with the empty subsets thems
 2. A second pass sends signatures to buckets by their hash; equal sets of a task are sent once. Sets that share a signature are a list; its
    first set is its pivot. A bucket yields the pairs (pivot, member), not all pairs.
 3. Pairs whose sketches differ in more bits than their sizes allow are dissimilar. The others are compared exactly on their texts.
-4. Where a pair with a pivot was not confirmed, other members of the list may still be similar to each other. These lists are taken up again:
+4. Where a member did not come to its pivot's component, members of the list may still be similar to each other. These lists are taken up again:
    members of different components are compared by sketch (large lists in pieces that meet pairwise in separate tasks), what passes exactly.
 5. Components of the confirmed links are the duplicate groups.
 
@@ -36,6 +36,7 @@ from .segment import mixed, span_hashes
 SPARE, LEVELS, BITS = 1, 4, 1024
 PART_BYTES = 1_500_000
 PIECE_ROWS = 2000
+BROADCAST_IDS = 1_000_000  # 24 bytes each
 LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -352,18 +353,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Pairs of nodes with what an exact comparison says of them."""
         pairs = written(pairs, f"{name}-pairs")
         ids = pairs.select(F.col("a.tid").alias("tid"), F.col("a").alias("node")).unionByName(pairs.select(F.col("b.tid").alias("tid"), F.col("b").alias("node"))).distinct()
-        texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), f"{name}-texts")
+        ids = written(ids, f"{name}-ids")
+        # a bounded list of ids goes to the texts; a longer one meets them by shuffle
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        texts = written(base.select("tid", "raw").join(wanted, "tid").select("node", "raw").dropDuplicates(["node"]), f"{name}-texts")
         return written(confirm(pairs, texts, words, percent), f"{name}-judged")
 
     n = lambda side: nodes.select(F.col("s1").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "sketch")])
     seen = written(pairs.join(n("pivot"), "pivot").join(n("member"), "member").select(
         "pivot", "member", F.col("node_pivot").alias("a"), F.col("node_member").alias("b"), sketch_near("sketch_pivot", "sketch_member", "size_pivot", "size_member", percent).alias("near")), "pivot-pairs")
-    first = judged(seen.where("near").select("a", "b"), "pivot")
-    label = connected_components(first.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    label = written(label, "pivot-components")
 
-    # lists in which a pivot's pair was not confirmed
-    failed = seen.join(first.where("similar"), ["a", "b"], "left_anti").select("pivot").distinct()
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """The pairs whose nodes are in different components."""
+        of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+
+    def components(judgements: DataFrame, name: str) -> DataFrame:
+        return written(connected_components(judgements.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))), name)
+
+    # one pair a member first; of the others only those that would still join two components
+    near = seen.where("near").select("a", "b").distinct()
+    start = judged(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pivot")
+    more = apart(near.join(start.select("a", "b"), ["a", "b"], "left_anti"), components(start, "first-components"))
+    first = start.unionByName(judged(more, "pivot"))
+    label = components(first, "pivot-components")
+
+    # lists in which a member did not come to its pivot's component
+    failed = apart(seen.select("pivot", "a", "b"), label).select("pivot").distinct()
     doubtful = lists.where(F.size("members") > 2).join(failed, "pivot", "left_semi").select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g", "members"])
     members = doubtful.select("g", F.size("members").alias("m"), F.explode("members").alias("s1"))
     member = members.join(nodes, "s1").join(label.select("node", "component"), "node", "left").select("g", "m", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
@@ -375,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     spread = spread.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "sketch", "component")
     crossed = spread.groupBy("g", "i", "j").applyInArrow(_cross(percent), f"a {nodes.schema['node'].dataType.simpleString()}, b {nodes.schema['node'].dataType.simpleString()}")
-    second = judged(crossed.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), "list")
+    second = judged(crossed.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "list")
     links = first.where("similar").unionByName(second.where("similar")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = written(connected_components(links), "set-components")
     of_set = nodes.join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))

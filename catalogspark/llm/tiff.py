@@ -87,13 +87,13 @@ def lzw_encode(data: bytes) -> bytes:
             put(LZW_CLEAR)
             table.clear()
             size, width = LZW_FIRST, 9
-        elif size == (1 << width) - 1:
+        elif size == 1 << width:  # the reader is one entry behind
             width += 1
         word = data[k:k + 1]
     if word:
         put(table[word] if len(word) > 1 else word[0])
         # the reader adds an entry for this code too, so the end code may already be wider
-        if size + 1 == (1 << width) - 1 and width < LZW_MAX_BITS:
+        if size >= (1 << width) - 1 and width < LZW_MAX_BITS:
             width += 1
     put(LZW_END)
     pad = -filled % 8

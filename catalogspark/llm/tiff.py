@@ -65,39 +65,42 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; the width grows one code early, as the format asks."""
-    table: dict[bytes, int] = {}
-    acc, filled, width = LZW_CLEAR, 9, 9
-    size = LZW_FIRST
-
-    def put(code: int) -> None:
-        nonlocal acc, filled
-        acc = (acc << width) | code
-        filled += width
-
-    word = b""
-    for k in range(len(data)):
-        longer = word + data[k:k + 1]
-        if len(longer) == 1 or longer in table:
-            word = longer
+    table: dict[int, int] = {}  # code of a word and the byte behind it -> code of the longer word
+    out, acc, filled, width, size = bytearray(), LZW_CLEAR, 9, 9, LZW_FIRST
+    word = data[0] if data else -1
+    for byte in data[1:]:
+        longer = word << 8 | byte
+        known = table.get(longer)
+        if known is not None:
+            word = known
             continue
-        put(table[word] if len(word) > 1 else word[0])
+        acc = acc << width | word
+        filled += width
         table[longer] = size
         size += 1
         if size == (1 << LZW_MAX_BITS) - 2:
-            put(LZW_CLEAR)
+            acc = acc << width | LZW_CLEAR
+            filled += width
             table.clear()
             size, width = LZW_FIRST, 9
         elif size == 1 << width:  # the reader is one entry behind
             width += 1
-        word = data[k:k + 1]
-    if word:
-        put(table[word] if len(word) > 1 else word[0])
+        word = byte
+        if filled > 256:  # whole bytes leave, so that the number stays short
+            left = filled & 7
+            out += (acc >> left).to_bytes(filled >> 3, "big")
+            acc &= (1 << left) - 1
+            filled = left
+    if word >= 0:
+        acc = acc << width | word
+        filled += width
         # the reader adds an entry for this code too, so the end code may already be wider
         if size >= (1 << width) - 1 and width < LZW_MAX_BITS:
             width += 1
-    put(LZW_END)
+    acc = acc << width | LZW_END
+    filled += width
     pad = -filled % 8
-    return (acc << pad).to_bytes((filled + pad) // 8, "big")
+    return bytes(out + (acc << pad).to_bytes((filled + pad) // 8, "big"))
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -227,13 +230,27 @@ def read_image(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
 PAGE_WIDTH = 64
 
 
-def choose_coding(size: int) -> tuple[int, int]:
-    """Coding and predictor for a payload of so many bytes: LZW and PackBits for the smallest, deflate beyond."""
-    return (LZW, 1) if size <= 256 else (PACKBITS, 1) if size <= 1024 else (DEFLATE, 2)
+def choose_layout(payload: bytes) -> tuple[int, dict]:
+    """Pages (1 to 3) and the writer's options by a hash of the payload, so that every coding, strip and tile is met at every size.
+
+    The predictor goes with LZW and deflate only, for which the format defines it.
+    """
+    h = zlib.crc32(payload)
+    h, coding = divmod(h, 3)
+    h, predictor = divmod(h, 2)
+    h, cells = divmod(h, 4)
+    h, pages = divmod(h, 3)
+    coding = (LZW, PACKBITS, DEFLATE)[coding]
+    return 1 + pages, {
+        "compression": coding, "predictor": 1 if coding == PACKBITS else 1 + predictor, "tile": (None, None, (32, 64), (48, 32))[cells],
+        "strip_rows": (64, 1024)[cells % 2], "order": "<>"[h % 2]}
 
 
 def write_tiffs(df: DataFrame, payload_col: str = "payload", out_col: str = "media") -> DataFrame:
-    """Add a TIFF per row that holds the payload as one grey page of 64 samples a row; null for a null payload or one that isn't a multiple of 64."""
+    """Add a TIFF per row that holds the payload as grey pages of 64 samples a row; null for a null payload or one that isn't a multiple of 64.
+
+    The rows are dealt evenly over the pages that ``choose_layout`` names, at least one a page.
+    """
     keep = without(df, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +260,9 @@ def write_tiffs(df: DataFrame, payload_col: str = "payload", out_col: str = "med
                 if p is None or not p or len(p) % PAGE_WIDTH:
                     media.append(None)
                     continue
-                coding, predictor = choose_coding(len(p))
-                media.append(write_image([np.frombuffer(p, np.uint8).reshape(-1, PAGE_WIDTH)], coding, predictor))
+                pages, options = choose_layout(p)
+                pixels = np.frombuffer(p, np.uint8).reshape(-1, PAGE_WIDTH)
+                media.append(write_image(np.array_split(pixels, min(pages, len(pixels))), **options))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(media, pa.binary())], names=[*keep, out_col])
 
     return map_arrow(df, run, schema_with(df, keep, f"{out_col} binary"))
@@ -263,8 +281,18 @@ def _feature(samples: bytes) -> str:
     return ",".join(map(str, shares)) + f";{a.mean():.3f};{step:.3f}"
 
 
-def read_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page: the input's columns, then the page's number, size, samples and feature."""
+def _joined(pages: list[tuple]) -> list[tuple]:
+    """The pages of an image as one page, one below the other."""
+    if len(pages) < 2:
+        return pages
+    if len({(w, spp) for _, w, _, spp, _ in pages}) > 1:
+        raise ValueError("pages differ in width or samples")
+    _, w, _, spp, _ = pages[0]
+    return [(0, w, sum(p[2] for p in pages), spp, b"".join(p[4] for p in pages))]
+
+
+def read_pages(df: DataFrame, media_col: str = "media", joined: bool = False) -> DataFrame:
+    """One row per page: the input's columns, then the page's number, size, samples and feature; ``joined``: one row per image, its pages one below the other."""
     names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     keep = without(df, *names)
 
@@ -275,7 +303,8 @@ def read_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
                 if data is None:
                     continue
                 try:
-                    got = [(p, w, h, spp, s, _feature(s), None) for p, w, h, spp, s in read_image(data)]
+                    found = read_image(data)
+                    got = [(p, w, h, spp, s, _feature(s), None) for p, w, h, spp, s in (_joined(list(found)) if joined else found)]
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                     got = [(-1, None, None, None, None, None, f"{type(e).__name__}: {e}")]
                 pages += got
@@ -288,13 +317,13 @@ def read_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as a TIFF page and read back."""
+    """Every text stored as TIFF pages and read back, one row per text."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     padded = F.greatest(F.ceil(F.octet_length(raw) / PAGE_WIDTH), F.lit(1)) * PAGE_WIDTH
-    # rows are kept apart by their task, so nothing is shuffled: one page holds one document
+    # rows are kept apart by their task, so nothing is shuffled: one image holds one document
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.rpad(raw, padded.cast("int"), F.lit(b"\0")).alias("payload"))
     media = write_tiffs(docs, "payload").drop("payload").withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    pages = read_pages(media)
+    pages = read_pages(media, joined=True)
     size = F.octet_length("samples")
     return pages.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),

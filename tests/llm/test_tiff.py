@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -41,6 +42,32 @@ def test_query_gives_the_payloads_back(spark, table, fixture_dir, sentences):
         assert seen.setdefault(r.doc_id, r) == r and r.feature and r.media_bytes > 64
 
 
+def test_every_layout_at_every_size(spark, sentences):
+    rows = [(n * 100 + i, bytearray(sentences(i, 2 + n * 6).encode()[:n * 64].ljust(n * 64, b"\0"))) for n in (1, 4, 17, 200) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, payload binary")
+    media = T.write_tiffs(df).cache()
+    met = {}
+    for r in media.collect():
+        order = "<" if r.media[:2] == b"II" else ">"
+        at = struct.unpack_from(order + "I", r.media, 4)[0]
+        tags = {t: struct.unpack_from(order + ("H" if kind == 3 else "I"), r.media, at + 10 + 12 * k)[0] for k in range(struct.unpack_from(order + "H", r.media, at)[0]) for t, kind in [struct.unpack_from(order + "HH", r.media, at + 2 + 12 * k)]}
+        pages = list(T.read_image(bytes(r.media)))
+        assert b"".join(p[4] for p in pages) == bytes(r.payload)
+        met.setdefault(len(r.payload), set()).update([("coding", tags[T.COMPRESSION]), ("predictor", tags[T.PREDICTOR]), ("tiled", T.TILE_AT in tags), ("pages", len(pages)), ("order", order)])
+    every = {("coding", c) for c in (T.LZW, T.PACKBITS, T.DEFLATE)} | {("predictor", 1), ("predictor", 2), ("tiled", True), ("tiled", False), ("order", "<"), ("order", ">")}
+    for size, seen in met.items():
+        assert seen == every | {("pages", n) for n in (1, 2, 3) if n * 64 <= size}
+    assert {(r.k, r.page, bytes(r.samples)) for r in T.read_pages(media, joined=True).collect()} == {(k, 0, bytes(p)) for k, p in rows}
+    assert len(set(T.choose_layout(bytes(p))[0] for _, p in rows)) == 3 and T.choose_layout(b"a" * 64) == T.choose_layout(b"a" * 64)
+
+
+def test_pages_that_do_not_fit_are_not_joined(spark):
+    mixed = T.write_image([np.zeros((2, 64), np.uint8), np.zeros((2, 32), np.uint8)])
+    df = spark.createDataFrame([(1, bytearray(mixed))], "k int, media binary")
+    assert [(r.page, r.error is None) for r in T.read_pages(df, joined=True).collect()] == [(-1, False)]
+    assert [(r.page, r.width) for r in T.read_pages(df).orderBy("page").collect()] == [(0, 64), (1, 32)]
+
+
 def test_broken_images_are_reported(spark):
     good = T.write_image([np.zeros((2, 64), np.uint8)] * 2)
     loop = bytearray(good)

@@ -69,6 +69,12 @@ def _iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _octet(part: str) -> bool:
+    """Whether digits of any number, leading zeros included, are at most 255; int() refuses texts of more than 4,300 digits."""
+    p = part.lstrip("0")
+    return len(p) <= 3 and int(p or "0") <= 255
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """``(kind number, start, end)`` in order of kind and start."""
     if not text:
@@ -80,7 +86,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         if what == 0:
             if at >= ip and (m := _IP.match(text, at)):
                 ip = m.end()
-                if all(int(x) <= 255 for x in m[0].split(".")):
+                if all(map(_octet, m[0].split("."))):
                     found.append((1, at, ip))
             if at >= card and (m := _CARD.match(text, at)):
                 card = m.end()

@@ -52,6 +52,13 @@ def test_added_kinds():
     assert kinds(TEXTS[13]) == [("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678")]
 
 
+def test_parts_of_any_length_are_judged(spark, table, fixture_dir):
+    long, zeros = "1" * 5000 + ".1.1.1", "0" * 5000 + "7.1.1.255"
+    rows = [(1, f"{long} then 1.2.3.4"), (2, zeros), (3, "1.1.1." + "9" * 5000), (4, "0256.1.1.1 000.00.0.0255")]
+    got = {r.doc_id: r.spans for r in QUERIES["op7_pii_anchors"](spark, fixture_dir(table(rows))).collect()}
+    assert got == {1: f"ip:{len(long) + 6}:{len(long) + 13}", 2: f"ip:0:{len(zeros)}", 3: "", 4: "ip:11:24"}
+
+
 def test_redaction_keeps_the_rest(spark, table):
     docs = table([(1, "call +1 (274) 555-9629 or a@b.cd now"), (2, None), (3, "clean")])
     got = {r.doc_id: r.text for r in pii.redact(docs).collect()}

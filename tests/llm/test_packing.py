@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from catalogspark.llm import bpe, packing
 from catalogspark.llm.queries import QUERIES
 from tokenizers import Tokenizer
@@ -63,5 +64,47 @@ def test_further_sources_share_a_queue(spark, table, sentences):
     assert len(r.ids) == r.length
 
 
+def mixture(got, per_window):
+    share = defaultdict(Counter)
+    for r in got:
+        share[r.sequence_id // per_window][r.source] += r.length
+    return [c for _, c in sorted(share.items())]
+
+
+def test_more_than_64_sources_keep_their_mixture(spark, table, sentences):
+    rows = [(i, sentences(i, 10 + i % 90 // 3), "en", None if i % 90 == 5 else f"s{i % 90}") for i in range(900)]
+    got = packing.pack(table(rows), window=2048, length=512, with_ids=False).collect()
+    check(rows, got, 512)
+    windows, tokens = mixture(got, 4), Counter()
+    for c in windows:
+        tokens.update(c)
+    assert len(tokens) == 90
+    # a window may be short by a token a source, so 2048 tokens hold some of the next window's largest sources, which come first
+    small = tokens.most_common()[30:]
+    for c in windows[:-1]:
+        assert c.total() == 2048 and all(abs(c[s] - 2048 * n / tokens.total()) <= 2 for s, n in small)
+
+
+@pytest.mark.parametrize("most", [None, 4])
+def test_targets_of_small_sources_count(spark, table, sentences, most):
+    rows = [(i, sentences(i, 12), "en", f"s{i % 80}") for i in range(480)] + [(1000 + i, sentences(i, 6), "en", "few" if i % 2 else "rare") for i in range(16)]
+    got = packing.pack(table(rows), window=2048, length=512, targets={"rare": 3.0, "few": 1.0, "absent": 5.0}, max_queues=most, with_ids=False).collect()
+    check(rows, got, 512)
+    first, tokens = mixture(got, 4)[0], Counter()
+    for r in got:
+        tokens[r.source] += r.length
+    # both together keep their share of all tokens and divide it as the targets say
+    both = 2048 * (tokens["rare"] + tokens["few"]) / tokens.total()
+    assert both > 20 and abs(first["rare"] - both * 3 / 4) <= 2 and abs(first["few"] - both / 4) <= 2
+
+
+def test_rare_sources_spread_over_many_windows(spark, table):
+    rows = [(i, "many words of one source " * 40, "en", "big") for i in range(40)] + [(100, "few", "en", "rare")]
+    got = packing.pack(table(rows), window=64, length=64, with_ids=False).collect()
+    check(rows, got, 64)
+    at = sorted(r.sequence_id for r in got if r.source == "rare")
+    assert len(at) > 1 and at[-1] - at[0] > max(r.sequence_id for r in got) // 3
+
+
 def test_empty_table(spark, table):
     assert packing.pack(table([(1, "x")]).where("false")).collect() == []

@@ -3,7 +3,8 @@
 The reader walks the chain of image directories in either byte order, decodes strips or tiles stored plain, with PackBits, LZW or
 deflate, undoes the horizontal predictor and returns the samples row by row. 8-bit samples, one or more per pixel, in one plane.
 
-Defined cases: a null image gives no page; an image that can't be read gives one row with page -1, null samples and the reason in ``error``;
+Defined cases: a null image gives no page; a directory that can't be read gives a row with its number, null samples and the reason in ``error``, and
+the others are read; where the chain can't be followed, a row with page -1 comes after the pages before it (of joined pages, it is the only one);
 an image without directories gives no page; repeated rows are read on their own; an empty table gives no rows. Columns of the input
 whose names equal an output column are replaced by it.
 """
@@ -188,8 +189,39 @@ def write_image(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
-def read_image(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``page, width, height, samples per pixel, samples`` of each directory; raises ValueError for what it can't read."""
+READ_ERRORS = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+
+
+def _read_page(data: bytes, order: str, at: int, count: int) -> tuple[int, int, int, bytes]:
+    tags = {}
+    for k in range(count):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        if kind in TYPE_BYTES:
+            here = at + 10 + 12 * k
+            start = here if n * TYPE_BYTES[kind] <= 4 else struct.unpack_from(order + "I", data, here)[0]
+            tags[tag] = struct.unpack_from(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, start)
+    w, h, spp = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
+    coding, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
+    if any(b != 8 for b in tags.get(BITS, (1,))) or coding not in DECODERS or predictor not in (1, 2) or tags.get(PLANAR, (1,))[0] != 1:
+        raise ValueError("bit depth, coding, predictor or plane order not supported")
+    tiled = TILE_AT in tags
+    cw, ch = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(STRIP_ROWS, (h,))[0]))
+    offsets, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
+    pixels, k = np.zeros((h, w, spp), np.uint8), 0
+    for y in range(0, h, ch):
+        for x in range(0, w, cw):
+            rows = ch if tiled else min(ch, h - y)
+            raw = DECODERS[coding](data[offsets[k]:offsets[k] + sizes[k]], rows * cw * spp)
+            cell = np.frombuffer(raw, np.uint8, rows * cw * spp).reshape(rows, cw, spp)
+            if predictor == 2:
+                cell = np.cumsum(cell, axis=1, dtype=np.uint8)
+            pixels[y:y + rows, x:x + cw] = cell[:h - y, :w - x]
+            k += 1
+    return w, h, spp, pixels.tobytes()
+
+
+def read_directories(data: bytes) -> Iterator[tuple[int, tuple[int, int, int, bytes] | Exception]]:
+    """Number and page, or what went wrong with it, of each directory; raises ValueError or struct.error where the chain can't be followed."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -198,33 +230,22 @@ def read_image(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
         if at in seen or at + 2 > len(data):
             raise ValueError("directory chain is broken")
         seen.add(at)
-        count, tags = struct.unpack_from(order + "H", data, at)[0], {}
-        for k in range(count):
-            tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in TYPE_BYTES:
-                here = at + 10 + 12 * k
-                start = here if n * TYPE_BYTES[kind] <= 4 else struct.unpack_from(order + "I", data, here)[0]
-                tags[tag] = struct.unpack_from(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, start)
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
-        w, h, spp = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
-        coding, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-        if any(b != 8 for b in tags.get(BITS, (1,))) or coding not in DECODERS or predictor not in (1, 2) or tags.get(PLANAR, (1,))[0] != 1:
-            raise ValueError("bit depth, coding, predictor or plane order not supported")
-        tiled = TILE_AT in tags
-        cw, ch = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(STRIP_ROWS, (h,))[0]))
-        offsets, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
-        pixels, k = np.zeros((h, w, spp), np.uint8), 0
-        for y in range(0, h, ch):
-            for x in range(0, w, cw):
-                rows = ch if tiled else min(ch, h - y)
-                raw = DECODERS[coding](data[offsets[k]:offsets[k] + sizes[k]], rows * cw * spp)
-                cell = np.frombuffer(raw, np.uint8, rows * cw * spp).reshape(rows, cw, spp)
-                if predictor == 2:
-                    cell = np.cumsum(cell, axis=1, dtype=np.uint8)
-                pixels[y:y + rows, x:x + cw] = cell[:h - y, :w - x]
-                k += 1
-        yield page, w, h, spp, pixels.tobytes()
-        page += 1
+        count = struct.unpack_from(order + "H", data, at)[0]
+        follow = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
+        try:
+            got = _read_page(data, order, at, count)
+        except READ_ERRORS as e:
+            got = e
+        yield page, got
+        at, page = follow, page + 1
+
+
+def read_image(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``page, width, height, samples per pixel, samples`` of each directory; raises for the first that it can't read."""
+    for page, got in read_directories(data):
+        if isinstance(got, Exception):
+            raise got
+        yield page, *got
 
 
 PAGE_WIDTH = 64
@@ -295,6 +316,7 @@ def read_pages(df: DataFrame, media_col: str = "media", joined: bool = False) ->
     """One row per page: the input's columns, then the page's number, size, samples and feature; ``joined``: one row per image, its pages one below the other."""
     names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     keep = without(df, *names)
+    failed = lambda e: f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,11 +324,15 @@ def read_pages(df: DataFrame, media_col: str = "media", joined: bool = False) ->
             for i, data in enumerate(b.column(media_col).to_pylist()):
                 if data is None:
                     continue
+                got = []
                 try:
-                    found = read_image(data)
-                    got = [(p, w, h, spp, s, _feature(s), None) for p, w, h, spp, s in (_joined(list(found)) if joined else found)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    got = [(-1, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                    if joined:
+                        got += [(p, w, h, spp, x, _feature(x), None) for p, w, h, spp, x in _joined(list(read_image(data)))]
+                    else:
+                        for p, part in read_directories(data):
+                            got.append((p, None, None, None, None, None, failed(part)) if isinstance(part, Exception) else (p, *part, _feature(part[-1]), None))
+                except READ_ERRORS as e:
+                    got.append((-1, None, None, None, None, None, failed(e)))
                 pages += got
                 rows += [i] * len(got)
             kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.string()]

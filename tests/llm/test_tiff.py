@@ -68,6 +68,22 @@ def test_pages_that_do_not_fit_are_not_joined(spark):
     assert [(r.page, r.width) for r in T.read_pages(df).orderBy("page").collect()] == [(0, 64), (1, 32)]
 
 
+def test_readable_pages_of_mixed_files_stay(spark):
+    data = bytearray(T.write_image([np.full((2, 64), k, np.uint8) for k in range(3)]))
+    starts, at = [], struct.unpack_from("<I", data, 4)[0]
+    while at:
+        starts.append(at)
+        at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    bits = bytearray(data)
+    assert struct.unpack_from("<H", bits, starts[1] + 2 + 24)[0] == T.BITS
+    struct.pack_into("<H", bits, starts[1] + 2 + 24 + 8, 16)
+    cut = data[:starts[2]]
+    df = spark.createDataFrame([(1, bits), (2, cut)], "k int, media binary")
+    got = [(r.k, r.page, r.samples and set(r.samples), r.error is None) for r in T.read_pages(df).orderBy("k", "page").collect()]
+    assert got == [(1, 0, {0}, True), (1, 1, None, False), (1, 2, {2}, True), (2, -1, None, False), (2, 0, {0}, True), (2, 1, {1}, True)]
+    assert [(r.page, r.error is None) for r in T.read_pages(df, joined=True).collect()] == [(-1, False)] * 2
+
+
 def test_broken_images_are_reported(spark):
     good = T.write_image([np.zeros((2, 64), np.uint8)] * 2)
     loop = bytearray(good)

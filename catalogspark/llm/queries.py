@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, credentials, fingerprints, language, packing, partenum, pii, sharding, suffixes, tiff
+from . import alignment, bpe, credentials, fingerprints, language, packing, partenum, pii, sharding, suffixes, tiff
 from .common import documents, prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,7 @@ QUERIES: dict[str, Plan] = {
         "op8_kneser_ney_language": language.op8,
         "op9_tiff_pages": tiff.op9,
         "op10_label_shards": op10,
+        "op11_exact_text_alignment": alignment.op11,
     }.items()
 }
 ORACLES: dict[str, str] = {}

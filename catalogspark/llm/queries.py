@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, credentials, fingerprints, language, packing, partenum, pii, sharding, suffixes, tiff, urlfilter
+from . import alignment, bpe, credentials, fingerprints, language, packing, partenum, pii, sharding, suffixes, tiff, trie, urlfilter
 from .common import documents, prepare
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,8 @@ QUERIES: dict[str, Plan] = {
         "op9_tiff_pages": tiff.op9,
         "op10_label_shards": op10,
         "op11_exact_text_alignment": alignment.op11,
+        "op12_prefix_trie": trie.op12,
         "op13_url_logistic": urlfilter.op13,
     }.items()
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_prefix_trie": trie.OP12_SQL}

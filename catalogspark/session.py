@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, name: str = "catalogspark", **conf: str) -> SparkSession:
@@ -47,3 +48,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark itself reaches them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Tables in the shared folder that are needed for a while: computed once, readable after the loss of executors, deleted at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        where, fs = hadoop_path(self.spark, self.path)
+        fs.delete(where, True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

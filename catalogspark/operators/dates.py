@@ -155,11 +155,10 @@ def evidence_days(candidates: Column) -> Column:
 
 def bulk_copy_groups(df: DataFrame, days: str = "days", path: str = "src_path", mtime: str = "mtime") -> DataFrame:
     """Per (folder, minute of mtime): files, distinct evidence days and whether this was a bulk copy."""
-    keyed = df.select(dirname(path).alias("dir"), F.floor(F.col(mtime) / 60).alias("minute"), F.explode_outer(days).alias("day"),
-                      F.monotonically_increasing_id().alias("_row"), F.size(days).alias("_n"))
-    # a file with several evidence days is several rows here: count it once, through its share
-    return (keyed.groupBy("dir", "minute").agg(F.round(F.sum(1.0 / F.greatest(F.col("_n"), F.lit(1)))).cast("bigint").alias("files"),
-                                               F.count_distinct("day").alias("days"))
+    # a file with several evidence days is several rows here and counts with its first
+    keyed = df.select(dirname(path).alias("dir"), F.floor(F.col(mtime) / 60).alias("minute"), F.posexplode_outer(days).alias("nth", "day"))
+    first = F.coalesce("nth", F.lit(0)) == 0
+    return (keyed.groupBy("dir", "minute").agg(F.count(F.when(first, 1)).alias("files"), F.count_distinct("day").alias("days"))
             .withColumn("bulk", ((F.col("files") >= 5) & (F.col("days") >= 2)) | (F.col("files") >= 20)))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as pr
-from ..functions.text import alower, basename
-from ..session import ensure_checkpoint_dir
+from ..functions.text import alower, basename, let
 from .ranking import stage
 
 COLUMNS = ["tool", "field", "prompt", "negative", "model", "sampler", "scheduler", "seed", "size", "steps", "cfg", "loras", "sources"]
@@ -113,79 +112,89 @@ TEXTISH = "text|prompt|string|value|positive|negative|t5xxl|clip_l|clip_g|captio
 MAX_DEPTH = 14
 
 
-def graph_nodes(df: DataFrame, graph: str = "graph", id_: str = "id") -> DataFrame:
-    """``id, node, class, inputs map<string,string>``; links stay as their JSON text."""
-    nodes = F.from_json(F.col(graph), "map<string,struct<class_type:string,inputs:map<string,string>>>")
-    return df.select(id_, F.explode(nodes).alias("node", "n")).select(id_, "node", F.col("n.class_type").alias("class"), F.col("n.inputs").alias("inputs"))
-
-
-def _inputs(nodes: DataFrame, id_: str) -> DataFrame:
-    """One row per input: literal text or a link, its role and whether it is a text or a pass-through input."""
-    e = nodes.select(id_, "node", "class", F.posexplode(F.array_sort(F.map_entries("inputs"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))).alias("pos", "kv"))
-    k = alower("kv.key")
-    e = e.withColumn("key", k).withColumn("val", F.col("kv.value")).withColumn("textish", k.rlike(TEXTISH)).withColumn(
-        "neg", F.contains(k, F.lit("negative")) | (k == "uc"))
-    e = e.withColumn("link", F.when(F.col("val").rlike(LINK), F.regexp_extract("val", LINK, 1)))
-    e = e.withColumn("cond", F.contains(k, F.lit("conditioning")) | k.isin("positive", "negative", "guider"))
-    w = Window.partitionBy(id_, "node")  # the inputs of one node
-    both = F.max(F.col("textish") & F.col("neg")).over(w) & F.max(F.col("textish") & ~F.col("neg")).over(w)
-    return e.withColumn("both", both).drop("kv")
+GRAPH = "map<string,struct<class_type:string,inputs:map<string,string>>>"
+# one step of the walk: what the frontier's nodes hold becomes texts, and the links to follow next
+_STEP = """
+named_struct(
+  'frontier', transform(array(array_sort(flatten(transform(flatten(transform(s.frontier, f -> transform(
+      filter(coalesce(_nodes[f.node].inputs, array()), i -> i.link is not null), i -> named_struct('f', f, 'i', i, 'text', i.textish and (not _nodes[f.node].both or i.neg = (f.role = 1)))))),
+    x -> case
+      when x.text then array(named_struct('start', x.f.start, 'role', if(x.i.neg, 1, x.f.role), 'node', x.i.link, 'path', concat(x.f.path, array(named_struct('pos', x.i.pos, 'through', false)))))
+      when x.i.cond and not (x.i.key = 'positive' and x.f.role = 1) and not (x.i.key = 'negative' and x.f.role = 0)
+        then array(named_struct('start', x.f.start, 'role', x.f.role, 'node', x.i.link, 'path', concat(x.f.path, array(named_struct('pos', x.i.pos, 'through', true)))))
+      else array() end)))),
+    l -> filter(l, (x, k) -> k = 0 or not (l[k - 1].start = x.start and l[k - 1].role = x.role and l[k - 1].node = x.node)))[0],
+  'texts', concat(s.texts, flatten(transform(s.frontier, f -> transform(
+      filter(coalesce(_nodes[f.node].inputs, array()), i -> i.link is null and i.textish and (not _nodes[f.node].both or i.neg = (f.role = 1)) and coalesce(trim(i.val), '') <> ''),
+      i -> named_struct('start', f.start, 'path', concat(f.path, array(named_struct('pos', i.pos, 'through', false))), 'text', trim(i.val)))))))
+"""
+_PATH = "array<struct<pos:int,through:boolean>>"
+_WALK = f"struct<frontier:array<struct<start:int,role:int,node:string,path:{_PATH}>>,texts:array<struct<start:int,path:{_PATH},text:string>>>"
+
+
+def _walkable(nodes: Column) -> Column:
+    """``map<node, struct<both, inputs>>``: every node's inputs in the order of their names, as texts or links, with their roles."""
+    def one(e: Column, pos: Column) -> Column:
+        key, val = alower(e["key"]), e["value"]
+        neg = F.contains(key, F.lit("negative")) | (key == "uc")
+        return F.struct(pos.alias("pos"), key.alias("key"), val.alias("val"), F.when(val.rlike(LINK), F.regexp_extract(val, LINK, 1)).alias("link"), key.rlike(TEXTISH).alias("textish"), neg.alias("neg"),
+                        (F.contains(key, F.lit("conditioning")) | key.isin("positive", "negative", "guider")).alias("cond"))
+
+    def node(_: Column, n: Column) -> Column:
+        by_name = F.array_sort(F.map_entries(n["inputs"]), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        found = F.when(F.contains(n["class_type"], F.lit("ZeroOut")), F.lit(None)).when(n["class_type"].isNotNull(), F.transform(by_name, one))
+        return let(found, lambda i: F.struct((F.exists(i, lambda x: x["textish"] & x["neg"]) & F.exists(i, lambda x: x["textish"] & ~x["neg"])).alias("both"), i.alias("inputs")))
+
+    return F.transform_values(nodes, node)
+
+
+def _first_links(nodes: str, walk: str) -> Column:
+    """The links behind the sampler's positive and negative inputs (the first sampler, else the last guider), or behind its guider's."""
+    able = F.filter(F.map_entries(nodes), lambda e: e["value"]["class_type"].rlike("Sampler|Guider") & (F.map_contains_key(e["value"]["inputs"], F.lit("positive")) | F.map_contains_key(e["value"]["inputs"], F.lit("guider"))))
+    sampler = lambda e: F.contains(e["value"]["class_type"], F.lit("Sampler"))
+    root = F.array_min(F.transform(able, lambda e: F.struct((~sampler(e)).alias("g"), (F.when(sampler(e), 1).otherwise(-1) * e["key"].try_cast("int")).alias("n"), e["key"].alias("node"))))["node"]
+    inputs = lambda node: F.coalesce(F.try_element_at(F.col(walk), node)["inputs"], F.array())
+
+    def links(of: Column, *keys: str) -> Column:
+        role = lambda i: F.when(i["key"] == "negative", 1).otherwise(0)
+        return F.transform(F.filter(of, lambda i: i["key"].isin(*keys) & i["link"].isNotNull()), lambda i: F.struct(role(i).alias("start"), role(i).alias("role"), i["link"].alias("node"), F.array().cast(_PATH).alias("path")))
+
+    def start(own: Column) -> Column:
+        guider = F.get(F.filter(own, lambda i: (i["key"] == "guider") & i["link"].isNotNull()), F.lit(0))["link"]
+        return let(links(own, "positive", "negative"), lambda d: F.when(F.size(d) > 0, d).otherwise(links(inputs(guider), "positive", "negative", "conditioning")))
+
+    return let(inputs(root), start)
 
 
 def trace_prompt_graph(df: DataFrame, graph: str = "graph", id_: str = "id", max_depth: int = MAX_DEPTH) -> DataFrame:
     """``id, prompt, negative``: the text behind the sampler's positive and negative inputs.
 
-    Links are followed breadth-first over all graphs at once, one join per step. A path remembers the input positions it took, so
-    the texts can be put back in reading order, and where it only passed through a node: such a branch counts when the node's own
-    text inputs led nowhere.
+    Every graph is walked breadth-first inside its own row: a fold over the steps whose state is the frontier and the texts found, so nothing is
+    shuffled or written. A path remembers the input positions it took, so the texts can be put back in reading order, and where it only passed
+    through a node: such a branch counts when the node's own text inputs led nowhere. A node is followed once per step, role and side.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    nodes = graph_nodes(df, graph, id_)
-    inputs = _inputs(nodes, id_).checkpoint()
-    sampler = nodes.where(F.col("class").rlike("Sampler|Guider") & (F.map_contains_key("inputs", "positive") | F.map_contains_key("inputs", "guider")))
-    first = sampler.groupBy(id_).agg(F.min_by("node", F.struct((~F.contains("class", F.lit("Sampler"))).alias("g"), F.when(F.contains("class", F.lit("Sampler")), 1).otherwise(-1) * F.col("node").try_cast("int"))).alias("node"))  # else the last guider
-    roots = inputs.join(first, [id_, "node"], "left_semi")
-    start = roots.where(F.col("key").isin("positive", "negative") & F.col("link").isNotNull())
-    guided = (roots.where("key = 'guider'").select(id_, F.col("link").alias("node")).join(inputs, [id_, "node"])
-              .where(F.col("key").isin("positive", "negative", "conditioning") & F.col("link").isNotNull())
-              .join(start.select(id_), id_, "left_anti"))
-    pick = lambda d: d.select(id_, F.col("link").alias("node"), F.when(F.col("key") == "negative", 1).otherwise(0).alias("role"),
-                              F.when(F.col("key") == "negative", 1).otherwise(0).alias("start"), F.array().cast("array<struct<pos:int,through:boolean>>").alias("path"))
-    frontier = pick(start).unionByName(pick(guided)).checkpoint()
-    texts = None
-    for depth in range(max_depth + 1):
-        j = frontier.join(inputs, [id_, "node"]).where(~F.contains("class", F.lit("ZeroOut")))
-        as_text = F.col("textish") & (~F.col("both") | (F.col("neg") == (F.col("role") == 1)))
-        through = ~F.col("textish") | F.col("cond")
-        passing = F.col("cond") & F.col("link").isNotNull() & ~((F.col("key") == "positive") & (F.col("role") == 1)) & ~((F.col("key") == "negative") & (F.col("role") == 0))
-        step = lambda t: F.concat("path", F.array(F.struct(F.col("pos").alias("pos"), t.alias("through")))).cast("array<struct<pos:int,through:boolean>>")
-        leaf = j.where(as_text & F.col("link").isNull() & (F.trim("val") != "")).select(id_, "start", step(F.lit(False)).alias("path"), F.trim("val").alias("text"))
-        texts = leaf if texts is None else texts.unionByName(leaf)
-        by_text = j.where(as_text & F.col("link").isNotNull()).select(id_, F.col("link").alias("node"), F.when(F.col("neg"), 1).otherwise(F.col("role")).alias("role"), "start", step(F.lit(False)).alias("path"))
-        by_pass = j.where(passing & through & ~as_text).select(id_, F.col("link").alias("node"), "role", "start", step(F.lit(True)).alias("path"))
-        # a node is read once per role
-        nxt = by_text.unionByName(by_pass).groupBy(id_, "node", "role", "start").agg(F.min("path").alias("path")).checkpoint()
-        if depth == max_depth or nxt.isEmpty():
-            break
-        frontier = nxt
-    # the texts of one graph and side: as many as its encoders
-    per = texts.groupBy(id_, "start").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("ts"))
-    prefix = lambda p, d: F.transform(F.slice(p, F.lit(1), d), lambda s: s["pos"])
-
-    def beaten(t):
+    d = df.select(id_, F.from_json(F.col(graph), GRAPH).alias("_json")).where("_json is not null")
+    d = d.withColumn("_nodes", _walkable(F.col("_json"))).withColumn("_start", _first_links("_json", "_nodes"))
+    state = F.expr(f"aggregate(sequence(0, {int(max_depth)}), cast(named_struct('frontier', _start, 'texts', array()) as {_WALK}), (s, n) -> cast({_STEP} as {_WALK}))")
+    d = stage(d.withColumn("_texts", state["texts"]).select(id_, "_texts").where("size(_texts) > 0"), "traced")
+    prefix = lambda p, k: F.transform(F.slice(p, F.lit(1), k), lambda s: s["pos"])
+
+    def beaten(ts: Column, t: Column) -> Column:
         """Some step only passed through a node whose text inputs also led to text."""
-        return F.exists(F.sequence(F.lit(1), F.size(t["path"])), lambda d: F.get(t["path"], d - 1)["through"] & F.exists("ts", lambda o: (
-            (F.size(o["path"]) >= d) & (prefix(o["path"], d - 1) == prefix(t["path"], d - 1)) & ~F.get(o["path"], d - 1)["through"])))
+        return F.exists(F.sequence(F.lit(1), F.size(t["path"])), lambda k: F.get(t["path"], k - 1)["through"] & F.exists(ts, lambda o: (
+            (F.size(o["path"]) >= k) & (prefix(o["path"], k - 1) == prefix(t["path"], k - 1)) & ~F.get(o["path"], k - 1)["through"])))
+
+    def side(which: int) -> Column:
+        mine = F.array_sort(F.transform(F.filter("_texts", lambda t: t["start"] == which), lambda t: F.struct(t["path"].alias("path"), t["text"].alias("text"))))
+        joined = lambda ts: F.aggregate(F.filter(ts, lambda t: ~beaten(ts, t)), F.lit(""), lambda acc, t: F.when(F.contains(acc, t["text"]), acc).when(acc == "", t["text"]).otherwise(F.concat(acc, F.lit("\n"), t["text"])))
+        return let(mine, lambda ts: F.when(F.size(ts) > 0, joined(ts)))
 
-    kept = F.transform(F.filter("ts", lambda t: ~beaten(t)), lambda t: t["text"])
-    joined = F.aggregate(kept, F.lit(""), lambda acc, t: F.when(F.contains(acc, t), acc).when(acc == "", t).otherwise(F.concat(acc, F.lit("\n"), t)))
-    out = per.select(id_, "start", joined.alias("text"))
-    return out.groupBy(id_).agg(F.max(F.when(F.col("start") == 0, F.col("text"))).alias("prompt"), F.max(F.when(F.col("start") == 1, F.col("text"))).alias("negative"))
+    return d.select(id_, side(0).alias("prompt"), side(1).alias("negative"))
 
 
 def _graph(text: Column) -> Column:
     """The nodes of a graph in order of their numbers, as ``array<struct<key, value<class_type, inputs>>>``; null for other text."""
-    nodes = F.map_entries(F.from_json(text, "map<string,struct<class_type:string,inputs:map<string,string>>>"))
+    nodes = F.map_entries(F.from_json(text, GRAPH))
     number = lambda x: F.coalesce(x["key"].try_cast("int"), F.lit(0))
     return F.array_sort(nodes, lambda a, b: F.when(number(a) < number(b), -1).when(number(a) > number(b), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 

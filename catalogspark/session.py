@@ -17,6 +17,8 @@ def build_session(master: str | None = None, name: str = "catalogspark", **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # long evidence expressions are built from thousands of columns; recording the call site of each takes longer than planning
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)

@@ -1,14 +1,16 @@
 """Operators against brute force, on skewed input too, and end-to-end small catalogs."""
 
+import json
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogspark.functions.query import And, Context, Not, Or, Term, tree_score
 from catalogspark.operators import catalog as cat
-from catalogspark.operators import dates, dedupe, organize, similar
+from catalogspark.operators import dates, dedupe, generation, organize, similar
 from catalogspark.operators.components import connected_components
 from catalogspark.operators.ranking import numbered
 from catalogspark.sources import files, sinks
@@ -255,3 +257,148 @@ def test_plans_do_not_grow_with_the_vocabulary(spark):
     assert len(out._jdf.queryExecution().toString()) < 50_000
     assert {r["id"]: r["near"]["tag"] for r in tags.nearest_tag(df, "vec", vocab).collect()} == {i: f"t{i * 7}" for i in range(5)}
     assert out.count() == 5
+
+
+def plain_trace(nodes, node, role, depth=0):
+    """Texts behind a node in reading order, by recursion."""
+    n = nodes.get(node)
+    if n is None or depth > generation.MAX_DEPTH or "ZeroOut" in n["class_type"]:
+        return []
+    textish = lambda k: any(w in k for w in generation.TEXTISH.split("|"))
+    negative = lambda k: "negative" in k or k == "uc"
+    inputs = sorted(n["inputs"].items())
+    both = len({negative(k) for k, _ in inputs if textish(k)}) == 2
+    own = lambda k: textish(k) and (not both or negative(k) == (role == 1))
+    found = []
+    for k, v in inputs:
+        if own(k):
+            found += plain_trace(nodes, v[0], 1 if negative(k) else role, depth + 1) if isinstance(v, list) else [v.strip()] if v.strip() else []
+    if not found:
+        for k, v in inputs:
+            if isinstance(v, list) and not own(k) and ("conditioning" in k or k in ("positive", "negative", "guider")) and (k, role) not in (("positive", 1), ("negative", 0)):
+                found += plain_trace(nodes, v[0], role, depth + 1)
+    return found
+
+
+def test_graph_walk_equals_recursion(spark):
+    rnd, rows, want = random.Random(11), [], {}
+    keys = ["text", "prompt_negative", "uc", "conditioning", "positive", "negative", "seed", "string_b", "value"]
+    for g in range(150):
+        nodes, free = {"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0], "negative": ["3", 0]}}}, [2, 3]
+        following = 4
+        while free:
+            k = free.pop(0)
+            inputs = {}
+            for key in rnd.sample(keys, rnd.randrange(1, 5)):
+                if rnd.random() < 0.5 and following < 40:
+                    inputs[key] = [str(following), 0]
+                    free.append(following)
+                    following += 1
+                else:
+                    inputs[key] = rnd.choice(["", f" text {rnd.randrange(9)} ", f"word{k}"])
+            nodes[str(k)] = {"class_type": rnd.choice(["Encode", "Encode", "Pass", "ConditioningZeroOut"]), "inputs": inputs}
+        sides = []
+        for node, role in (("2", 0), ("3", 1)):
+            text = ""
+            for t in plain_trace(nodes, node, role):
+                text = text if t in text else f"{text}\n{t}" if text else t
+            sides.append(text or None)
+        rows.append((g, json.dumps(nodes)))
+        if any(sides):
+            want[g] = tuple(sides)
+    got = {r["id"]: (r["prompt"], r["negative"]) for r in generation.trace_prompt_graph(spark.createDataFrame([*rows, (900, "no graph"), (901, None), (902, "{}")], "id int, graph string")).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_walks_leave_no_files(spark):
+    df = spark.createDataFrame([(1, "{}")], "id int, graph string")
+    assert "RDDScan" not in generation.trace_prompt_graph(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+LIVE_ROWS = "src_path string, at int, deleted boolean, size bigint, mtime bigint, id bigint, pinned boolean, dest_path string, meta_len int, full string, days array<bigint>"
+
+
+def live_versions(seed, n=240):
+    """Versions of files of two folders: some move to another minute or content, some go, some come back."""
+    rnd, out = random.Random(seed), []
+    for i in range(n):
+        for v in range(rnd.choice([1, 1, 2, 3])):
+            out.append((f"/lib/{i % 2}/f{i}.jpg", v, rnd.random() < 0.2, rnd.randrange(0, 4), 60 * rnd.choice([rnd.randrange(40), 7]) + rnd.randrange(60), i, rnd.random() < 0.1, None, rnd.randrange(3), rnd.choice("ab"), rnd.choice([None, [], [rnd.randrange(3)]])))
+    rnd.shuffle(out)
+    return out
+
+
+def test_live_catalog_equals_one_batch(spark):
+    from catalogspark.streaming.incremental import LiveCatalog
+
+    decide = lambda df: df.select("src_path", "id", "bulk", "size", F.col("mtime").alias("decided"))
+    schema = spark.createDataFrame([], LIVE_ROWS).schema
+    rows = live_versions(1)
+    live = LiveCatalog(spark, fresh(), schema, decide, buckets=5)
+    parts = [rows[k::3] for k in range(3)]
+    for k in (2, 0, 0, 1):  # repeated and late batches change nothing
+        live.fold(spark.createDataFrame(parts[k], LIVE_ROWS))
+    last = {}
+    for r in rows:
+        last[r[0]] = max(last.get(r[0], r), r, key=lambda x: x[1])
+    left = [r for r in last.values() if not r[2]]
+    assert {r["src_path"] for r in live.live().collect()} == {r[0] for r in left}
+    minutes, copies = {}, {}
+    for r in left:
+        minutes.setdefault((r[0].rpartition("/")[0], r[4] // 60), []).append(r)
+        if r[3] > 0:
+            copies.setdefault((r[3], r[9]), []).append(r)
+    bulk = {}
+    for k, m in minutes.items():
+        days = {d for r in m for d in r[10] or []}
+        bulk[k] = len(m) >= 5 and len(days) >= 2 or len(m) >= 20
+    assert any(bulk.values()) and not all(bulk.values())
+    got = {r["src_path"]: (r["id"], r["bulk"], r["size"], r["decided"]) for r in live.decisions().collect()}
+    assert got == {r[0]: (r[5], bulk[r[0].rpartition("/")[0], r[4] // 60], r[3], r[4]) for r in left}
+    keeper = lambda m: min(m, key=lambda r: (not r[6], -r[8], r[4] <= 0, r[4], len(r[0]), r[5]))[5]
+    assert {r["src_path"]: r["dup_of"] for r in live.duplicates().collect()} == {r[0]: keeper(m) for m in copies.values() for r in m if r[5] != keeper(m)}
+
+
+def test_live_catalog_touches_only_its_buckets(spark):
+    import glob
+    import os
+
+    from catalogspark.streaming.incremental import LiveCatalog
+
+    path = fresh()
+    live = LiveCatalog(spark, path, spark.createDataFrame([], LIVE_ROWS).schema, lambda df: df.select("src_path", "bulk"), buckets=16)
+    live.fold(spark.createDataFrame(live_versions(3, 300), LIVE_ROWS))
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/*/bucket=*/*.parquet")}
+    gone = live.missing(live.live().where("src_path <> '/lib/0/f0.jpg'"), "/lib/0", F.lit(99))
+    known = live.live().where("src_path = '/lib/0/f0.jpg'").count()
+    live.fold(gone)
+    assert live.live().where("src_path = '/lib/0/f0.jpg'").count() == 0
+    changed = {f.removeprefix(path).rpartition("/")[0] for f in before if not os.path.exists(f)}
+    assert len(changed) <= 4 * known and all(n in "/files/results/copies/minutes" for n in {c.split("/")[1] for c in changed})
+    live.fold(spark.createDataFrame([], LIVE_ROWS))  # an empty batch
+
+
+def test_live_catalog_repeats_a_batch_that_was_cut_off(spark, monkeypatch):
+    from catalogspark.streaming import incremental
+
+    schema, decide = spark.createDataFrame([], LIVE_ROWS).schema, lambda df: df.select("src_path", "bulk")
+    first, second = live_versions(5)[:150], live_versions(6)[:150]
+    whole = incremental.LiveCatalog(spark, fresh(), schema, decide, buckets=4)
+    broken = incremental.LiveCatalog(spark, fresh(), schema, decide, buckets=4)
+    for c in (whole, broken):
+        c.fold(spark.createDataFrame(first, LIVE_ROWS))
+    whole.fold(spark.createDataFrame(second, LIVE_ROWS))
+    plain = incremental.Buckets.replace
+    for stop in ("minutes", "files"):
+        def failing(self, rows, touched, stop=stop):
+            if self.path.endswith(stop):
+                raise OSError("cut off")
+            plain(self, rows, touched)
+
+        monkeypatch.setattr(incremental.Buckets, "replace", failing)
+        with pytest.raises(OSError):
+            broken.fold(spark.createDataFrame(second, LIVE_ROWS))
+    monkeypatch.setattr(incremental.Buckets, "replace", plain)
+    broken.fold(spark.createDataFrame(second, LIVE_ROWS))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(whole.decisions()) == rows(broken.decisions()) and rows(whole.duplicates()) == rows(broken.duplicates())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import fingerprint
 from ..functions.tags import merge_keywords
 from ..functions.text import alower, basename, clean_value, col, dirname, ext_lower, human_size, norm_ext, placeholder_text, text_covers, utf8_cut
+from ..session import written
 from .ranking import numbered
 
 LAYOUTS = {"y/y-m": lambda y, m: F.concat(y, F.lit("/"), y, F.lit("-"), m), "y-m": lambda y, m: F.concat(y, F.lit("-"), m), "y/m": lambda y, m: F.concat(y, F.lit("/"), m)}
@@ -36,42 +37,32 @@ def free_destinations(planned: DataFrame, *taken: DataFrame) -> DataFrame:
     return planned
 
 
+SERIAL_BUCKET = 256
+
+
 def assign_serials(todo: DataFrame, taken: DataFrame | None, keys: list[str], order: list[Column]) -> DataFrame:
     """Give every row the next free serial of its key, in order.
 
-    Numbering starts at the row's ``first_sn`` and skips the serials in ``taken`` (``keys, sn``). A row's serial is its rank plus the
-    number of used serials before it: used serials become steps, so the look-up is a range count over few rows per key instead of a
-    sequence of all free numbers.
+    Numbering starts at the row's ``first_sn`` and skips the serials in ``taken`` (``keys, sn``). Used serials of a key become intervals of wanted
+    numbers that are shifted alike: the k-th used serial s shifts every number from s - k + 1 on, until the next one does. Intervals are cut at
+    buckets of ``SERIAL_BUCKET`` numbers, so every row finds its own by an equi-join on key and bucket, and no key is worked on in one task.
+    ``todo`` is read twice; pass a written table if it is dear.
     """
+    ranked = numbered(todo, keys, order, "_rank").withColumn("_want", (F.col("first_sn") + F.col("_rank") - 1).cast("bigint")).drop("_rank")
     if taken is None:
-        return numbered(todo, keys, order, "_rank").withColumn("sn", F.col("first_sn") + F.col("_rank") - 1).drop("_rank")
-    ranked = numbered(todo, keys, order, "_rank").withColumn("_want", F.col("first_sn") + F.col("_rank") - 1)
-    first = todo.groupBy(*keys).agg(F.min("first_sn").alias("_from"))
-    t, f = taken.alias("t"), first.alias("f")
-    used = t.join(f, _same(keys, "t", "f")).where(F.col("t.sn") >= F.col("f._from")).select(*[F.col(f"t.{k}") for k in keys], F.col("t.sn").alias("sn")).distinct()
-    # the k-th used serial s shifts everyone whose unshifted number is at least s - (k - 1)
-    steps = numbered(used, keys, [F.col("sn").asc()], "_k").select(*keys, (F.col("sn") - F.col("_k") + 1).alias("_want"), F.col("_k"))
-    steps = steps.groupBy(*keys, "_want").agg(F.max("_k").alias("_k"))
-    rows = ranked.withColumn("_k", F.lit(None).cast("int")).withColumn("_row", F.lit(1))
-    marks = steps.withColumn("_row", F.lit(0))
-    # as-of join: the last step at or before each wanted number
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    return _carry_forward(both, keys).where("_row = 1").withColumn("sn", F.col("_want") + F.coalesce("_shift", F.lit(0))).drop(
-        "_rank", "_want", "_k", "_row", "_shift", "_bucket")
-
-
-def _carry_forward(both: DataFrame, keys: list[str], width: int = 100_000) -> DataFrame:
-    """Last non-null ``_k`` up to each ``_want`` per key, in buckets of ``width`` numbers so that no group is unbounded."""
-    from pyspark.sql import Window
-
-    b = both.withColumn("_bucket", F.floor(F.col("_want") / width))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_want", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_in", F.last("_k", ignorenulls=True).over(inside))
-    tops = b.groupBy(*keys, "_bucket").agg(F.max("_k").alias("_top"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_prev", F.max("_top").over(before)).drop("_top")
-    joined = b.alias("l").join(tops.alias("s"), _same([*keys, "_bucket"], "l", "s"))
-    return joined.select("l.*", F.col("s._prev").alias("_prev")).withColumn("_shift", F.coalesce("_in", "_prev")).drop("_in", "_prev")
+        return ranked.withColumn("sn", F.col("_want")).drop("_want")
+    ranges = todo.groupBy(*keys).agg(F.min("first_sn").alias("_from"), (F.max("first_sn") + F.count("*") - 1).alias("_last"))
+    t, r = taken.alias("t"), ranges.alias("r")
+    used = t.join(r, _same(keys, "t", "r")).where(F.col("t.sn") >= F.col("r._from")).select(*[F.col(f"r.{k}") for k in keys], F.col("t.sn").cast("bigint").alias("sn"), "_last").distinct()
+    steps = written(numbered(used, keys, [F.col("sn").asc()], "_k").select(*keys, "_last", "_k", (F.col("sn") - F.col("_k") + 1).alias("_lo")), "serials")
+    following = steps.select(*keys, (F.col("_k") - 1).alias("_k"), (F.col("_lo") - 1).alias("_hi"))
+    a, b = steps.alias("a"), following.alias("b")
+    gaps = a.join(b, _same([*keys, "_k"], "a", "b"), "left").select("a.*", F.least(F.coalesce("b._hi", "a._last"), "a._last").alias("_hi")).where("_lo <= _hi")
+    bucket = lambda c: F.call_function("div", F.col(c), F.lit(SERIAL_BUCKET))
+    gaps = gaps.withColumn("_bucket", F.explode(F.sequence(bucket("_lo"), bucket("_hi"))))
+    w, g = ranked.withColumn("_bucket", bucket("_want")).alias("w"), gaps.alias("g")
+    found = w.join(g, _same([*keys, "_bucket"], "w", "g") & F.col("w._want").between(F.col("g._lo"), F.col("g._hi")), "left")
+    return found.select(*[F.col(f"w.{c}") for c in todo.columns], (F.col("w._want") + F.coalesce("g._k", F.lit(0))).alias("sn"))
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -124,6 +115,8 @@ def plan_organize(df: DataFrame, *, file_op: str = "rename", layout: str = "y/y-
     named = plan.where(naming).join(start, ["_key", "_day"], "left").withColumn("first_sn", F.coalesce("first_sn", F.lit(1)))
     lead = F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit(sep))).otherwise("") if prefix is not None else F.lit("")
     named = named.withColumn("_lead", lead).withColumn("_ext", norm_ext(ext_lower("src_path")))
+    # the names to give, computed once: numbering, names in use and the plan read this table
+    named = written(named.select("id", "action", "src_path", "dest_path", "include", "size", "mtime", "needs_review", "date_value", "first_sn", "_key", "_dir", "_day", "_lead", "_ext"), "named")
     if listing is not None:
         paths = listing.select(F.regexp_replace("path", r"\.xmp$", "").alias("p")).unionByName(df.where("dest_path IS NOT NULL").select(F.col("dest_path").alias("p")))
         known = _names_in_use(paths, named, sep, digits)

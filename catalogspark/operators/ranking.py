@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,9 +28,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn
     A window would sort each group in one task. The rows are therefore range-partitioned on keys and order, numbered inside each
     range, and shifted by the sizes of the ranges before it. The order must be total.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     # written out once: partition numbers must not change between the two uses below
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(*keys, "_part").count()
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")

@@ -402,3 +402,22 @@ def test_live_catalog_repeats_a_batch_that_was_cut_off(spark, monkeypatch):
     broken.fold(spark.createDataFrame(second, LIVE_ROWS))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(whole.decisions()) == rows(broken.decisions()) and rows(whole.duplicates()) == rows(broken.duplicates())
+
+
+def test_serials_equal_a_plain_count(spark, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(organize, "SERIAL_BUCKET", 7)
+    todo, taken, want = [], [], {}
+    for day, n, top, first in (("a", 120, 300, 5), ("b", 40, 60, 1), (None, 30, 10, 3), ("d", 9, 0, 2), ("e", 25, 12, 1)):
+        used = set(range(1, 60)) if day == "e" else {rnd.randrange(1, top) for _ in range(top // 2)}
+        taken += [(day, s) for s in used] + [(day, s) for s in list(used)[:5]]
+        sn = first
+        for _ in range(n):
+            while sn in used:
+                sn += 1
+            todo.append((len(todo), day, first))
+            want[len(todo) - 1] = sn
+            sn += 1
+    rows, held = spark.createDataFrame(todo, "id int, day string, first_sn int"), spark.createDataFrame([*taken, ("z", 1)], "day string, sn int")
+    got = organize.assign_serials(rows.repartition(5), held, ["day"], [F.asc("id")])
+    assert got.columns == ["id", "day", "first_sn", "sn"] and {r["id"]: r["sn"] for r in got.collect()} == want

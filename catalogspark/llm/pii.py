@@ -84,7 +84,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     for last, (what, size) in _automaton().iter(text):
         at = last - size + 1
         if what == 0:
-            if at >= ip and (m := _IP.match(text, at)):
+            # a run of digits that fails at its first digit fails at all others, and a match ends with its last run
+            if at >= ip and not (at and text[at - 1] in "0123456789") and (m := _IP.match(text, at)):
                 ip = m.end()
                 if all(map(_octet, m[0].split("."))):
                     found.append((1, at, ip))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from catalogspark.llm import pii
 from catalogspark.llm.queries import QUERIES
@@ -70,3 +71,28 @@ def test_empty_table_and_clashing_column(spark, table):
     docs = table([(1, "a@b.cd")]).withColumnRenamed("lang", "PII")
     assert pii.pii_spans(docs.where("false")).collect() == []
     assert pii.pii_spans(docs).first().pii[0].kind == "email"
+
+
+def test_very_long_runs_take_linear_time():
+    begin = time.time()
+    for text in ("1" * 1_000_000, "1" * 1_000_000 + ".2.3.4 and 5.6.7.8", "12 " * 300_000, "+1 " * 300_000, "1.2." * 250_000, "a" * 1_000_000 + "@b.c", "@" * 300_000, "+" + "(" * 500_000):
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.find_spans(text) if k < 4] == base_spans_of_runs(text)
+    assert time.time() - begin < 30
+
+
+def base_spans_of_runs(text):
+    """The base rules where a run of digits is tried from its first digit only, so that this check is linear too."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"]
+        if 16 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c in "0123456789" for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out

@@ -31,21 +31,25 @@ LZW_CLEAR, LZW_END, LZW_FIRST, LZW_MAX_BITS = 256, 257, 258, 12
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + run
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three and more as a count and a byte, what lies between them as it is, at most 128 bytes a packet."""
+    a = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(a))
+    long = ends - starts > 2
+    out, at = bytearray(), 0
+
+    def plain(upto: int) -> None:
+        for i in range(at, upto, 128):
+            part = data[i:min(i + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        plain(start)
+        for i in range(start, end, 128):
+            out += bytes(((257 - min(128, end - i)) & 255, data[i]))
+        at = end
+    plain(len(a))
     return bytes(out)
 
 
@@ -64,79 +68,87 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzw_widths(first: int, n: int) -> np.ndarray:
+    """Bits of the codes number ``first`` and following after a clear code: the reader's table has one entry fewer than codes were read."""
+    size = np.arange(first, first + n) - 1 + LZW_FIRST
+    return 9 + (size >= 511).astype(np.int64) + (size >= 1023) + (size >= 2047)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; the width grows one code early, as the format asks."""
-    table: dict[int, int] = {}  # code of a word and the byte behind it -> code of the longer word
-    out, acc, filled, width, size = bytearray(), LZW_CLEAR, 9, 9, LZW_FIRST
-    word = data[0] if data else -1
+    none = [None] * (1 << LZW_MAX_BITS)
+    table: list[dict[int, int] | None] = none.copy()  # for the code of a word, the codes of the words that are one byte longer
+    codes, clears, size, word = [LZW_CLEAR], [0], LZW_FIRST, data[0] if data else -1
+    add = codes.append
     for byte in data[1:]:
-        longer = word << 8 | byte
-        known = table.get(longer)
-        if known is not None:
-            word = known
+        longer = table[word]
+        if longer is None:
+            table[word] = {byte: size}
+        elif byte in longer:
+            word = longer[byte]
             continue
-        acc = acc << width | word
-        filled += width
-        table[longer] = size
+        else:
+            longer[byte] = size
+        add(word)
+        word = byte
         size += 1
         if size == (1 << LZW_MAX_BITS) - 2:
-            acc = acc << width | LZW_CLEAR
-            filled += width
-            table.clear()
-            size, width = LZW_FIRST, 9
-        elif size == 1 << width:  # the reader is one entry behind
-            width += 1
-        word = byte
-        if filled > 256:  # whole bytes leave, so that the number stays short
-            left = filled & 7
-            out += (acc >> left).to_bytes(filled >> 3, "big")
-            acc &= (1 << left) - 1
-            filled = left
-    if word >= 0:
-        acc = acc << width | word
-        filled += width
-        # the reader adds an entry for this code too, so the end code may already be wider
-        if size >= (1 << width) - 1 and width < LZW_MAX_BITS:
-            width += 1
-    acc = acc << width | LZW_END
-    filled += width
-    pad = -filled % 8
-    return bytes(out + (acc << pad).to_bytes((filled + pad) // 8, "big"))
+            clears.append(len(codes))
+            add(LZW_CLEAR)
+            table = none.copy()
+            size = LZW_FIRST
+    codes += [word, LZW_END] if word >= 0 else [LZW_END]
+    ends = [*clears[1:], len(codes) - 1]
+    widths = np.concatenate([[9], *[lzw_widths(0, end - begin) for begin, end in zip(clears, ends, strict=True)]])
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, table = bytearray(), []
-    acc = filled = at = 0
-    width, prev = 9, b""
-    while len(out) < size:
-        while filled < width:
-            if at == len(data):
-                return bytes(out)
-            acc = ((acc << 8) | data[at]) & 0xFFFFFFFF
-            filled += 8
-            at += 1
-        filled -= width
-        code = (acc >> filled) & ((1 << width) - 1)
-        if code == LZW_END:
+    """Whole arrays of codes at once: widths follow from a code's number since the clear code, lengths from the chain of entries, and every byte
+    but a literal one is a copy of an earlier byte, at a distance that its code gives."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
+    out, have, bit, limit = [], 0, 0, 8 * len(data)
+    held = np.zeros(0, np.int64)  # codes since the clear code
+    while have < size:
+        widths = lzw_widths(len(held), min(4096, (limit - bit) // 9 + 1))
+        ends = bit + np.cumsum(widths)
+        n = int(np.searchsorted(ends, limit, "right"))
+        if not n:  # no end code
+            out.append(_lzw_words(held))
             break
-        if code == LZW_CLEAR:
-            table, width, prev = [], 9, b""
+        at, widths = ends[:n] - widths[:n], widths[:n]
+        k = at >> 3
+        codes = (raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) >> (24 - (at & 7) - widths) & (1 << widths) - 1
+        stop = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+        if not len(stop):
+            held, bit = np.concatenate([held, codes]), int(ends[n - 1])
             continue
-        if code < 256:
-            word = bytes((code,))
-        elif code - LZW_FIRST < len(table):
-            word = table[code - LZW_FIRST]
-        elif code - LZW_FIRST == len(table) and prev:
-            word = prev + prev[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        if prev:
-            table.append(prev + word[:1])
-        out += word
-        prev = word
-        if len(table) + LZW_FIRST >= (1 << width) - 1 and width < LZW_MAX_BITS:
-            width += 1
-    return bytes(out)
+        out.append(_lzw_words(np.concatenate([held, codes[:stop[0]]])))
+        have += len(out[-1])
+        if codes[stop[0]] == LZW_END:
+            break
+        held, bit = np.zeros(0, np.int64), int(ends[stop[0]])
+    return b"".join(x.tobytes() for x in out)
+
+
+def _lzw_words(codes: np.ndarray) -> np.ndarray:
+    """The bytes of the codes between two clear codes."""
+    n = len(codes)
+    number = np.arange(n)
+    entry = np.where(codes < 256, number, codes - LZW_FIRST)  # the code that began the entry; a literal is its own
+    if (entry > number - (codes >= 256)).any():
+        raise ValueError("LZW code out of range")
+    # a word is one byte longer than that of the code which began its entry
+    length, upto = (codes >= 256).astype(np.int64), entry
+    while (length[upto] > 0).any():
+        length, upto = length + length[upto], upto[upto]
+    length += 1
+    start = np.cumsum(length) - length
+    source = np.arange(int(length.sum())) - np.repeat(start - start[entry], length)
+    while ((further := source[source]) != source).any():
+        source = further
+    return np.repeat(codes, length)[source].astype(np.uint8)
 
 
 ENCODERS = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
@@ -189,7 +201,8 @@ def write_image(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
-READ_ERRORS = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+READ_ERRORS = (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error)
+MOST_SAMPLES = 4096  # samples that no coding can keep in one byte
 
 
 def _read_page(data: bytes, order: str, at: int, count: int) -> tuple[int, int, int, bytes]:
@@ -207,6 +220,8 @@ def _read_page(data: bytes, order: str, at: int, count: int) -> tuple[int, int,
     tiled = TILE_AT in tags
     cw, ch = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(STRIP_ROWS, (h,))[0]))
     offsets, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
+    if max(h * w, ch * cw) * spp > MOST_SAMPLES * len(data):
+        raise ValueError("more samples than the stored bytes can hold")
     pixels, k = np.zeros((h, w, spp), np.uint8), 0
     for y in range(0, h, ch):
         for x in range(0, w, cw):

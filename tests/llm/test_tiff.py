@@ -93,3 +93,38 @@ def test_broken_images_are_reported(spark):
         got.setdefault(r.k, []).append((r.page, r.error is None))
     assert got == {1: [(0, True), (1, True)], 3: [(-1, False)], 4: [(-1, False)], 5: [(-1, False)]} and loop
     assert T.read_pages(df.where("false")).collect() == []
+
+
+def stream(*codes):
+    """LZW codes of nine bits as bytes, highest bit first."""
+    bits = "".join(f"{c:09b}" for c in codes)
+    return bytes(int(bits[i:i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def test_streams_of_other_writers():
+    # the format's own example, a clear code in the middle, a word that repeats the one being written, an end without an end code
+    assert T.lzw_decode(stream(256, 7, 258, 8, 8, 258, 6, 6, 257), 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert T.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == stream(256, 7, 258, 8, 8, 258, 6, 6, 257)
+    assert T.lzw_decode(stream(256, 65, 66, 258, 256, 67, 258, 257), 99) == b"ABABCCC"
+    assert T.lzw_decode(stream(65, 258, 259), 6) == b"AAAAAA"
+    assert T.lzw_decode(stream(256, 65, 66), 2) == b"AB"
+    many = bytes(random.Random(6).randrange(4) for _ in range(70_000))
+    assert T.lzw_decode(T.lzw_encode(many)[:-1], len(many))[:69_000] == many[:69_000]
+    with pytest.raises(ValueError, match="out of range"):
+        T.lzw_decode(stream(256, 65, 300), 9)
+    with pytest.raises(ValueError, match="out of range"):
+        T.lzw_decode(stream(256, 259), 9)
+    # the format's example of packed runs
+    assert T.packbits_decode(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA]), 24) == bytes([0xAA] * 3 + [0x80, 0, 0x2A] + [0xAA] * 4 + [0x80, 0, 0x2A, 0x22] + [0xAA] * 10)
+
+
+def test_impossible_sizes_are_reported(spark):
+    data = T.write_image([np.zeros((2, 64), np.uint8), np.ones((2, 64), np.uint8)])
+    at = struct.unpack_from("<I", data, 4)[0]
+    rows = []
+    for k, (tag, value) in enumerate([(0, 2**31 - 1), (1, 2**31 - 1), (1, 2**20)]):
+        bad = bytearray(data)
+        struct.pack_into("<I", bad, at + 10 + 12 * tag, value)
+        rows.append((k, bad))
+    got = T.read_pages(spark.createDataFrame(rows, "k int, media binary")).orderBy("k", "page").collect()
+    assert [(r.k, r.page, r.error is None) for r in got] == [(k, p, p == 1) for k in range(3) for p in range(2)]

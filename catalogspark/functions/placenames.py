@@ -24,6 +24,7 @@ folders|stuff|archive|archives|sort|sorted|unsorted|todo|done|work|照片|相片
 CAMERA_TOKEN = (r"^(img|dsc|dscn|dscf|dsci|pxl|mvimg|vid|pano|burst|sam|cimg|imag|kimg|dji|gopr|gp|gh|p|pict|dcp|mvc|wa|mmexport|wx_camera|screenshot|"
                 r"photo|image|mms|received|snapchat|fb_img|signal|trim|edit|copy|[0-9]{3}[a-z_]{5})$")
 CAMERA_FOLDER = r"^[0-9]{3}[A-Za-z0-9_]{5}$"
+# fixed values: words of names that say nothing
 NOISE_WORDS = ["img", "image", "images", "photo", "photos", "picture", "pictures", "pics", "dcim", "camera", "screenshot", "screenshots", "copy", "edited", "export"]
 
 # fixed values: trip words after a place, in the order they are tried

@@ -89,6 +89,7 @@ def tag_phrases(name, category) -> Column:
     plural = t.isin(MASS_WORDS) | ((F.length(t) > 2) & t.rlike("[^s]s$"))
     a = F.when(plural, t).when(t.rlike("^[aeiou]"), F.concat(F.lit("an "), t)).otherwise(F.concat(F.lit("a "), t))
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # fixed values: the phrasings, as they decide which vectors are averaged
     return (F.when(c.isin("medium", "composition"), F.array(a, say("an image that is ", a), say("this is ", a), say(a, " of something")))
             .when(c == "document", F.array(say("a screenshot of ", a), say("an image of ", a), a, say("a photo of ", a)))
             .otherwise(F.array(say("a photo of ", a), say("a picture of ", a), say("an image showing ", a), say("an illustration of ", a), a)))

@@ -174,7 +174,9 @@ def trace_prompt_graph(df: DataFrame, graph: str = "graph", id_: str = "id", max
     through a node: such a branch counts when the node's own text inputs led nowhere. A node is followed once per step, role and side.
     """
     d = df.select(id_, F.from_json(F.col(graph), GRAPH).alias("_json")).where("_json is not null")
-    d = d.withColumn("_nodes", _walkable(F.col("_json"))).withColumn("_start", _first_links("_json", "_nodes"))
+    # the barriers keep the prepared nodes from being computed again wherever the walk looks one up
+    d = stage(d.withColumn("_nodes", _walkable(F.col("_json"))), "nodes")
+    d = stage(d.withColumn("_start", _first_links("_json", "_nodes")).drop("_json"), "start")
     state = F.expr(f"aggregate(sequence(0, {int(max_depth)}), cast(named_struct('frontier', _start, 'texts', array()) as {_WALK}), (s, n) -> cast({_STEP} as {_WALK}))")
     d = stage(d.withColumn("_texts", state["texts"]).select(id_, "_texts").where("size(_texts) > 0"), "traced")
     prefix = lambda p, k: F.transform(F.slice(p, F.lit(1), k), lambda s: s["pos"])

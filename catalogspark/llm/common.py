@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, hadoop_path
 
 BATCH_ROWS = 400
 
@@ -27,14 +27,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that every executor shares: computed once, readable after the loss of executors."""
+def written(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """The rows as a table in the folder that every executor shares: computed once, readable after the loss of executors. Its path is noted in ``used``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if used is not None:
+        used.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, used: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    while used:
+        where, fs = hadoop_path(spark, used.pop())
+        fs.delete(where, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Partitions of hand-made buckets: the session's setting, which is sized to the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

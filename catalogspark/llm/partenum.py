@@ -1,15 +1,18 @@
 """Near duplicates by Jaccard similarity of word shingles, with PartEnum signatures.
 
 Sets are put into size bands so that similar sets lie in one band or in neighbouring ones. For a pair of bands the threshold bounds the number of
-features in which two similar sets differ, K. The feature domain is partitioned into K // 2 + 1 + ``SPARE`` groups of three partitions: some group holds at most one
-difference, so two of its three partitions agree. Each set is signed with every subset of two partitions of each group; two similar sets share a
-signature, whatever their features are. Subsets without features say nothing and are not signed; a set with more such groups than ``SPARE`` is signed again
-with other partitions, as its similar sets are, and with the empty subsets themselves only after ``LEVELS`` tries.
-
-1. One pass over the texts gives each document's set size, set name (128 bits) and a parity sketch of 1,024 bits. Documents with equal sets are one node.
+features in which two similar sets differ, K. The feature domain is partitioned into K // 2 + 1 groups of three partitions and some spare ones: one more
+group than there are spares holds at most one difference, so two of its three partitions agree. Each set is signed with every subset of two partitions of each
+group; two similar sets share a signature, whatever their features are. Subsets without features say nothing and are not signed; a set with more such
+groups than there are spares is signed again with other partitions, as its similar sets are, and with the empty subsets themselves only after ``LEVELS``
+tries. The spares of a band follow from how many such groups its smallest sets are expected to have, so that long texts are seldom signed twice.
+
+1. One pass over the texts gives each document's set size, set name (128 bits) and a parity sketch, whose width is a power of two and at least four times
+   the differences that sets of its size may have: strangers differ in half the bits at every size. Documents with equal sets are one node.
 2. A second pass sends signatures to buckets by their hash; equal sets of a task are sent once. Sets that share a signature are a list; its
    first set is its pivot. A bucket yields the pairs (pivot, member), not all pairs.
-3. Pairs whose sketches differ in more bits than their sizes allow are dissimilar. The others are compared exactly on their texts.
+3. Pairs whose sketches differ in more bits than their sizes allow are dissimilar (of two widths the wider sketch is folded). The others are compared exactly on
+   their texts: the text of a pivot goes to each ``CHUNK`` of its pairs once, the text of the other side follows it there.
 4. Where a member did not come to its pivot's component, members of the list may still be similar to each other. These lists are taken up again:
    members of different components are compared by sketch (large lists in pieces that meet pairwise in separate tasks), what passes exactly.
 5. Components of the confirmed links are the duplicate groups.
@@ -30,13 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import documents, map_arrow, shuffle_parts, written
+from .common import discard, documents, map_arrow, shuffle_parts, written
 from .segment import mixed, span_hashes
 
-SPARE, LEVELS, BITS = 1, 4, 1024
+LEVELS, BITS, CHUNK = 4, 1024, 256
 PART_BYTES = 1_500_000
 PIECE_ROWS = 2000
-BROADCAST_IDS = 1_000_000  # 24 bytes each
 LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,11 +105,17 @@ def set_names(s: Sets) -> tuple[np.ndarray, np.ndarray]:
     return mixed(s.sums(mixed(s.features)) + size), mixed(s.sums(mixed(s.features ^ np.uint64(0x5851F42D4C957F2D))) ^ size)
 
 
-def sketches(s: Sets) -> np.ndarray:
+def sketches(s: Sets, percent: int = 85) -> list[np.ndarray]:
     """Parities of the features per bit: as many bits differ as features do, or fewer."""
-    flips = np.zeros(len(s.sizes) * BITS, np.uint8)
-    np.bitwise_xor.at(flips, s.owner * BITS + (mixed(s.features ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64), np.uint8(1))
-    return np.packbits(flips.reshape(-1, BITS), axis=1)
+    need = np.maximum(4 * allowed(percent, 2 * s.sizes), BITS)
+    width = np.int64(1) << np.ceil(np.log2(need)).astype(np.int64)
+    first = np.cumsum(width) - width
+    flips = np.zeros(int(width.sum()), np.uint8)
+    bit = mixed(s.features ^ np.uint64(0x2545F4914F6CDD1D)) % np.repeat(width, s.sizes).astype(np.uint64)
+    np.bitwise_xor.at(flips, np.repeat(first, s.sizes) + bit.astype(np.int64), np.uint8(1))
+    # words with the lowest bit first: bit k of a sketch is bit k % 64 of its word k // 64, so that halves fold onto each other
+    packed = np.packbits(flips, bitorder="little")
+    return [packed[i // 8:(i + w) // 8] for i, w in zip(first.tolist(), width.tolist(), strict=True)]
 
 
 class Bands:
@@ -121,6 +129,13 @@ class Bands:
             low = self.tops[-1] + 1
         tops = np.array(self.tops, np.int64)
         self.differ = allowed(percent, tops + 100 * tops // percent)
+        self.groups = self.differ // 2 + 2
+        smallest = np.concatenate([[1], tops[:-1] + 1])
+        for _ in range(4):  # spares make groups smaller, and so some more of them empty
+            blank = self.groups * np.minimum(3 * np.exp(-2 * smallest / (3 * self.groups)), 1)
+            spare = 1 + np.ceil(blank + 2 * np.sqrt(blank)).astype(np.int64)
+            self.groups = self.differ // 2 + 1 + np.minimum(spare, 1 + self.differ // 12)
+        self.spare = self.groups - self.differ // 2 - 1
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.tops, sizes)
@@ -145,7 +160,7 @@ def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
                 break
             sizes = s.sizes[active]
             where = np.arange(int(sizes.sum())) + np.repeat(begin[active] - (np.cumsum(sizes) - sizes), sizes)
-            groups = bands.differ[instance[active]] // 2 + 1 + SPARE
+            groups, spare = bands.groups[instance[active]], bands.spare[instance[active]]
             base = np.cumsum(groups) - groups
             salt = mixed(instance[active].astype(np.uint64) * np.uint64(LEVELS) + np.uint64(level))
             place = mixed(s.features[where] ^ np.repeat(salt, sizes))
@@ -165,7 +180,7 @@ def signatures(s: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
                 a, b = (left_out + 1) % 3, (left_out + 2) % 3
                 empty[:, left_out] = held[:, a] + held[:, b] == 0
                 signed[:, left_out] = mixed(sums[:, a] * np.uint64(3) + sums[:, b] + key * np.uint64(5) + np.uint64(left_out))
-            bad = np.add.reduceat(empty.any(axis=1).astype(np.int64), base) > SPARE
+            bad = np.add.reduceat(empty.any(axis=1).astype(np.int64), base) > spare
             use = ~empty
             if level == LEVELS - 1:
                 use |= np.repeat(bad, groups)[:, None]
@@ -190,7 +205,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 FACT = "size long, s1 long, s2 long, sketch binary"
 
 
-def set_facts(base: DataFrame, words: int) -> DataFrame:
+def set_facts(base: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, ord, tid`` with each document's set size, name and sketch."""
     keep = ["doc_id", "ord", "tid"]
 
@@ -204,7 +219,7 @@ def set_facts(base: DataFrame, words: int) -> DataFrame:
                 size.append(s.sizes)
                 one.append(a.view(np.int64))
                 two.append(c.view(np.int64))
-                sketch += [x.tobytes() for x in sketches(s)]
+                sketch += [x.tobytes() for x in sketches(s, percent)]
             none = [np.zeros(0, np.int64)]
             cols = [pa.array(np.concatenate(x or none).astype(np.int64)) for x in (size, one, two)] + [pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, names=[*keep, "size", "s1", "s2", "sketch"])
@@ -304,33 +319,56 @@ def _lists(key, rows):
 
 def sketch_near(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
     """Whether two sets may be similar, by their sizes and sketches (arrays of 64-bit words)."""
-    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    n = F.least(F.size(a), F.size(b))
+    folded = lambda x, i: F.aggregate(F.sequence(i, F.size(x) - 1, n), F.lit(0).cast("long"), lambda v, k: v.bitwiseXOR(F.get(F.col(x), k)))
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    other = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
     low, high = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    bits = F.when(F.size(a) == F.size(b), same).otherwise(other)
     return (low * 100 >= high * percent) & (bits <= F.floor((F.col(size_a) + F.col(size_b)) * (100 - percent) / (100 + percent)))
 
 
 def _words(sketch: str) -> Column:
     """A sketch as 64-bit words."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda k: F.conv(F.hex(F.substring(F.col(sketch), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    last = F.expr(f"cast(length({sketch}) / 8 as int) - 1")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.conv(F.hex(F.substring(F.col(sketch), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose texts are similar; ``texts`` has ``node, raw``."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("raw_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("raw").alias("raw_b")), "b").select("a", "b", "raw_a", "raw_b")
+    """The pairs ``a, b`` of nodes and whether their texts are similar; ``texts`` has ``node, raw``.
+
+    A node ``a`` with many pairs is dealt to chunks by the hash of the other side; the rows of a chunk follow each other, the text of ``a`` first, so
+    that a task holds one set besides its batch.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("chunk"))
+    none = F.lit(None).cast(pairs.schema["b"].dataType)
+    heads = dealt.select("a", "chunk").distinct().select(F.col("a").alias("node"), "a", "chunk", none.alias("b"))
+    rows = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "chunk", "b")).join(texts, "node").select("a", "chunk", "b", "raw")
+    together = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("raw_a").to_pylist(), b.column("raw_b").to_pylist(), strict=True):
-                s = shingle_sets([x, y], words)
-                common = len(np.intersect1d(s.features[:s.sizes[0]], s.features[s.sizes[0]:], assume_unique=True))
-                good.append(common > 0 and 100 * common >= percent * (len(s.features) - common))
-            t = pa.Table.from_batches([b.select(["a", "b"])]).append_column("similar", pa.array(good, pa.bool_()))
-            yield from t.to_batches()
-
-    kind = both.schema["a"].dataType.simpleString()
-    return map_arrow(both, run, f"a {kind}, b {kind}, similar boolean")
+        head = np.zeros(0, np.uint64)
+        for t in batches:
+            raw, is_head = t.column("raw").to_pylist(), t.column("b").is_null().to_pylist()
+            good = np.zeros(len(raw), bool)
+            at = 0
+            for i, j in _parts(raw):
+                s = shingle_sets(raw[i:j], words)
+                ends = np.cumsum(s.sizes)
+                for k in range(j - i):
+                    own = s.features[ends[k] - s.sizes[k]:ends[k]]
+                    if is_head[at]:
+                        head = own.copy()
+                    else:
+                        common = len(np.intersect1d(head, own, assume_unique=True))
+                        good[at] = common > 0 and 100 * common >= percent * (len(head) + len(own) - common)
+                    at += 1
+            found = pa.Table.from_batches([t.select(["a", "b"])]).append_column("similar", pa.array(good, pa.bool_()))
+            yield from found.filter(t.column("b").is_valid()).to_batches()
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_arrow(together, run, f"a {kind}, b {kind}, similar boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -339,29 +377,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     base = docs.select(F.col(id_col).alias("doc_id"), order.alias("ord"), F.xxhash64(order, raw).alias("tid"), raw.alias("raw"))
-    facts = written(set_facts(base, words), "set-facts")
+    facts = written(set_facts(base, words, percent), "set-facts")
+    used: list[str] = []
+    listed: list[str] = []
     largest = facts.agg(F.max("size")).first()[0] or 1
     bands = Bands(percent, largest)
     # a node is a set; it is named by the smallest of its documents
     nodes = facts.where("size > 0").groupBy("s1", "s2").agg(F.min(F.struct("ord", "tid")).alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select("s1", "s2", "node", "size", _words("sketch").alias("sketch")), "set-nodes")
     buckets = 4 * shuffle_parts(spark)
-    lists = written(signature_notes(base, words, bands, buckets).groupBy("bucket").applyInArrow(_lists, "pivot long, members array<long>"), "signature-lists")
+    lists = written(signature_notes(base, words, bands, buckets).groupBy("bucket").applyInArrow(_lists, "pivot long, members array<long>"), "signature-lists", listed)
     pairs = lists.select("pivot", F.explode("members").alias("member")).where("pivot <> member").distinct()
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs of nodes with what an exact comparison says of them."""
-        pairs = written(pairs, f"{name}-pairs")
+        done: list[str] = []
+        pairs = written(pairs, f"{name}-pairs", done)
         ids = pairs.select(F.col("a.tid").alias("tid"), F.col("a").alias("node")).unionByName(pairs.select(F.col("b.tid").alias("tid"), F.col("b").alias("node"))).distinct()
-        ids = written(ids, f"{name}-ids")
-        # a bounded list of ids goes to the texts; a longer one meets them by shuffle
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = written(base.select("tid", "raw").join(wanted, "tid").select("node", "raw").dropDuplicates(["node"]), f"{name}-texts")
-        return written(confirm(pairs, texts, words, percent), f"{name}-judged")
+        ids = written(ids, f"{name}-ids", done)
+        texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), f"{name}-texts", done)
+        out = written(confirm(pairs, texts, words, percent), f"{name}-judged", used)
+        discard(spark, done)
+        return out
 
     n = lambda side: nodes.select(F.col("s1").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "sketch")])
     seen = written(pairs.join(n("pivot"), "pivot").join(n("member"), "member").select(
-        "pivot", "member", F.col("node_pivot").alias("a"), F.col("node_member").alias("b"), sketch_near("sketch_pivot", "sketch_member", "size_pivot", "size_member", percent).alias("near")), "pivot-pairs")
+        "pivot", "member", F.col("node_pivot").alias("a"), F.col("node_member").alias("b"), sketch_near("sketch_pivot", "sketch_member", "size_pivot", "size_member", percent).alias("near")), "pivot-pairs", listed)
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """The pairs whose nodes are in different components."""
@@ -370,7 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
 
     def components(judgements: DataFrame, name: str) -> DataFrame:
-        return written(connected_components(judgements.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))), name)
+        return written(connected_components(judgements.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))), name, used)
 
     # one pair a member first; of the others only those that would still join two components
     near = seen.where("near").select("a", "b").distinct()
@@ -384,9 +425,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubtful = lists.where(F.size("members") > 2).join(failed, "pivot", "left_semi").select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g", "members"])
     members = doubtful.select("g", F.size("members").alias("m"), F.explode("members").alias("s1"))
     member = members.join(nodes, "s1").join(label.select("node", "component"), "node", "left").select("g", "m", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
-    member = written(member, "list-members")
+    member = written(member, "list-members", used)
+    discard(spark, listed)
     mixed_lists = member.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    again = written(member.join(mixed_lists, "g", "left_semi"), "lists-again")
+    again = written(member.join(mixed_lists, "g", "left_semi"), "lists-again", used)
     pieces = F.ceil(F.col("m") / PIECE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), pieces).cast("int")
     spread = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
@@ -395,6 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = judged(crossed.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "list")
     links = first.where("similar").unionByName(second.where("similar")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = written(connected_components(links), "set-components")
+    discard(spark, used)
     of_set = nodes.join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     result = facts.join(of_set, ["s1", "s2"], "left")
     own_id = F.when(F.col("component").isNotNull() & (F.col("component.ord") != LAST), F.col("component.ord")).otherwise(F.col("doc_id").cast("long"))
@@ -411,14 +454,19 @@ def _cross(percent: int):
         _, component = np.unique(np.array([(x["ord"], x["tid"]) for x in rows["component"].to_pylist()], np.int64), axis=0, return_inverse=True)
         component = component.ravel()
         size = rows["size"].to_numpy()
-        sketch = np.array(rows["sketch"].to_pylist(), np.int64).view(np.uint64)
+        sketch = [np.array(x, np.int64).view(np.uint64) for x in rows["sketch"].to_pylist()]
+        width = np.array([len(x) for x in sketch], np.int64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for p in left.tolist():
             q = right[component[right] != component[p]]
-            bits = np.bitwise_count(sketch[q] ^ sketch[p]).sum(axis=1)
-            both = size[q] + size[p]
-            near = (np.minimum(size[q], size[p]) * 100 >= np.maximum(size[q], size[p]) * percent) & (bits <= allowed(percent, both))
+            q = q[np.minimum(size[q], size[p]) * 100 >= np.maximum(size[q], size[p]) * percent]
+            bits = np.zeros(len(q), np.int64)
+            for w in np.unique(width[q]).tolist():
+                of, n = width[q] == w, min(w, len(sketch[p]))
+                words = np.bitwise_xor.reduce(np.stack([sketch[k] for k in q[of].tolist()]).reshape(-1, w // n, n), axis=1)
+                bits[of] = np.bitwise_count(words ^ np.bitwise_xor.reduce(sketch[p].reshape(-1, n), axis=0)).sum(axis=1)
+            near = bits <= allowed(percent, size[q] + size[p])
             for k in q[near].tolist():
                 if i != j or nodes[p] < nodes[k]:
                     x, y = sorted((nodes[p], nodes[k]))

@@ -95,3 +95,58 @@ def test_sketches_bound_differences():
 
 def test_empty_table(spark, table):
     assert P.near_duplicates(table([(1, "x")]).where("false")).collect() == []
+
+
+def test_long_texts(spark, table, sentences):
+    """Texts of thousands of words: near copies link, strangers and texts that share a passage do not; sizes apart enough that sketch widths differ."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(6):
+        base = sentences(5000 + k, 4700 if k % 2 else 5200).split(" ")
+        rows.append((10 * k, " ".join(base)))
+        for j, share in enumerate((0.005, 0.02, 0.06), 1):
+            w = list(base)
+            for _ in range(int(len(w) * share)):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+            rows.append((10 * k + j, " ".join(w[: len(w) - 90 * j * (k % 3)])))
+    passage = sentences(7777, 300)
+    rows += [(100 + k, f"{passage} {sentences(8000 + k, 2500)}") for k in range(8)]
+    got = P.near_duplicates(table(rows), words=5, percent=80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 5, 80)
+
+
+def test_sketches_of_different_widths_fold(spark):
+    rnd = np.random.default_rng(3)
+    for n in (900, 1800, 5000, 9000):
+        own = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        for extra in (0, n // 50, n // 8):
+            both = [np.sort(own), np.sort(np.concatenate([own, rnd.integers(0, 1 << 63, extra, dtype=np.uint64)])), np.sort(rnd.integers(0, 1 << 63, n, dtype=np.uint64))]
+            s = P.Sets(np.concatenate(both), np.array([len(x) for x in both]))
+            facts = spark.createDataFrame([(i, len(b), bytearray(k.tobytes())) for i, (b, k) in enumerate(zip(both, P.sketches(s, 80), strict=True))], "i int, size long, sketch binary")
+            words = facts.select("i", "size", P._words("sketch").alias("w"))
+            a = words.where("i = 0").selectExpr("size size_a", "w a")
+            pairs = a.join(words.where("i > 0").selectExpr("i", "size size_b", "w b"))
+            got = {r.i: r.near for r in pairs.select("i", P.sketch_near("a", "b", "size_a", "size_b", 80).alias("near")).collect()}
+            assert got == {1: True, 2: False}
+
+
+def test_long_sets_are_signed_once():
+    """The spares of a band keep sets of any size from being signed again and again."""
+    rnd = np.random.default_rng(4)
+    bands = P.Bands(80, 40_000)
+    for n in (1000, 3000, 20_000):
+        sizes = np.full(20, n)
+        s = P.Sets(rnd.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64), sizes)
+        signed, _ = P.signatures(s, bands)
+        band = int(bands.of(np.array([n]))[0])
+        once = 3 * 20 * int(bands.groups[band] + bands.groups[band - 1])
+        assert len(signed) < 1.25 * once
+        assert (bands.groups <= 1.2 * (bands.differ // 2 + 2) + 1).all()
+
+
+def test_a_hot_pivot_is_dealt_to_chunks(spark, table, sentences, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 7)
+    base = sentences(42, 80)
+    rows = [(k, f"{base} tail{k}") for k in range(60)]
+    got = P.near_duplicates(table(rows)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 60

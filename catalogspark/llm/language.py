@@ -5,8 +5,10 @@ seen in any language are interpolated once, when the model is fitted, and kept i
 weights of contexts are kept the same way. A text's cross-entropy under a language is the mean cost in bits per letter (ends included) of all
 its words; the language with the lowest one is chosen. A text is rejected when even that is far above what texts of the language need.
 
-The model is fitted on a bounded sample: at most about ``sample_docs`` documents per language, drawn by a hash of their id, whole texts, until
-``sample_chars`` characters are reached, for the ``max_languages`` most frequent languages. Every other figure covers all rows.
+Every language value of the labelled rows is learned. The model is fitted on a bounded sample: about ``sample_docs`` documents per language, drawn by a hash of
+their id, until ``sample_chars`` characters are reached; when there are many languages, each gets its even part of ``total_docs`` and ``total_chars``
+instead (never less than ``least_docs`` documents). Every other figure covers all rows. Languages are modelled in blocks of ``BLOCK`` by name, since rows of a
+hash array hold a column per language of the block: what is stored grows with the sample, not with its product with all languages.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; a table without labelled rows teaches nothing, so every
 text is ``und`` and only texts without letters are rejected; equal costs go to the first language by name; repeated rows are judged
@@ -28,7 +30,9 @@ from .segment import span_hashes, split_words
 
 ORDER = 5
 BEGIN, END = 2, 3  # signs around a word
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 600, 1_500_000, 200
+SAMPLE_DOCS, SAMPLE_CHARS = 600, 1_500_000
+TOTAL_DOCS, TOTAL_CHARS, LEAST_DOCS = 9_600, 12_000_000, 8
+BLOCK = 8
 MARGIN_BITS, DEVIATIONS = 0.8, 6.0
 PART_CHARS = 2_000_000
 UNKNOWN = "und"
@@ -49,7 +53,10 @@ class Table:
 
 @dataclass
 class Model:
+    """Models of a block of languages, or of all of them: then ``blocks`` holds the models and the languages are theirs in order."""
+
     languages: list[str]
+    blocks: list[Model] = field(default_factory=list)
     grams: list[Table] = field(default_factory=list)  # log2 probabilities, orders 1 to ORDER
     backoff: list[Table] = field(default_factory=list)  # log2 weights of contexts
     floor: np.ndarray | None = None  # log2 probability of an unknown letter
@@ -141,10 +148,15 @@ def _discount(count: np.ndarray) -> float:
 
 
 def _fit(languages: list[str], counts: list[list[Counts]]) -> Model:
-    model = Model(languages)
-    n = len(languages)
+    """The models of all languages, in blocks; letters are counted over all of them."""
     letters = np.unique(np.concatenate([c[0].keys for c in counts]))
     uniform = 1.0 / (len(letters) + 1)
+    return Model(languages, [_fit_block(languages[i:i + BLOCK], counts[i:i + BLOCK], uniform) for i in range(0, len(languages), BLOCK)])
+
+
+def _fit_block(languages: list[str], counts: list[list[Counts]], uniform: float) -> Model:
+    model = Model(languages)
+    n = len(languages)
     for k in range(ORDER):
         keys, at = np.unique(np.concatenate([c[k].keys for c in counts]), return_index=True)
         context = np.concatenate([c[k].context for c in counts])[at]
@@ -172,6 +184,8 @@ def _fit(languages: list[str], counts: list[list[Counts]]) -> Model:
 
 def word_costs(model: Model, s: Sequences) -> np.ndarray:
     """Bits of each word under each language."""
+    if model.blocks:
+        return np.hstack([word_costs(block, s) for block in model.blocks])
     place, depth, word = _targets(s)
     n = len(model.languages)
     bits = np.zeros((len(place), n))
@@ -201,11 +215,14 @@ def text_entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     if not len(w.starts):
         return total, signs
     _, at, back = np.unique(span_hashes(w.points, w.starts, w.ends), return_index=True, return_inverse=True)
-    costs = word_costs(model, _sequences(w.points, w.starts[at], w.ends[at]))
+    words = _sequences(w.points, w.starts[at], w.ends[at])
     some = np.flatnonzero(w.counts)
     cuts = (np.cumsum(w.counts) - w.counts)[some]
-    for j in range(n):
-        total[some, j] = np.add.reduceat(costs[back, j], cuts)
+    j = 0
+    for block in model.blocks or [model]:
+        for cost in word_costs(block, words).T:
+            total[some, j] = np.add.reduceat(cost[back], cuts)
+            j += 1
     signs[some] = np.add.reduceat(w.ends - w.starts + 1, cuts)
     total[some] /= signs[some, None]
     return total, signs
@@ -242,19 +259,21 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
 
 
 def labelled_sample(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS,
-                    sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """The bounded sample a model is fitted on, collected: whole texts of rows drawn by a hash of their id."""
+                    sample_chars: int = SAMPLE_CHARS, total_docs: int = TOTAL_DOCS, total_chars: int = TOTAL_CHARS, least_docs: int = LEAST_DOCS) -> list[tuple[str, str]]:
+    """The bounded sample a model is fitted on, collected: rows drawn by a hash of their id; the last text of a language ends where its characters do."""
     known = docs.where(F.col(lang_col).isNotNull() & allowed)
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one number a language
     if not sizes:
         return []
+    sample_docs = min(sample_docs, max(least_docs, total_docs // len(sizes)))
+    sample_chars = min(sample_chars, max(1, total_chars // len(sizes)))
     span = 1 << 30
-    limits = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(span, span * sample_docs // v)))])
+    limits = known.sparkSession.createDataFrame([(k, min(span, span * sample_docs // v)) for k, v in sorted(sizes.items())], "_lang string, _limit long")
     draw = F.pmod(F.xxhash64(id_col), F.lit(span))
-    drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).cast("string").alias("id")).where(
-        F.col("draw") < F.try_element_at(limits, F.col("lang"))).where("text is not null")
+    rows = known.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).cast("string").alias("id"))
+    drawn = rows.join(F.broadcast(limits), (F.col("lang") == F.col("_lang")) & (F.col("draw") < F.col("_limit"))).drop("_lang", "_limit")  # a row a language
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("draw", "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = drawn.withColumn("before", before).where(F.col("before") < sample_chars)
+    kept = drawn.withColumn("before", before).where(F.col("before") < sample_chars).withColumn("text", F.left("text", (F.lit(sample_chars) - F.col("before")).cast("int")))
     return [(r["lang"], r["text"]) for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["draw"], r["id"] or "", r["text"]))]
 
 

@@ -77,3 +77,36 @@ def test_no_labels_and_empty_table(spark, table):
     got = {r.doc_id: (r.lang_pred, r.rejected) for r in L.identify(docs, None).collect()}
     assert got == {1: ("und", False), 2: ("und", True)}
     assert L.identify(docs.where("false"), None).collect() == []
+
+
+def test_three_hundred_languages(spark, table):
+    """Every language value is learned; each has its own syllables."""
+    rnd = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        syllables = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 3)) for _ in range(12)]
+        for j in range(12):
+            words = ["".join(syllables[i] for i in rnd.integers(0, 12, 2)) for _ in range(30)]
+            rows.append((k * 100 + j, " ".join(words), f"lang{k:03}"))
+    docs = table(rows)
+    sample = L.labelled_sample(docs, F.col("doc_id") % 100 < 10)
+    assert len({name for name, _ in sample}) == 300
+    model = L.fit(sample)
+    assert len(model.languages) == 300 and all(len(b.languages) <= L.BLOCK for b in model.blocks)
+    got = L.identify(docs.where("doc_id % 100 >= 10"), model).collect()
+    assert len(got) == 600 and sum(r.lang == r.lang_pred for r in got) >= 590
+
+
+def test_blocks_do_not_change_costs(sentences, monkeypatch):
+    rows = [(name, sentences(100 * k + j, 20) + tail * 5) for k, (name, tail) in enumerate([("a", " uno"), ("b", " dwa"), ("c", " tri")]) for j in range(8)]
+    texts = [t for _, t in rows]
+    one = L.text_entropies(L.fit(rows), texts)[0]
+    monkeypatch.setattr(L, "BLOCK", 2)
+    assert np.allclose(one, L.text_entropies(L.fit(rows), texts)[0])
+
+
+def test_the_sample_is_bounded_by_characters(spark, table):
+    rows = [(k, "ab cd " * 1000, "x") for k in range(5)] + [(9, "zu " * 5000, "y")]
+    sample = L.labelled_sample(table(rows), F.lit(True), sample_chars=7000)
+    chars = {n: sum(len(t) for m, t in sample if m == n) for n in ("x", "y")}
+    assert chars == {"x": 7000, "y": 7000}

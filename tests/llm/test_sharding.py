@@ -52,3 +52,18 @@ def test_repeated_rows_small_and_empty_tables(spark, table):
     check(rows, sharding.shard_documents(table(rows)).collect())
     assert sharding.shard_documents(table(rows).where("false")).collect() == []
     check([(i, "same") for i in range(40)], sharding.shard_documents(table([(i, "same") for i in range(40)])).collect())
+
+
+def test_rounds_go_on_while_requests_are_met(spark):
+    """Balanced swaps leave the counts per label equal; they do not end the rounds, and no round is left in which a request could be met."""
+    start = [(i, f"k{i % 24}", (i * 7 + i // 24) % 4) for i in range(24 * 6)]
+    caps = [60] * 4
+    linked = spark.createDataFrame(start, "_row long, _key string, _label int")
+    placed, used = sharding.propagate(linked, caps)
+    rows = placed.collect()
+    assert len(rows) == len(start) and [sum(r["_label"] == t for r in rows) for t in range(4)] == used
+    parts = lambda rs: sum(n * n for n in Counter((k, label) for _, k, label in rs).values())
+    assert parts([(r["_row"], r["_key"], r["_label"]) for r in rows]) > 2 * parts(start)
+    again, _ = sharding.propagate(placed, caps)
+    groups = lambda df: len({(r["_key"], r["_label"]) for r in df.collect()})
+    assert groups(again) <= groups(placed) <= 28

@@ -456,6 +456,12 @@ def _cross(percent: int):
         size = rows["size"].to_numpy()
         sketch = [np.array(x, np.int64).view(np.uint64) for x in rows["sketch"].to_pylist()]
         width = np.array([len(x) for x in sketch], np.int64)
+        place = np.zeros(len(width), np.int64)
+        by_width = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            place[at] = np.arange(len(at))
+            by_width[w] = np.stack([sketch[k] for k in at.tolist()])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for p in left.tolist():
@@ -464,7 +470,7 @@ def _cross(percent: int):
             bits = np.zeros(len(q), np.int64)
             for w in np.unique(width[q]).tolist():
                 of, n = width[q] == w, min(w, len(sketch[p]))
-                words = np.bitwise_xor.reduce(np.stack([sketch[k] for k in q[of].tolist()]).reshape(-1, w // n, n), axis=1)
+                words = np.bitwise_xor.reduce(by_width[w][place[q[of]]].reshape(-1, w // n, n), axis=1)
                 bits[of] = np.bitwise_count(words ^ np.bitwise_xor.reduce(sketch[p].reshape(-1, n), axis=0)).sum(axis=1)
             near = bits <= allowed(percent, size[q] + size[p])
             for k in q[near].tolist():

@@ -54,6 +54,20 @@ def id_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """The values in blocks of about the square root of their number."""
+    def cut(v: Column) -> Column:
+        side = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / side).cast("int")), lambda k: F.slice(v, k * side + 1, side))
+
+    return bound(values, cut)
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of ``df`` that no output column replaces (names compared without case, as Spark does)."""
     low = {n.lower() for n in names}

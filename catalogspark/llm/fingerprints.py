@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_key, written
+from .common import bound, documents, id_key, in_blocks, written
 
 PIECE = 240
 LEAF_HEX, SECTION_HEX = 16, 16
@@ -28,43 +28,90 @@ def leaves_of(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text that is not null."""
+    """The fingerprint of a text that is not null. Digests are whole inside the tree; what is shown of leaves and sections is their beginning."""
     # one leaf in eight ends its section
-    leaf = lambda piece, digest: F.concat(F.left(digest, F.lit(LEAF_HEX)), F.lit("."), F.length(piece).cast("string"), F.when(F.right(digest, F.lit(1)).isin("0", "8"), F.lit(";")).otherwise(F.lit(",")))
-    marked = F.array_join(F.transform(leaves_of(text), lambda p: leaf(p, F.sha2(p, 256))), "")
-    body = F.rtrim(marked, F.lit(",;"))
-    sections = F.array_join(F.transform(F.split(body, ";"), lambda s: F.left(F.sha2(s, 256), F.lit(SECTION_HEX))), ",")
-    return F.concat_ws("|", F.sha2(sections, 256), sections, body)
+    leaf = lambda piece, digest: F.concat(digest, F.lit("."), F.length(piece).cast("string"), F.when(F.right(digest, F.lit(1)).isin("0", "8"), F.lit(";")).otherwise(F.lit(",")))
+    body = F.rtrim(F.array_join(F.transform(leaves_of(text), lambda p: leaf(p, F.sha2(p, 256))), ""), F.lit(",;"))
+    sections = F.array_join(F.transform(F.split(body, ";"), lambda s: F.sha2(s, 256)), ",")
+    shown = lambda digests, kept: F.regexp_replace(digests, rf"([0-9a-f]{{{kept}}})[0-9a-f]{{{64 - kept}}}", "$1")
+    return F.concat_ws("|", F.sha2(sections, 256), shown(sections, SECTION_HEX), shown(body, LEAF_HEX))
+
+
+def _part(fp: Column, k: int) -> Column:
+    return F.element_at(F.split(fp, r"\|"), k)
 
 
 def _leaf_list(fp: Column) -> Column:
-    return F.array_distinct(F.split(F.regexp_replace(F.element_at(F.split(fp, r"\|"), 3), ";", ","), ","))
+    return F.filter(F.split(_part(fp, 3), "[,;]"), lambda leaf: leaf != "")
+
+
+def _length(leaf: Column) -> Column:
+    """Code points of a leaf, numbered or not."""
+    return F.substring_index(F.substring_index(leaf, ".", -1), "#", 1).cast("long")
+
+
+def _numbered(leaves: Column) -> Column:
+    """Leaves with the number of their occurrence: equal ones follow each other in the sorted list and are found as runs."""
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.array_sort(leaves), ","), F.lit(",")), F.lit("([^,]+,)\\1*+"), F.lit(0))
+    of = lambda run: F.substring_index(run, ",", 1)
+    count = lambda run: (F.length(run) / (F.length(of(run)) + 1)).cast("int")
+    return F.flatten(F.transform(runs, lambda run: F.transform(F.sequence(F.lit(1), count(run)), lambda k: F.concat(of(run), F.lit("#"), k.cast("string")))))
 
 
 def _weight(leaves: Column) -> Column:
-    return F.aggregate(leaves, F.lit(0).cast("long"), lambda s, leaf: s + F.coalesce(F.try_element_at(F.split(leaf, r"\."), F.lit(2)).cast("long"), F.lit(0)))
+    """Code points in leaves, numbered or not."""
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda s, leaf: s + _length(leaf))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of code points in leaves that both documents have: twice the common length by the sum of both lengths; 0 to 1."""
+    """Share of code points in leaves that both documents have, each as often as both have it: twice the common length by the sum of both lengths; 0 to 1.
+
+    Only equal fingerprints have likeness 1: unequal ones with the same leaves in another order or section have half a code point less in common.
+    """
     mine, theirs = _leaf_list(a), _leaf_list(b)
-    common = _weight(F.array_intersect(mine, theirs))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(2.0 * common, (_weight(mine) + _weight(theirs)).cast("double")), F.lit(0.0)))
+    common = _weight(F.array_intersect(_numbered(mine), _numbered(theirs)))
+    both = _weight(mine) + _weight(theirs)
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.least(2.0 * common, both - 1.0), both.cast("double")), F.lit(0.0)))
+
+
+def running(values: Column) -> Column:
+    """Sums of the values before each one, and of all at the end; in blocks, so that no long list is copied for every value."""
+    none = F.array().cast("array<bigint>")
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"] + x)).alias("sums"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit(0).cast("long")).alias("sums"))
+    walked = F.aggregate(in_blocks(values), F.array(begin), lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("sums")), step))))
+    return F.flatten(F.transform(walked, lambda w: w["sums"]))
+
+
+def _lacking(names: Column, known: Column) -> Column:
+    """The ``n`` of those structs ``x, n`` (a name, and ten or more digits) whose name is not among the known ones.
+
+    Both sides are sorted together: a known name comes right before the equal ones, and goes with them.
+    """
+    mine = F.transform(names, lambda v: F.concat(v["x"], F.lit(":"), v["n"]))
+    theirs = F.transform(F.array_distinct(known), lambda x: F.concat(x, F.lit(":")))
+    together = F.concat(F.array_join(F.array_sort(F.concat(mine, theirs)), ","), F.lit(","))
+    left = F.regexp_replace(together, r"([^,:]+:),(?:\1\d+,)*+", "")
+    return F.array_sort(F.regexp_extract_all(left, F.lit(r":(\d+),"), F.lit(1)))
 
 
 def differing_leaves(a: Column, b: Column) -> Column:
-    """Places (code points of ``a``) of the leaves that stand in sections of ``a`` which ``b`` lacks and that ``b`` itself lacks."""
-    part = lambda fp, k: F.element_at(F.split(fp, r"\|"), k)
-    theirs, known = F.split(part(b, 2), ","), _leaf_list(b)
-    sections = F.zip_with(F.split(part(a, 2), ","), F.split(part(a, 3), ";"), lambda d, s: F.struct(F.array_contains(theirs, d).alias("same"), F.split(s, ",").alias("leaves")))
-    size = lambda leaf: F.coalesce(F.try_element_at(F.split(leaf, r"\."), F.lit(2)).cast("long"), F.lit(0))
-    flat = F.flatten(F.transform(sections, lambda s: F.transform(s["leaves"], lambda leaf: F.struct(leaf.alias("leaf"), s["same"].alias("same"), size(leaf).alias("n")))))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    walked = F.aggregate(
-        flat, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")),
-        lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["same"] | F.array_contains(known, x["leaf"]), acc["found"]).otherwise(
-            F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end"))))).alias("found")))
-    return F.when(a == b, empty).otherwise(walked["found"])
+    """Places (code points of ``a``) of the leaves that stand in sections of ``a`` which ``b`` lacks and that ``b`` itself lacks.
+
+    The tree is descended: first the sections that ``b`` lacks are found, then the leaves below them.
+    """
+    digits = lambda i: F.lpad(i.cast("string"), 10, "0")
+    sections = F.split(_part(a, 3), ";")
+    other = _lacking(F.transform(F.split(_part(a, 2), ","), lambda d, i: F.struct(d.alias("x"), digits(i).alias("n"))), F.split(_part(b, 2), ","))
+    below = lambda s, i: F.transform(F.split(F.get(s, i.cast("int")), ","), lambda leaf, j: F.struct(leaf.alias("x"), F.concat(i, digits(j)).alias("n")))
+    names = F.filter(F.flatten(bound(sections, lambda s: F.transform(other, lambda i: below(s, i)))), lambda v: v["x"] != "")
+    gone = _lacking(names, _leaf_list(b))
+    first_leaf = running(F.transform(sections, lambda s: F.size(F.split(s, ",")).cast("long")))
+    places = running(F.transform(_leaf_list(a), _length))
+    number = lambda first, n: (F.get(first, F.left(n, F.lit(10)).cast("int")) + F.right(n, F.lit(10)).cast("int")).cast("int")
+    numbers = bound(first_leaf, lambda first: F.transform(gone, lambda n: number(first, n)))
+    found = bound(places, lambda at: F.transform(numbers, lambda k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end"))))
+    return F.when(a == b, F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(found)
 
 
 def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,8 +156,11 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_doc_id", "next_fingerprint")
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id")
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id", differing_leaves(F.col("edited_fingerprint"), F.col("fingerprint")).alias("edits"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return edited_neighbours(documents(spark, sf_dir))
+    """Fingerprints of every document and its edited text; ``edits`` lists the places of the edited text that the descent finds."""
+    found = edited_neighbours(documents(spark, sf_dir))
+    place = lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"))
+    return found.withColumn("edits", F.array_join(F.transform("edits", place), ","))

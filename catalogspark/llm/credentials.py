@@ -6,7 +6,8 @@ hexadecimal digits). Weak candidates prove nothing alone: ``ident`` (a login or
 identifier, an identifier needs a secret, an endpoint needs both. Parts meet in an interval join on the document and the stretch of
 ``REACH`` code points they lie in; it is a semi join, so a candidate comes out once however many parts are near.
 
-Each text is read once; what goes on are positions. A text's positions come from the lengths of matches and of the pieces between them.
+Each text is read once; what goes on are positions. A text's positions come from the lengths of matches and of the pieces between them. Weak
+candidates that overlap a strong span are found by the same kind of join, so nothing grows with weak times strong spans of a text.
 
 Defined cases: a null or empty text has no spans; a weak candidate that overlaps a strong span is left out; repeated rows are judged each; an empty
 table gives no rows; positions are code points, ends exclusive.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, without, written
+from .common import documents, in_blocks, without, written
 
 REACH = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,7 +33,7 @@ KINDS = STRONG + WEAK
 IDENTIFIERS, SECRETS = ("access", "ident"), ("assign", "hex", "blob")
 
 
-def matches(text: Column, kind: str, pattern: str, keep=None) -> Column:
+def matches(text: Column, kind: str, pattern: str, keep=lambda m: F.lit(True)) -> Column:
     """Leftmost matches as ``kind, start, end``; ``keep`` judges a match by its text. Most texts have none and are scanned once."""
     found = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda before, m: F.struct(F.length(before).alias("gap"), m.alias("m")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
@@ -40,12 +41,13 @@ def matches(text: Column, kind: str, pattern: str, keep=None) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        good = x["m"].isNotNull() if keep is None else x["m"].isNotNull() & keep(x["m"])
         one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(x["m"].isNotNull() & keep(x["m"]), one).otherwise(none)).alias("spans"))
 
-    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
-    return F.when(text.rlike(pattern), walked["spans"]).otherwise(none)
+    # matches are walked in blocks, each from the end of the one before, so that no long list is copied per match
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    walked = F.aggregate(in_blocks(found), F.array(begin), lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("spans")), step))))
+    return F.when(text.rlike(pattern), F.flatten(F.transform(walked, lambda w: w["spans"]))).otherwise(none)
 
 
 def _long_value(m: Column) -> Column:
@@ -70,9 +72,13 @@ def _cells(start: Column, end: Column, reach: int, margin: int) -> Column:
 
 def link_weak(facts: DataFrame, reach: int = REACH) -> DataFrame:
     """``_row, kind, start, end`` of the weak candidates that are completed by others; ``facts`` has ``_row, strong, weak``."""
-    alone = F.filter("weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    weak = facts.where(F.size("weak") > 0).select("_row", "strong", alone.alias("weak")).where(F.size("weak") > 0)
-    parts = weak.select("_row", F.explode(F.concat("strong", "weak")).alias("p")).select("_row", "p.*")
+    places = ["_row", "kind", "start", "end"]
+    every = facts.where(F.size("weak") > 0).select("_row", F.explode(F.concat("strong", "weak")).alias("p")).select("_row", "p.*")
+    cells = every.withColumn("cell", _cells(F.col("start"), F.col("end"), reach, 0))
+    w, s = cells.where(F.col("kind").isin(*WEAK)).alias("w"), cells.where(F.col("kind").isin(*STRONG)).alias("s")
+    overlaps = (F.col("s.start") < F.col("w.end")) & (F.col("w.start") < F.col("s.end"))
+    covered = w.join(s, (F.col("w._row") == F.col("s._row")) & (F.col("w.cell") == F.col("s.cell")) & overlaps, "left_semi").select(*places)
+    parts = written(every.join(covered, places, "left_anti"), "secret-candidates")
     near = parts.select("_row", F.col("kind").alias("pk"), F.col("start").alias("ps"), F.col("end").alias("pe"), _cells(F.col("start"), F.col("end"), reach, reach).alias("cell"))
     wanted = parts.where(F.col("kind").isin(*WEAK)).withColumn("cell", _cells(F.col("start"), F.col("end"), reach, 0))
 
@@ -82,7 +88,6 @@ def link_weak(facts: DataFrame, reach: int = REACH) -> DataFrame:
         return a.join(b, (F.col("a._row") == F.col("b._row")) & (F.col("a.cell") == F.col("b.cell")) & close, "left_semi")
 
     # an address lies in several stretches when it is long; either partner may be met in another one
-    places = ["_row", "kind", "start", "end"]
     blobs = beside(wanted.where("kind = 'blob'"), IDENTIFIERS).select(*places)
     idents = beside(wanted.where("kind = 'ident'"), SECRETS).select(*places)
     ends = wanted.where("kind = 'endpoint'")

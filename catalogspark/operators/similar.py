@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import ASPECT_STEP, aspect_value, hamming64, informative_hash
-from .components import connected_components
+from .components import connected_components, merged
 
 HOT_KEY = 20_000
 CHUNK = 2_000
@@ -28,8 +28,8 @@ def _split_bits(mask: int, n: int) -> list[int]:
     return out
 
 
-def _block_masks(t: int) -> tuple[list[int], list[list[int]]]:
-    """Key masks, and for each the masks that must differ so that a pair is reported by its first common key only.
+def _block_masks(t: int) -> tuple[list[int], list[int], list[int]]:
+    """Blocks, key masks, and for each key the blocks (as bits) that must differ so that a pair is reported by its first common key only.
 
     ``t`` differing bits over ``t + 2`` blocks leave at least two clean ones: the key is the first two clean blocks. Above 8 bits
     the blocks get too narrow for pairs, and the key is the first clean one of ``t + 1``.
@@ -41,25 +41,23 @@ def _block_masks(t: int) -> tuple[list[int], list[list[int]]]:
         for i in range(len(blocks)):
             for j in range(i + 1, len(blocks)):
                 masks.append(blocks[i] | blocks[j])
-                earlier.append([b for k, b in enumerate(blocks[:j]) if k != i])
-        return masks, earlier
+                earlier.append(sum(1 << k for k in range(j) if k != i))
+        return blocks, masks, earlier
     blocks = _split_bits(full, t + 1)
-    return blocks, [blocks[:k] for k in range(len(blocks))]
+    return blocks, blocks, [(1 << k) - 1 for k in range(len(blocks))]
 
 
-def _all_dirty(x: Column, masks: list[int]) -> Column:
-    out = F.lit(True)
-    for m in masks:
-        out = out & (x.bitwiseAND(F.lit(_signed(m))) != 0)
-    return out
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(v)) for v in values])
 
 
-def _first_common(x: Column, idx: Column, earlier: list[list[int]]) -> Column:
-    out = F.lit(True)
-    for k, masks in enumerate(earlier):
-        if masks:
-            out = F.when(idx == k, _all_dirty(x, masks)).otherwise(out)
-    return out
+def _first_common(x: Column, idx: Column, blocks: list[int], earlier: list[int]) -> Column:
+    """All earlier blocks differ. The blocks that differ are gathered once, so that the condition does not grow with the number of keys."""
+    dirty = F.lit(0).cast("bigint")
+    for k, m in enumerate(blocks):
+        dirty = dirty.bitwiseOR(F.when(x.bitwiseAND(F.lit(_signed(m))) != 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint"))
+    need = F.get(_longs(earlier), idx)
+    return dirty.bitwiseAND(need) == need
 
 
 def hamming_pairs(nodes: DataFrame, threshold: int = 6, *, node: str = "node", h: str = "h", also: Column | None = None,
@@ -71,15 +69,14 @@ def hamming_pairs(nodes: DataFrame, threshold: int = 6, *, node: str = "node", h
     (again exact by the pigeonhole argument); what is still hot is cut into chunks that meet pair by pair in separate tasks.
     ``also`` is an extra condition over the sides ``l`` and ``r``.
     """
-    masks, earlier = _block_masks(threshold)
+    blocks, masks, earlier = _block_masks(threshold)
     subs = [_split_bits(((1 << 64) - 1) & ~m, threshold + 1) for m in masks]
-    mask_col = F.array(*[F.lit(_signed(m)) for m in masks])
-    sub_col = F.array(*[F.array(*[F.lit(_signed(s)) for s in row]) for row in subs])
+    mask_col, sub_col = _longs(masks), F.array(*[_longs(row) for row in subs])
     base = nodes.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
     base = base.withColumn("_v", F.col(h).bitwiseAND(F.get(mask_col, F.col("_k")))).withColumn("_s", F.lit(-1)).withColumn("_sv", F.lit(0).cast("bigint"))
     hot = base.groupBy("_k", "_v").count().where(F.col("count") > hot_key).select("_k", "_v")
     x = F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}"))
-    near = (F.bit_count(x) <= threshold) & _first_common(x, F.col("l._k"), earlier)
+    near = (F.bit_count(x) <= threshold) & _first_common(x, F.col("l._k"), blocks, earlier)
     if also is not None:
         near = near & also
 
@@ -87,22 +84,21 @@ def hamming_pairs(nodes: DataFrame, threshold: int = 6, *, node: str = "node", h
         cond = near & extra
         for k in keys:
             cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-        return left.alias("l").join(left.alias("r"), cond).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"), F.bit_count(x).alias("dist"))
+        return left.alias("l").join(merged(left.alias("r")), cond).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"), F.bit_count(x).alias("dist"))
 
     smaller = F.col(f"l.{node}") < F.col(f"r.{node}")
-    cold = base.join(hot, ["_k", "_v"], "left_anti")
+    cold = base.join(merged(hot), ["_k", "_v"], "left_anti")
     out = pairs(cold, ["_k", "_v"], smaller)
     if not hot.limit(1).count():
         return out
-    fine = (base.join(hot, ["_k", "_v"], "left_semi").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(threshold))))
+    fine = (base.join(merged(hot), ["_k", "_v"], "left_semi").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(threshold))))
             .withColumn("_sv", F.col(h).bitwiseAND(F.get(F.get(sub_col, F.col("_k")), F.col("_s")))))
     first_sub = F.lit(True)
-    for k, row in enumerate(subs):
-        for s in range(1, len(row)):
-            first_sub = F.when((F.col("l._k") == k) & (F.col("l._s") == s), _all_dirty(x, row[:s])).otherwise(first_sub)
+    for s in range(threshold):
+        first_sub = first_sub & ((F.col("l._s") <= s) | (x.bitwiseAND(F.get(F.get(sub_col, F.col("l._k")), F.lit(s))) != 0))
     keys = ["_k", "_v", "_s", "_sv"]
     sizes = fine.groupBy(*keys).count()
-    sized = fine.join(sizes, keys)
+    sized = fine.join(merged(sizes), keys)
     out = out.unionByName(pairs(sized.where(F.col("count") <= hot_key), keys, smaller & first_sub))
     chunks = F.ceil(F.col("count") / chunk).cast("int")
     own = sized.where(F.col("count") > hot_key).withColumn("_c", F.pmod(F.xxhash64(node), chunks).cast("int"))
@@ -131,18 +127,18 @@ def cluster_similar(df: DataFrame, threshold: int = 6, *, id_: str = "id", h: st
                 | ((F.col(f"{a}.lo") - F.col(f"{b}.hi") < ASPECT_STEP) & (F.col(f"{b}.lo") - F.col(f"{a}.hi") < ASPECT_STEP)))
 
     # one hash in several shape classes: at most a few dozen classes per hash
-    same = (nodes.alias("l").join(nodes.alias("r"), (F.col(f"l.{h}") == F.col(f"r.{h}")) & (F.col("l._class") < F.col("r._class")) & shapes("l", "r"))
+    same = (nodes.alias("l").join(merged(nodes.alias("r")), (F.col(f"l.{h}") == F.col(f"r.{h}")) & (F.col("l._class") < F.col("r._class")) & shapes("l", "r"))
             .select(F.col("l._node").alias("a"), F.col("r._node").alias("b")))
     # distinct hashes meet once; their shape classes are attached afterwards
     by_hash = nodes.select(h).distinct().withColumn("node", F.col(h))
     hp = hamming_pairs(by_hash, threshold, h=h, **pair_options).select(F.col("a").alias("ha"), F.col("b").alias("hb"))
-    cross = (hp.join(nodes.alias("l"), F.col("ha") == F.col(f"l.{h}")).join(nodes.alias("r"), F.col("hb") == F.col(f"r.{h}"))
+    cross = (hp.join(merged(nodes.alias("l")), F.col("ha") == F.col(f"l.{h}")).join(merged(nodes.alias("r")), F.col("hb") == F.col(f"r.{h}"))
              .where(shapes("l", "r")).select(F.col("l._node").alias("a"), F.col("r._node").alias("b")))
     comp = connected_components(same.unionByName(cross), "a", "b")
-    member = rows.join(comp, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node"))
+    member = rows.join(merged(comp), F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node"))
     pixels = F.col(w) * F.col(ht)
     # most pixels, then most bytes, then first
     rep = member.groupBy("_comp").agg(F.max_by(F.struct(F.col(id_).alias("rid"), F.col(h).alias("rh")),
                                                F.struct(pixels, F.col(size), -F.col(id_))).alias("rep"), F.count("*").alias("n"))
-    out = member.join(rep.where("n > 1"), "_comp").where(F.col(id_) != F.col("rep.rid"))
+    out = member.join(merged(rep.where("n > 1")), "_comp").where(F.col(id_) != F.col("rep.rid"))
     return out.select(F.col(id_), F.col("rep.rid").alias("similar_to"), hamming64(h, F.col("rep.rh")).alias("dist"))

@@ -4,6 +4,7 @@ import json
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -76,6 +77,61 @@ def test_near_duplicate_representative(spark):
     assert got == {(11, 10, 2), (13, 10, 1), (14, 10, 0)}
 
 
+def test_hashes_are_never_sent_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2**62, 2**62, 40).tolist()
+    hashes = list({b ^ sum(1 << int(x) for x in rng.choice(62, n, replace=False)) for b in base for n in (0, 2, 5)})
+    df = spark.createDataFrame([(i, h, 4, 3, i) for i, h in enumerate(hashes)], "id int, h bigint, w int, ht int, sz int")
+    for options in ({}, {"hot_key": 2, "chunk": 2}):
+        pairs = similar.hamming_pairs(df.select(F.col("id").alias("node"), "h"), 6, **options)
+        want = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if ((hashes[i] ^ hashes[j]) & (1 << 64) - 1).bit_count() <= 6}
+        found = [(r["a"], r["b"]) for r in pairs.collect()]
+        assert len(found) == len(want) and set(found) == want
+        for plan in (pairs, similar.cluster_similar(df, 6, **options)):
+            plan.collect()
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_words_of_a_text_are_shuffled_as_text(spark):
+    rnd = random.Random(3)
+    rows = [(None if i % 40 == 0 else i // 2, " ".join(rnd.choice(["lake", "tree", "mountain", "garden", "river", "bridge"]) + "x" * rnd.randrange(4) for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = {}
+    for i, text in rows:
+        for p, word in enumerate(text.split()):
+            n, first = want.setdefault(i, {}).get(word, (0, p))
+            want[i][word] = (n + 1, min(first, p))
+    for limit in (1000, 5):
+        generation.MANY_ROWS, before = limit, generation.MANY_ROWS
+        try:
+            got = generation.word_frequency(df, "text")
+            rows_of = got.collect()
+        finally:
+            generation.MANY_ROWS = before
+        ranks = {}
+        for r in rows_of:
+            n, first = want[r["id"]][r["word"]]
+            assert r["n"] == n
+            ranks.setdefault(r["id"], []).append((r["rank"], -n, first))
+        assert set(ranks) == set(want)
+        for i, found in ranks.items():
+            found.sort()
+            assert [x[0] for x in found] == list(range(1, 1 + min(10, len(want[i]))))
+            assert [x[1:] for x in found] == sorted((-n, first) for n, first in want[i].values())[:10]
+    # the single ids: one exchange by id, above the scan and below the words
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression [id")
+
+
+def test_name_prefix_is_computed_once(spark):
+    from catalogspark.functions import naming
+
+    df = spark.createDataFrame([("a_very_long_name_over_the_lake_of_gardens_and_bridges_20240101",)], "stem string")
+    plan = df.select(naming.name_words("stem").alias("w"), naming.short_prefix("stem", F.array(F.lit("x"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("副本") <= 6  # three rounds for each of the two columns
+
+
 def test_keeper_order(spark):
     base = dict(pinned=False, dest_path=None, meta_len=100, mtime=0)
     rows = [(1, "/p/deep/er/IMG_1.jpg", base), (2, "/p/IMG_1.jpg", base), (5, "/p/backup/IMG_1.jpg", base)]

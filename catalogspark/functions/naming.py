@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alower, col, utf8_cut
+from .text import alower, bound, col, utf8_cut
 
 # fixed values: what is stripped from a name
 COPY_MARKER = r"(?i)(\s*\(\d+\)|[ _-]copy( \d+)?|\s*副本.*)$"
@@ -37,7 +37,7 @@ def name_prefix(stem) -> Column:
         s = F.regexp_replace(s, SEPARATORS, "$1")
         s = F.regexp_replace(s, TRAILING_WORD, "")
         s = F.regexp_replace(s, r"^[ _.-]+|[ _.-]+$", "")
-    return F.when(s.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"), utf8_cut(s, 60)).otherwise("")
+    return bound(s, lambda s: F.when(s.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"), utf8_cut(s, 60)).otherwise(""))
 
 
 def serial_name(stem, sep: str = "_") -> Column:
@@ -52,8 +52,7 @@ def serial_name(stem, sep: str = "_") -> Column:
 
 
 def long_name(prefix) -> Column:
-    p = col(prefix)
-    return (F.char_length(p) > 30) | (F.length(F.regexp_replace(p, r"[^ _\-]", "")) + 1 > 4)
+    return bound(col(prefix), lambda p: (F.char_length(p) > 30) | (F.length(F.regexp_replace(p, r"[^ _\-]", "")) + 1 > 4))
 
 
 def name_words(stem) -> Column:
@@ -74,7 +73,7 @@ def name_words(stem) -> Column:
 
 def short_prefix(stem, words) -> Column:
     """The prefix, or for a long one its key words joined with '-' until about 28 bytes."""
-    prefix = name_prefix(stem)
     joined = F.aggregate(col(words), F.lit(""), lambda acc, w: F.when(F.octet_length(acc) > 28, acc).when(
         acc == "", F.replace(w, F.lit(" "), F.lit("-"))).otherwise(F.concat(acc, F.lit("-"), F.replace(w, F.lit(" "), F.lit("-")))))
-    return F.when(~long_name(prefix), prefix).when(joined != "", joined).otherwise(F.left(prefix, F.lit(30)))
+    key_words = lambda prefix: bound(joined, lambda j: F.when(j != "", j).otherwise(F.left(prefix, F.lit(30))))
+    return bound(name_prefix(stem), lambda prefix: F.when(~long_name(prefix), prefix).otherwise(key_words(prefix)))

@@ -9,6 +9,7 @@ from ..functions import evidence as ev
 from ..functions import tags as tg
 from ..functions import text as tx
 from ..operators import organize, search
+from ..operators.ranking import spread
 from ..sources import views
 from ..sources.views import read, view
 from .aggregates import CLEAN
@@ -135,7 +136,7 @@ WITH w AS (SELECT id, list_filter(['beautiful', word1, 'over', word2, 'lake', 'o
 SELECT id, {J}(ws,'|') AS words, true AS long, {J}(ws,'-')='' AS none FROM w""")
 def name_words(spark, sf):
     stem = F.concat(F.lit("a_beautiful_"), "word1", F.lit("_over_the_"), "word2", F.lit("_lake-of+"), F.translate("brand", "#", "_"), F.lit("_4k_8213"))
-    t = view(spark, sf, "tagrows").withColumn("stem", stem)
+    t = spread(view(spark, sf, "tagrows").withColumn("stem", stem).select("id", "stem"))
     return t.select("id", F.array_join(naming.name_words("stem"), "|").alias("words"), naming.long_name(naming.name_prefix("stem")).alias("long"),
                     (naming.short_prefix("stem", naming.name_words("stem")) == "").alias("none"))
 

@@ -262,15 +262,26 @@ def graph_info(df: DataFrame, graph: str = "graph", id_: str = "id") -> DataFram
 
 # ---- keywords
 
+MANY_ROWS = 1000
+
+
 def word_frequency(df: DataFrame, text: str, id_: str = "id", max_n: int = 10) -> DataFrame:
     """``id, word, n, rank``: the most frequent meaningful words of each text, first seen first on ties.
 
-    Words are counted map-side per text before anything is shuffled; the ranking keeps ``max_n`` rows per text on both sides.
+    A text is shuffled once, by its id, and its words are counted and ranked where it arrives: they are several times as large as the text.
+    Only the words of an id with very many rows are counted map-side and meet by word, so that no task holds such an id's texts.
     """
-    words = df.select(id_, F.posexplode(pr.prompt_words(text)).alias("p", "word"))
-    counted = words.groupBy(id_, "word").agg(F.count("*").alias("n"), F.min("p").alias("first"))
+    many = df.groupBy(id_).count().where(F.col("count") > MANY_ROWS).select(F.col(id_).alias("_many")).hint("broadcast")
+    same = F.col(id_).eqNullSafe(F.col("_many"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        words = rows.select(id_, F.posexplode(pr.prompt_words(text)).alias("p", "word"))
+        return words.groupBy(id_, "word").agg(F.count("*").alias("n"), F.min("p").alias("first"))
+
     w = Window.partitionBy(id_).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_n).select(id_, "word", "n", "rank")
+    ranked = lambda rows: counted(rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_n).select(id_, "word", "n", "rank")
+    few = df.select(id_, text).join(many, same, "left_anti").repartition(id_)
+    return ranked(few).unionByName(ranked(df.select(id_, text).join(many, same, "left_semi")))
 
 
 def once_per_distinct(df: DataFrame, key: str, compute) -> DataFrame:

@@ -14,7 +14,8 @@ tries. The spares of a band follow from how many such groups its smallest sets a
 3. Pairs whose sketches differ in more bits than their sizes allow are dissimilar (of two widths the wider sketch is folded). The others are compared exactly on
    their texts: the text of a pivot goes to each ``CHUNK`` of its pairs once, the text of the other side follows it there.
 4. Where a member did not come to its pivot's component, members of the list may still be similar to each other. These lists are taken up again:
-   members of different components are compared by sketch (large lists in pieces that meet pairwise in separate tasks), what passes exactly.
+   members of different components are compared by sketch (large lists in pieces that meet pairwise in separate tasks). What passes connects members to
+   clumps; the texts of a clump meet in one task, which compares them exactly and yields the links that join components, fewer than the clump has members.
 5. Components of the confirmed links are the duplicate groups.
 
 Defined cases: a null text, or one without words, has no features and is linked with nothing; a text of fewer words than a shingle has one feature, the
@@ -38,7 +39,7 @@ from .segment import mixed, span_hashes
 
 LEVELS, BITS, CHUNK = 4, 1024, 256
 PART_BYTES = 1_500_000
-PIECE_ROWS = 2000
+PIECE_ROWS, PIECE_FEATURES = 2000, 2_000_000
 LAST = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -422,20 +423,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # lists in which a member did not come to its pivot's component
     failed = apart(seen.select("pivot", "a", "b"), label).select("pivot").distinct()
-    doubtful = lists.where(F.size("members") > 2).join(failed, "pivot", "left_semi").select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g", "members"])
-    members = doubtful.select("g", F.size("members").alias("m"), F.explode("members").alias("s1"))
-    member = members.join(nodes, "s1").join(label.select("node", "component"), "node", "left").select("g", "m", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
+    doubtful = lists.where(F.size("members") > 2).join(failed, "pivot", "left_semi").select(F.xxhash64("members").alias("g"), "pivot", "members").dropDuplicates(["g", "members"])
+    members = doubtful.select("g", "pivot", F.size("members").alias("m"), F.explode("members").alias("s1")).withColumn("head", F.col("s1") == F.col("pivot"))
+    member = members.join(nodes, "s1").join(label.select("node", "component"), "node", "left").select("g", "m", "head", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
     member = written(member, "list-members", used)
     discard(spark, listed)
-    mixed_lists = member.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    again = written(member.join(mixed_lists, "g", "left_semi"), "lists-again", used)
-    pieces = F.ceil(F.col("m") / PIECE_ROWS).cast("int")
+    mixed_lists = member.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("features")).where("low <> high").select("g", "features")
+    again = written(member.join(mixed_lists, "g"), "lists-again", used)
+    pieces = F.greatest(F.ceil(F.col("m") / PIECE_ROWS), F.ceil(F.col("features") / PIECE_FEATURES)).cast("int")
     own = F.pmod(F.xxhash64("node"), pieces).cast("int")
     spread = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    spread = spread.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "sketch", "component")
-    crossed = spread.groupBy("g", "i", "j").applyInArrow(_cross(percent), f"a {nodes.schema['node'].dataType.simpleString()}, b {nodes.schema['node'].dataType.simpleString()}")
-    second = judged(crossed.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "list")
-    links = first.where("similar").unionByName(second.where("similar")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    spread = spread.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "head", "node", "size", "sketch", "component")
+    kind = nodes.schema["node"].dataType.simpleString()
+    clumps = written(spread.groupBy("g", "i", "j").applyInArrow(_clumps(percent), f"clump long, node {kind}, component {kind}").distinct(), "clumps", used)
+    ids = written(clumps.select(F.col("node.tid").alias("tid"), "node").distinct(), "clump-ids", used)
+    texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), "clump-texts", used)
+    second = clump_links(clumps, texts, words, percent)
+    links = written(first.where("similar").select("a", "b").unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst")), "set-links", used)
     final = written(connected_components(links), "set-components")
     discard(spark, used)
     of_set = nodes.join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
@@ -444,46 +448,117 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.select("doc_id", F.col("size").alias("n_shingles"), own_id.alias("component_id"), "ord", "tid", "component")
 
 
-def _cross(percent: int):
-    """Pairs of different components in one piece pair of a list whose sketches are near."""
+class Sketches:
+    """Sizes and sketches (arrays of 64-bit words) of some sets, those of one width stacked."""
+
+    def __init__(self, size: np.ndarray, sketch: list[np.ndarray], percent: int):
+        self.size, self.sketch, self.percent = size, sketch, percent
+        self.width = np.array([len(x) for x in sketch], np.int64)
+        self.place = np.zeros(len(sketch), np.int64)
+        self.stacked = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.stacked[w] = np.stack([sketch[k] for k in at.tolist()])
+
+    def near(self, p: int, q: np.ndarray) -> np.ndarray:
+        """Those of the sets ``q`` that may be similar to the set ``p``."""
+        size = self.size
+        q = q[np.minimum(size[q], size[p]) * 100 >= np.maximum(size[q], size[p]) * self.percent]
+        bits = np.zeros(len(q), np.int64)
+        for w in np.unique(self.width[q]).tolist():
+            of, n = self.width[q] == w, min(w, len(self.sketch[p]))
+            words = np.bitwise_xor.reduce(self.stacked[w][self.place[q[of]]].reshape(-1, w // n, n), axis=1)
+            bits[of] = np.bitwise_count(words ^ np.bitwise_xor.reduce(self.sketch[p].reshape(-1, n), axis=0)).sum(axis=1)
+        return q[bits <= allowed(self.percent, size[q] + size[p])]
+
+
+def _clumps(percent: int):
+    """Members of one piece pair of a list that may be similar to one of another component, each with the name of its clump: what such pairs connect.
+
+    Pairs with the pivot were judged before. At most one row a member is returned, however many pairs there are.
+    """
 
     def run(key, rows):
         i, j = key[1].as_py(), key[2].as_py()
-        own = rows["own"].to_numpy()
-        nodes = [(x["ord"], x["tid"]) for x in rows["node"].to_pylist()]
+        own, head = rows["own"].to_numpy(), rows["head"].to_numpy()
+        nodes = np.array([(x["ord"], x["tid"]) for x in rows["node"].to_pylist()], np.int64)
         _, component = np.unique(np.array([(x["ord"], x["tid"]) for x in rows["component"].to_pylist()], np.int64), axis=0, return_inverse=True)
         component = component.ravel()
-        size = rows["size"].to_numpy()
-        sketch = [np.array(x, np.int64).view(np.uint64) for x in rows["sketch"].to_pylist()]
-        width = np.array([len(x) for x in sketch], np.int64)
-        place = np.zeros(len(width), np.int64)
-        by_width = {}
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            place[at] = np.arange(len(at))
-            by_width[w] = np.stack([sketch[k] for k in at.tolist()])
+        sets = Sketches(rows["size"].to_numpy(), [np.array(x, np.int64).view(np.uint64) for x in rows["sketch"].to_pylist()], percent)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        clump, found = np.arange(len(nodes)), np.zeros(len(nodes), bool)
         for p in left.tolist():
-            q = right[component[right] != component[p]]
-            q = q[np.minimum(size[q], size[p]) * 100 >= np.maximum(size[q], size[p]) * percent]
-            bits = np.zeros(len(q), np.int64)
-            for w in np.unique(width[q]).tolist():
-                of, n = width[q] == w, min(w, len(sketch[p]))
-                words = np.bitwise_xor.reduce(by_width[w][place[q[of]]].reshape(-1, w // n, n), axis=1)
-                bits[of] = np.bitwise_count(words ^ np.bitwise_xor.reduce(sketch[p].reshape(-1, n), axis=0)).sum(axis=1)
-            near = bits <= allowed(percent, size[q] + size[p])
-            for k in q[near].tolist():
-                if i != j or nodes[p] < nodes[k]:
-                    x, y = sorted((nodes[p], nodes[k]))
-                    a.append({"ord": x[0], "tid": x[1]})
-                    b.append({"ord": y[0], "tid": y[1]})
-        kind = pa.struct([("ord", pa.int64()), ("tid", pa.int64())])
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+            q = right[right > p] if i == j else right
+            q = sets.near(p, q[(component[q] != component[p]) & (head[q] == head[p])])
+            if len(q):
+                found[p] = found[q] = True
+                of = np.unique(clump[np.append(q, p)])
+                clump[np.isin(clump, of)] = of[0]
+        at = np.flatnonzero(found)
+        names = nodes.view(np.uint64)
+        total = np.zeros(len(nodes), np.uint64)
+        np.add.at(total, clump[at], mixed(mixed(names[at, 0]) * np.uint64(3) + names[at, 1]))
+        # the same members in another list are the same clump
+        return pa.table({"clump": pa.array(mixed(total)[clump[at]].view(np.int64), pa.int64()), **{c: rows[c].take(pa.array(at)) for c in ("node", "component")}})
 
     return run
 
 
+def joined(sets: list[np.ndarray], component: list, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of sets that join their components: of the pairs compared exactly, no more than there are components to join."""
+    size = np.array([len(x) for x in sets], np.int64)
+    numbers: dict = {}
+    root = np.array([numbers.setdefault(c, len(numbers)) for c in component], np.int64)
+    sketch = Sketches(size, [np.frombuffer(x.tobytes(), np.uint64) for x in sketches(Sets(np.concatenate(sets), size), percent)], percent)
+    out = []
+    for p in range(len(sets) - 1):
+        q = np.arange(p + 1, len(sets))
+        q = sketch.near(p, q[root[q] != root[p]])
+        if not len(q):
+            continue
+        own, others = sets[p], np.concatenate([sets[k] for k in q.tolist()])
+        at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+        common = np.add.reduceat((own[at] == others).astype(np.int64), np.cumsum(size[q]) - size[q])
+        for k in q[100 * common >= percent * (size[p] + size[q] - common)].tolist():
+            if root[k] != root[p]:
+                out.append((p, k))
+                root[root == root[k]] = root[p]
+    return out
+
+
+def clump_links(clumps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: similar nodes that join the components in a clump. The rows of a clump follow each other, so that a task holds one clump's sets."""
+    rows = clumps.join(texts, "node").select("clump", "node", "component", "raw")
+    together = rows.repartition("clump").sortWithinPartitions("clump", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, component, sets = None, [], [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            pairs = joined(sets, component, percent) if len(sets) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[side]] for x in pairs], kind) for side in (0, 1)], names=["a", "b"])
+
+        for t in batches:
+            kind = t.schema.field("node").type
+            raw, clump, node, of = (t.column(c).to_pylist() for c in ("raw", "clump", "node", "component"))
+            for i, j in _parts(raw):
+                s = shingle_sets(raw[i:j], words)
+                ends = np.cumsum(s.sizes)
+                for k in range(j - i):
+                    if clump[i + k] != now:
+                        yield from found()
+                        now, nodes, component, sets = clump[i + k], [], [], []
+                    nodes.append(node[i + k])
+                    component.append((of[i + k]["ord"], of[i + k]["tid"]))
+                    sets.append(s.features[ends[k] - s.sizes[k]:ends[k]].copy())
+        yield from found()
+
+    kind = clumps.schema["node"].dataType.simpleString()
+    return map_arrow(together, run, f"a {kind}, b {kind}")
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     """Duplicate groups of all documents: 4-word shingles, similarity of 0.85 or more."""
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

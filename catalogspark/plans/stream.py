@@ -72,10 +72,11 @@ def live_rows(spark, sf, events):
     # the earlier state has another content, and all of it lies in one minute of file time
     a = a.withColumns({"size": F.col("size") % 300 + F.when(early, 1001).otherwise(1), "mtime": F.when(early, F.lit(1_600_000_000).cast("bigint")).otherwise(F.col("mtime")), "deleted": F.col("version") == 2, "at": F.col("version")})
     a = a.withColumn("src_path", F.concat("src_root", F.lit("/"), "folder", F.lit("/"), "stem", F.lit("_"), F.col("id").cast("string"), F.lit("."), "ext"))
-    a = a.withColumns({"full": F.concat("kind", F.lit("-"), "size"), "dest_path": F.lit(None).cast("string"), "meta_len": F.lit(0), "dirs": ancestor_dirs("src_root", "src_path"), "meta": camera_time()})
+    a = a.withColumns({"full": F.concat("kind", F.lit("-"), "size"), "dest_path": F.lit(None).cast("string"), "meta_len": F.lit(0)})
     a = ev.with_name_dates(a, F.array("stem"), False, "_names", NOW).withColumn("days", dates.evidence_days(F.col("_names"))).drop("_names")
-    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return a.withColumn("vec_id", F.col("id") % vectors.count()).join(vectors, "vec_id", "left")
+    # a row is moved in every step of a batch: vectors are looked up and folders and metadata derived when a file is decided
+    a = a.withColumn("vec_id", F.col("id") % read(spark, sf, "embeddings").count())
+    return a.select("src_path", "at", "deleted", "id", "size", "mtime", "pinned", "full", "dest_path", "meta_len", "src_root", "stem", "manual_date", "exif_original", "days", "vec_id")
 
 
 def live_catalog(spark, sf) -> LiveCatalog:
@@ -84,10 +85,13 @@ def live_catalog(spark, sf) -> LiveCatalog:
     versions = F.array(F.when(F.col("event_id") % 3 == 0, 0), F.lit(1), F.when(F.col("event_id") % 13 == 0, 2))
     events = read(spark, sf, "events").withColumn("version", F.explode(F.filter(versions, lambda v: v.isNotNull())))
     vocabulary = tags.Vocabulary.load(label_vocabulary(spark, sf))
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    dated = ["src_path", "id", "date_secs", "date_prec", "date_source", "date_conf", "margin", "needs_review"]
 
     def decide(rows):
+        rows = rows.withColumns({"dirs": ancestor_dirs("src_root", "src_path"), "meta": camera_time()})
         found = dates.decide_dates(dates.union_candidates(rows, NOW, meta="meta", bulk="bulk", extra=dates.manual_candidate("manual_date")))
-        return tags.tag_assets(found, "embedding", vocabulary).select("src_path", "id", "date_secs", "date_prec", "date_source", "date_conf", "margin", "needs_review", "picked")
+        return tags.tag_assets(found.select(*dated, "vec_id").join(vectors, "vec_id", "left"), "embedding", vocabulary).select(*dated, "picked")
 
     catalog = LiveCatalog(spark, f"{base}/catalog", live_rows(spark, sf, events).schema, decide, buckets=8)
     # each arriving file holds versions of all kinds, so older ones follow newer ones

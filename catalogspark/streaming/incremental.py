@@ -61,7 +61,7 @@ class Buckets:
         marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
         blank = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], "bucket")
         out = rows.select(*self.schema.names).withColumn("bucket", self.bucket()).unionByName(blank)
-        out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(self.path)
 
 
 class LiveCatalog:
@@ -69,7 +69,7 @@ class LiveCatalog:
 
     Scan rows carry ``src_path, at`` (orders versions of a path), ``deleted``, ``size, mtime, id, pinned, dest_path, meta_len``, the columns of
     ``copy_keys``, ``days`` (days of evidence besides file times) and whatever ``decide`` reads. ``decide`` gets live rows with ``bulk`` and returns
-    one row per ``src_path``; it may look at nothing but its rows.
+    one row per ``src_path``; it may look at nothing but its rows and tables that stay as they are.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, decide: Callable[[DataFrame], DataFrame], copy_keys: Sequence[str] = ("size", "full"), buckets: int = BUCKETS):

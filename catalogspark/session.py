@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+
+
 def build_session(master: str | None = None, name: str = "catalogspark", **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; AQE sizes and splits the shuffles at run time."""
     b = (
@@ -28,10 +31,11 @@ def build_session(master: str | None = None, name: str = "catalogspark", **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the two session options the plans rely on."""
+    """Set the session options the plans rely on."""
     # metadata times are zone-less; a fixed zone makes epoch values read the same everywhere
     # evidence lists are computed once per row; pruning their fields through explode would compute them once per field
-    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.optimizer.expression.nestedPruning.enabled", "false")):
+    # a Python worker holds one batch of vectors and of their scores as objects; a task with four UDFs has four workers
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.optimizer.expression.nestedPruning.enabled", "false"), ("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -80,5 +84,5 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -132,6 +132,23 @@ def test_name_prefix_is_computed_once(spark):
     assert plan.count("副本") <= 6  # three rounds for each of the two columns
 
 
+def test_live_rows_carry_no_vectors(spark, tmp_path):
+    from catalogspark.plans import stream
+
+    spark.range(3).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = spark.sql("select id as event_id, timestamp'2024-02-03 04:05:06' as ts, id as user_id, 'click' as event_type, 1.5D as value, '{}' as props, 1 as version from range(5)")
+    rows = stream.live_rows(spark, str(tmp_path), events)
+    assert "embedding" not in rows.columns and {r["id"]: r["vec_id"] for r in rows.collect()} == {i: i % 3 for i in range(5)}
+
+
+def test_vectors_reach_python_in_small_batches(spark):
+    from catalogspark.session import BATCH_ROWS, prepare
+
+    prepare(spark)
+    size = F.pandas_udf(lambda v: v * 0 + len(v), "long")
+    assert spark.range(0, 5000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0] <= BATCH_ROWS
+
+
 def test_keeper_order(spark):
     base = dict(pinned=False, dest_path=None, meta_len=100, mtime=0)
     rows = [(1, "/p/deep/er/IMG_1.jpg", base), (2, "/p/IMG_1.jpg", base), (5, "/p/backup/IMG_1.jpg", base)]

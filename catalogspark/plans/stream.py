@@ -12,7 +12,7 @@ from ..functions import evidence as ev
 from ..functions.text import ancestor_dirs
 from ..operators import catalog as cat
 from ..operators import dates, tags
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources.views import _SPARK, _VIEWS, _render, label_vocabulary, read, view
 from ..streaming.incremental import LiveCatalog, watch_live
 from ..streaming.watch import Catalog, metric_columns, watch_catalog
@@ -85,7 +85,8 @@ def live_catalog(spark, sf) -> LiveCatalog:
     versions = F.array(F.when(F.col("event_id") % 3 == 0, 0), F.lit(1), F.when(F.col("event_id") % 13 == 0, 2))
     events = read(spark, sf, "events").withColumn("version", F.explode(F.filter(versions, lambda v: v.isNotNull())))
     vocabulary = tags.Vocabulary.load(label_vocabulary(spark, sf))
-    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    # a repeated id has one vector, as a path has one result
+    vectors = written(read(spark, sf, "embeddings").select("vec_id", "embedding").dropDuplicates(["vec_id"]), "vectors")
     dated = ["src_path", "id", "date_secs", "date_prec", "date_source", "date_conf", "margin", "needs_review"]
 
     def decide(rows):

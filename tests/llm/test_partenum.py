@@ -150,3 +150,13 @@ def test_a_hot_pivot_is_dealt_to_chunks(spark, table, sentences, monkeypatch):
     rows = [(k, f"{base} tail{k}") for k in range(60)]
     got = P.near_duplicates(table(rows)).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 60
+
+
+def test_a_group_yields_fewer_links_than_members():
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.append(core, rng.integers(0, 2**63, 8).astype(np.uint64))) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(5)]
+    found = P.joined(sets, list(range(len(sets))), 85)
+    assert len(found) == 59 and {k for pair in found for k in pair} == set(range(60))
+    assert P.joined(sets, [0] * 60 + list(range(1, 6)), 85) == []

@@ -35,7 +35,7 @@ from .common import documents, map_arrow, schema_with, without
 from .segment import span_hashes, split_words, unassigned
 
 WORD_BPE = "word_bpe_49k.json"
-PART_CHARS = 2_000_000  # characters cut into words at once
+PART_CHARS = 1_000_000  # characters cut into words at once
 BLOCK_CHARS = 16_000_000  # characters whose distinct words share one index
 
 
@@ -238,6 +238,9 @@ def encode_block(texts: list[str], vocab: Vocabulary) -> list[np.ndarray]:
             back = np.zeros(0, np.int32)
         cuts = np.cumsum(w.counts)
         numbers += np.split(back, cuts[:-1])
+        # what the next part or the index doesn't need goes first
+        units[first:k] = [""] * (k - first)
+        del w
     if not words:
         symbols, offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
     else:

@@ -15,6 +15,8 @@ from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+STEP = 8192  # code points classified at once
+PART = 65_536  # values hashed at once, so that what they need in between stays in the cache
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -22,11 +24,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 def classes() -> np.ndarray:
     """The class of every code point, as the tokenizers library's own patterns tell it (its Unicode version may be newer than Python's)."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = [*range(0xD800), *range(0xE000, 0x110000)]
-    joined, place = "".join(map(chr, every)), np.array(every)
-    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(joined):
-            out[place[a:b]] = kind
+    patterns = [(kind, Split(Regex(pattern), "removed", invert=True)) for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"))]
+    # a few thousand at a time: the library's own copies of all code points take 240 MB of every worker
+    for low in range(0, 0x110000, STEP):
+        place = np.array([k for k in range(low, min(low + STEP, 0x110000)) if not 0xD800 <= k < 0xE000], np.int64)
+        joined = "".join(map(chr, place.tolist()))
+        for kind, split in patterns if joined else []:
+            for _, (a, b) in split.pre_tokenize_str(joined):
+                out[place[a:b]] = kind
     out.flags.writeable = False
     return out
 
@@ -65,7 +70,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     size = 1 << max(16, int(n + 1).bit_length())
     powers, inverse = _powers(size)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(values) * powers[:n], out=sums[1:], dtype=np.uint64)
+    for low in range(0, n, PART):
+        part = mixed(values[low:low + PART]) * powers[low:min(low + PART, n)]
+        part[:1] += sums[low:low + 1]
+        np.cumsum(part, out=sums[low + 1:low + 1 + len(part)], dtype=np.uint64)
     return mixed((sums[ends] - sums[starts]) * inverse[starts]) ^ (ends - starts).astype(np.uint64)
 
 

@@ -23,6 +23,7 @@ get the same result each; an empty table gives no rows; input columns that an ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ BLOCK_BYTES = 4_000_000
 HOT = 20_000
 SLICES = 4
 PAD = 64
+PART = 65_536  # places named at once, so that what they need in between stays in the cache
+SORT_BYTES = 262_144  # bytes of whole names that share one suffix array
+NAME_BITS = 48  # of a name's hash; two strings with one name cost time, not rows
 LAST = (1 << 63) - 1
 
 
@@ -62,7 +66,7 @@ def stretch_places(starts: np.ndarray, span: int) -> np.ndarray:
     long = np.diff(starts) >= span
     np.add.at(inside, starts[:-1][long], 1)
     np.add.at(inside, starts[1:][long] - span + 1, -1)
-    return np.flatnonzero(np.cumsum(inside[:-1]))
+    return np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,15 +87,25 @@ def runs_of(data: np.ndarray, starts: np.ndarray, span: int = SPAN) -> tuple[np.
         return z, z, np.zeros(0, np.uint64)
     w = words_at(data)
     gram = min(GRAM, span)
-    h = mixed(w[:-8] if gram > 8 else w)
-    if gram > 8:
-        h = mixed(h ^ w[gram - 8:][:len(h)])
-    names = _least(h, span - gram + 1)[places]
-    text = np.searchsorted(starts, places, "right")
-    new = np.ones(len(places), bool)
-    new[1:] = (names[1:] != names[:-1]) | (np.diff(places) != 1) | (text[1:] != text[:-1])
+    heads = np.searchsorted(places, starts[:-1][np.diff(starts) >= span])  # a text begins
+    found = []
+    for low in range(0, len(places), PART):
+        part = places[low:low + PART]
+        a, z = int(part[0]), int(part[-1]) + span - gram + 1
+        h = mixed(w[a:z])
+        if gram > 8:
+            h = mixed(h ^ w[a + gram - 8:z + gram - 8])
+        names = (_least(h, span - gram + 1) >> np.uint64(64 - NAME_BITS))[part - a]
+        new = np.append(True, (names[1:] != names[:-1]) | (np.diff(part) != 1))
+        new[heads[np.searchsorted(heads, low):np.searchsorted(heads, low + PART)] - low] = True
+        at = np.flatnonzero(new)
+        found.append((part[at], np.diff(np.append(at, len(part))), names[at]))
+    first, count, names = (np.concatenate(x) for x in zip(*found, strict=True))
+    # a run that the end of a part has cut
+    new = np.append(True, (names[1:] != names[:-1]) | (first[1:] != first[:-1] + count[:-1]))
+    new[np.searchsorted(first, places[heads])] = True
     at = np.flatnonzero(new)
-    return places[at], np.diff(np.append(at, len(places))), names[at]
+    return first[at], np.add.reduceat(count, at), names[at]
 
 
 def bucket_pointer_refinement(data: np.ndarray, depth: int, first: int = FIRST_GRAM, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -169,18 +183,36 @@ def _ranges(first: np.ndarray, flags: np.ndarray, group: np.ndarray) -> tuple[np
     return first[at[a]], first[at[b]], at[a]
 
 
+@lru_cache(maxsize=1)
+def _packer() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _dense(block: int, bucket: int, **arrays: np.ndarray) -> dict:
-    packer = zstandard.ZstdCompressor(level=1)
-    return {"block": block, "bucket": bucket, **{k: packer.compress(np.ascontiguousarray(v).tobytes()) for k, v in arrays.items()}}
+    pack = _packer()[0].compress
+    return {"block": block, "bucket": bucket, **{k: pack(np.ascontiguousarray(v).tobytes()) if len(v) else b"" for k, v in arrays.items()}}
 
 
 def _plain(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+    return np.frombuffer(_packer()[1].decompress(blob) if blob else b"", dtype)
+
+
+def _steps(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending names of one bucket as steps, their bytes by place: high bytes are mostly 0."""
+    steps = np.diff(names // np.uint64(buckets), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_steps(blob: bytes, bucket: int, buckets: int) -> np.ndarray:
+    steps = np.ascontiguousarray(_plain(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if len(bucket) and 0 <= bucket.min() and bucket.max() < 65536:
+        bucket = bucket.astype(np.uint16)  # numpy sorts these by counting
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    cuts = np.flatnonzero(bucket[order][1:] != bucket[order][:-1]) + 1
     for part in np.split(order, cuts) if len(order) else []:
         yield int(bucket[part[0]]), part
 
@@ -226,17 +258,18 @@ def _first_pass(buckets: int, span: int):
         names, text = names[order], text[order]
         new = np.append(True, (names[1:] != names[:-1]) | (text[1:] != text[:-1])) if len(names) else np.zeros(0, bool)
         names, count = np.unique(names[new], return_counts=True)
-        rows = [_dense(key[0].as_py(), b, values=names[at], flags=np.minimum(count[at], 65535).astype(np.uint16), ids=np.zeros(0), data=np.zeros(0)) for b, at in _by_bucket((names % np.uint64(buckets)).astype(np.int64))]
+        rows = [_dense(key[0].as_py(), b, values=_steps(names[at], buckets), flags=np.minimum(count[at], 65535).astype(np.uint16), ids=np.zeros(0), data=np.zeros(0)) for b, at in _by_bucket((names % np.uint64(buckets)).astype(np.int64))]
         return _notes(rows)
 
     return run
 
 
-def _shared_names(hot: int):
+def _shared_names(hot: int, buckets: int):
     """Names met in several documents go back to the blocks they came from; common ones are marked."""
 
     def run(key, rows):
-        names = [_plain(b, np.uint64) for b in rows["values"].to_pylist()]
+        bucket = key[0].as_py()
+        names = [_from_steps(b, bucket, buckets) for b in rows["values"].to_pylist()]
         counts = [_plain(b, np.uint16) for b in rows["flags"].to_pylist()]
         every, back = np.unique(np.concatenate(names), return_inverse=True)
         total = np.bincount(back, np.concatenate(counts), len(every))
@@ -246,7 +279,7 @@ def _shared_names(hot: int):
             at += len(own)
             keep = t > 1
             if keep.any():
-                out.append(_dense(block, 0, values=own[keep], flags=(t[keep] > hot).astype(np.uint8), ids=np.zeros(0), data=np.zeros(0)))
+                out.append(_dense(block, bucket, values=_steps(own[keep], buckets), flags=(t[keep] > hot).astype(np.uint8), ids=np.zeros(0), data=np.zeros(0)))
         return _notes(out)
 
     return run
@@ -265,7 +298,7 @@ def _second_pass(buckets: int, span: int):
         replies = notes.filter(pc.greater_equal(notes["bucket"], 0))
         if not replies.num_rows:
             return _notes([])
-        shared = np.concatenate([_plain(b, np.uint64) for b in replies["values"].to_pylist()])
+        shared = np.concatenate([_from_steps(b, k, buckets) for b, k in zip(replies["values"].to_pylist(), replies["bucket"].to_pylist(), strict=True)])
         common = np.concatenate([_plain(b, np.uint8) for b in replies["flags"].to_pylist()])
         by = np.argsort(shared)
         shared, common = shared[by], common[by]
@@ -301,9 +334,10 @@ def _content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np
     return span_hashes(data[:len(data) - PAD], first, first + size)
 
 
-def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _gather(data: np.ndarray | bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Several stretches of the data, one behind the other."""
-    return data[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
+    raw = data if isinstance(data, bytes) else data.tobytes()
+    return np.frombuffer(b"".join([raw[a:z] for a, z in zip(first.tolist(), (first + size).tolist(), strict=True)]), np.uint8)
 
 
 def _later_equals(data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray, content: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -321,11 +355,9 @@ def _later_equals(data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np
 def _equal_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a):
         return np.zeros(0, bool)
-    sizes = np.minimum(size[a], size[b])
-    lead = np.cumsum(sizes) - sizes
-    step = np.arange(int(sizes.sum())) - np.repeat(lead, sizes)
-    differ = data[np.repeat(first[a], sizes) + step] != data[np.repeat(first[b], sizes) + step]
-    return (np.add.reduceat(differ, lead) == 0) & (size[a] == size[b])
+    raw = data.tobytes()
+    pairs = zip(first[a].tolist(), (first + size)[a].tolist(), first[b].tolist(), (first + size)[b].tolist(), strict=True)
+    return np.fromiter((raw[i:j] == raw[k:m] for i, j, k, m in pairs), bool, len(a))
 
 
 def _settle(span: int):
@@ -359,52 +391,69 @@ def _settle(span: int):
         left = left[(least < most)[number]]
         if not len(left):
             return _notes(out)
-        size, meta, block = size[left], meta[left], block[left]
-        data = np.append(_gather(data, starts[left], size), np.zeros(PAD, np.uint8))
-        starts = np.concatenate([[0], np.cumsum(size)])
-        places = stretch_places(starts, span)
-        run_of = np.searchsorted(starts, places, "right") - 1
-        covered = covered_stretches(data, places, meta[run_of, 0], span)
-        a, b, at = _ranges(places, covered, run_of)
-        r = run_of[at]
+        # names one behind the other; a suffix array holds whole names, so equal stretches meet in it
+        left = left[np.argsort(meta[left, 3], kind="stable")]
+        size, meta, block, first = size[left], meta[left], block[left], starts[left]
+        names = np.flatnonzero(np.append(True, meta[1:, 3] != meta[:-1, 3]))
+        filled = (np.cumsum(size) - size)[names] // SORT_BYTES
+        cuts = names[np.flatnonzero(filled[1:] != filled[:-1]) + 1]
+        found, raw = [], data.tobytes()
+        for part in np.split(np.arange(len(left)), cuts):
+            own = np.append(_gather(raw, first[part], size[part]), np.zeros(PAD, np.uint8))
+            begin = np.concatenate([[0], np.cumsum(size[part])])
+            places = stretch_places(begin, span)
+            run_of = np.searchsorted(begin, places, "right") - 1
+            covered = covered_stretches(own, places, meta[part[run_of], 0], span)
+            a, b, at = _ranges(places, covered, run_of)
+            shift = meta[part[run_of[at]], 2] - begin[run_of[at]]
+            found.append((part[run_of[at]], a + shift, b + shift + span))
+        r, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         for number, part in _by_bucket(block[r]):
-            shift = meta[r[part], 2] - starts[r[part]]
-            out.append(_covered_note(number, meta[r[part], 1], a[part] + shift, b[part] + shift + span))
+            out.append(_covered_note(number, meta[r[part], 1], a[part], b[part]))
         return _notes(out)
 
     return run
 
 
+def _merged(tids: np.ndarray, ranges: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Ranges of each row in order; those that touch are one."""
+    if not len(tids):
+        return {}
+    order = np.lexsort((ranges[:, 0], tids))
+    tid, start, end = tids[order], ranges[order, 0], ranges[order, 1]
+    # ends only grow: rows one behind the other, each on a stretch of its own
+    row = np.cumsum(np.append(False, tid[1:] != tid[:-1])) * (int(end.max(initial=0)) + 1)
+    last = np.maximum.accumulate(end + row)
+    at = np.flatnonzero(np.append(True, start[1:] + row[1:] > last[:-1]))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for t, a, z in zip(tid[at].tolist(), start[at].tolist(), (last - row)[np.append(at[1:], len(tid)) - 1].tolist(), strict=True):
+        out.setdefault(t, []).append((a, z))
+    return out
+
+
 def _cut(keep: list[str], fields: list[pa.Field], span: int, as_text: bool):
     """Remove what is covered from every row of a block."""
 
     def run(key, texts, notes):
-        copies, ranges = set(), {}
+        copies, tids, ranges = set(), [], []
         for bucket, ids, values in zip(notes["bucket"].to_pylist(), notes["ids"].to_pylist(), notes["values"].to_pylist(), strict=True):
             if bucket == COPY:
                 copies.update(np.frombuffer(ids, np.int64).tolist())
             elif bucket <= COVERED:
-                tid, at = _plain(ids, np.int64), _plain(values, np.int64).reshape(-1, 2)
-                order = np.argsort(tid, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(tid[order])) + 1):
-                    ranges.setdefault(int(tid[part[0]]), []).append(at[part])
+                tids.append(_plain(ids, np.int64))
+                ranges.append(_plain(values, np.int64).reshape(-1, 2))
+        covered = _merged(np.concatenate(tids), np.concatenate(ranges)) if tids else {}
         kept, removed, spans = [], [], []
         for tid, raw in zip(texts["_tid"].to_pylist(), texts["_bytes"].to_pylist(), strict=True):
             raw = raw or b""
-            n = len(raw)
-            mask = np.zeros(n + 1, np.int32)
-            if tid in copies:
-                if n >= span:
-                    mask[0] += 1
-                    mask[n] -= 1
+            gone = [(0, len(raw))] if tid in copies and len(raw) >= span else [] if tid in copies else covered.get(tid, [])
+            if gone:
+                edges = [0, *(x for r in gone for x in r), len(raw)]
+                kept.append(b"".join([raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]))
             else:
-                for at in ranges.get(tid, ()):
-                    np.add.at(mask, at[:, 0], 1)
-                    np.add.at(mask, at[:, 1], -1)
-            gone = np.cumsum(mask[:-1]) > 0
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw)
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+                kept.append(raw)
+            removed.append(sum(z - a for a, z in gone))
+            spans.append(len(gone))
         cols = [texts[c].cast(f.type) for c, f in zip(keep, fields, strict=True)]
         return pa.table([*cols, texts["_n"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -436,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return by_block.cogroup(notes.groupBy("block")).applyInArrow(fn, schema)
 
     names = with_notes(copies, _first_pass(blocks, span), note)
-    shared = names.groupBy("bucket").applyInArrow(_shared_names(hot), note)
+    shared = names.groupBy("bucket").applyInArrow(_shared_names(hot, blocks), note)
     sent = with_notes(copies.unionByName(shared), _second_pass(blocks, span), note)
     settled = sent.groupBy("bucket").applyInArrow(_settle(span), note)
     kinds = StructType([docs.schema[c] for c in keep])

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from catalogspark.llm import suffixes as S
 from catalogspark.llm.queries import QUERIES
 
@@ -73,3 +74,31 @@ def test_refinement_sorts_suffixes():
         padded = raw + bytes(S.PAD)
         keys = [padded[p:p + 50] for p in order.tolist()]
         assert sorted(order.tolist()) == list(range(700)) and keys == sorted(keys)
+
+
+def test_runs_do_not_depend_on_parts(sentences, monkeypatch):
+    texts = [sentences(k, 40).encode() for k in range(30)] + [b"", b"x" * 49, b"x" * 50, b"ab" * 300, sentences(3, 40).encode()]
+    data, starts = S.joined(texts)
+    whole = S.runs_of(data, starts)
+    assert whole[1].sum() == sum(max(0, len(t) - 49) for t in texts)
+    for part in (1, 7, 50, 333):
+        monkeypatch.setattr(S, "PART", part)
+        assert all((a == b).all() for a, b in zip(whole, S.runs_of(data, starts), strict=True))
+
+
+def test_names_travel_in_few_bytes():
+    rnd = random.Random(2)
+    raw = [bytes(rnd.choices(range(97, 123), k=3000)) for _ in range(100)]
+    texts = pa.table({"_tid": pa.array(range(100), pa.int64()), "_ord": pa.array(range(100), pa.int64()), "_bytes": pa.array(raw, pa.binary())})
+    rows = S._first_pass(4, 50)([pa.scalar(0, pa.int32())], texts, S._notes([]))
+    names = S.runs_of(*S.joined(raw))[2]
+    assert sum(map(len, rows["values"].to_pylist())) < 6 * len(np.unique(names))
+    found = [S._from_steps(v, b, 4) for v, b in zip(rows["values"].to_pylist(), rows["bucket"].to_pylist(), strict=True)]
+    assert sorted(np.concatenate(found).tolist()) == sorted(set(names.tolist()))
+
+
+def test_ranges_of_a_row_are_joined():
+    tids = np.array([5, 3, 5, 5, 3, 9])
+    ranges = np.array([[60, 120], [0, 50], [0, 60], [10, 40], [70, 121], [4, 54]])
+    assert S._merged(tids, ranges) == {5: [(0, 120)], 3: [(0, 50), (70, 121)], 9: [(4, 54)]}
+    assert S._merged(tids[:0], ranges[:0]) == {}

@@ -394,9 +394,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Pairs of nodes with what an exact comparison says of them."""
         done: list[str] = []
         pairs = written(pairs, f"{name}-pairs", done)
-        ids = pairs.select(F.col("a.tid").alias("tid"), F.col("a").alias("node")).unionByName(pairs.select(F.col("b.tid").alias("tid"), F.col("b").alias("node"))).distinct()
-        ids = written(ids, f"{name}-ids", done)
-        texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), f"{name}-texts", done)
         out = written(confirm(pairs, texts, words, percent), f"{name}-judged", used)
         discard(spark, done)
         return out
@@ -414,6 +411,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def components(judgements: DataFrame, name: str) -> DataFrame:
         return written(connected_components(judgements.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))), name, used)
 
+    # texts of lists' members are shuffled out of all texts once; later steps read these alone
+    ids = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
+    ids = written(ids.select(F.col("node.tid").alias("tid"), "node"), "list-ids", used)
+    texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), "list-texts", used)
+
     # one pair a member first; of the others only those that would still join two components
     near = seen.where("near").select("a", "b").distinct()
     start = judged(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pivot")
@@ -436,8 +438,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = spread.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "head", "node", "size", "sketch", "component")
     kind = nodes.schema["node"].dataType.simpleString()
     clumps = written(spread.groupBy("g", "i", "j").applyInArrow(_clumps(percent), f"clump long, node {kind}, component {kind}").distinct(), "clumps", used)
-    ids = written(clumps.select(F.col("node.tid").alias("tid"), "node").distinct(), "clump-ids", used)
-    texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), "clump-texts", used)
     second = clump_links(clumps, texts, words, percent)
     links = written(first.where("similar").select("a", "b").unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst")), "set-links", used)
     final = written(connected_components(links), "set-components")

@@ -160,3 +160,19 @@ def test_a_group_yields_fewer_links_than_members():
     found = P.joined(sets, list(range(len(sets))), 85)
     assert len(found) == 59 and {k for pair in found for k in pair} == set(range(60))
     assert P.joined(sets, [0] * 60 + list(range(1, 6)), 85) == []
+
+
+def test_texts_of_lists_are_taken_out_of_all_texts_once(spark, table, sentences, monkeypatch):
+    rows = [(k, sentences(k, 80)) for k in range(60)] + [(100 + k, sentences(k, 80) + " more") for k in range(10)]
+    held, plain = [], P.written
+
+    def noted(df, name, used=None):
+        out = plain(df, name, used)
+        if "raw" in df.columns:
+            held.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(P, "written", noted)
+    got = {r.doc_id: r.component_id for r in P.near_duplicates(table(rows)).collect()}
+    assert all(got[100 + k] == k for k in range(10)) and all(got[k] == k for k in range(60))
+    assert len(held) == 1 and 20 <= held[0][1] < len(rows)

@@ -9,7 +9,7 @@ documents.
    can't hold a repeated stretch and end there.
 3. Runs of the other names are sent to their buckets. Of runs with equal bytes in one block only that of the smallest id is sent. Runs of names that
    occur more than ``HOT`` times are cut into single stretches dealt by their own hash, so a very common line fills no bucket.
-4. In a bucket a suffix array of the runs is built by bucket-pointer refinement: suffixes are put into buckets of equal q-grams, then buckets are
+4. In a bucket suffix arrays of whole names' runs are built by bucket-pointer refinement: suffixes are put into buckets of equal q-grams, then buckets are
    refined by sorting on the bucket pointers of later offsets. Pointers are updated in place, and refinements that come later use them at once.
    Stretches with equal bytes lie side by side; those with a larger id than the smallest are covered.
 5. Covered ranges return to the blocks, where bytes are cut.

@@ -138,6 +138,8 @@ def bucket_pointer_refinement(data: np.ndarray, depth: int, first: int = FIRST_G
             by = np.lexsort((~keep, last))
             order[open_ranks] = order[open_ranks][by]
             open_ranks = open_ranks[keep[by]]
+            if not len(open_ranks):  # buckets of several held no wanted place
+                break
         bounds = pointer[order[open_ranks]]
         edges = np.flatnonzero(np.append(True, bounds[1:] != bounds[:-1]))
         for part in np.array_split(edges, SLICES):

@@ -76,6 +76,17 @@ def test_refinement_sorts_suffixes():
         assert sorted(order.tolist()) == list(range(700)) and keys == sorted(keys)
 
 
+def test_repeated_strings_that_no_stretch_begins_with():
+    """Two runs end in the same 49 bytes: buckets of several hold only places where no whole stretch begins."""
+    rnd = random.Random(6)
+    a, b, end = (bytes(rnd.choices(range(97, 123), k=n)) for n in (20, 20, 49))
+    assert a[-1:] != b[-1:]
+    for texts, ids, covered in (([a, b], [1, 2], [0, 0]), ([a, a, b], [1, 2, 3], [0, 1, 0])):
+        data, starts = S.joined([t + end for t in texts])
+        places = S.stretch_places(starts, 50)
+        assert S.covered_stretches(data, places, np.repeat(ids, 20)).tolist() == np.repeat(covered, 20).astype(bool).tolist()
+
+
 def test_runs_do_not_depend_on_parts(sentences, monkeypatch):
     texts = [sentences(k, 40).encode() for k in range(30)] + [b"", b"x" * 49, b"x" * 50, b"ab" * 300, sentences(3, 40).encode()]
     data, starts = S.joined(texts)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, merged
 from .common import discard, documents, map_arrow, shuffle_parts, written
 from .segment import mixed, span_hashes
 
@@ -345,7 +345,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("chunk"))
     none = F.lit(None).cast(pairs.schema["b"].dataType)
     heads = dealt.select("a", "chunk").distinct().select(F.col("a").alias("node"), "a", "chunk", none.alias("b"))
-    rows = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "chunk", "b")).join(texts, "node").select("a", "chunk", "b", "raw")
+    rows = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "chunk", "b")).join(merged(texts), "node").select("a", "chunk", "b", "raw")
     together = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     n = lambda side: nodes.select(F.col("s1").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "sketch")])
-    seen = written(pairs.join(n("pivot"), "pivot").join(n("member"), "member").select(
+    seen = written(pairs.join(merged(n("pivot")), "pivot").join(merged(n("member")), "member").select(
         "pivot", "member", F.col("node_pivot").alias("a"), F.col("node_member").alias("b"), sketch_near("sketch_pivot", "sketch_member", "size_pivot", "size_member", percent).alias("near")), "pivot-pairs", listed)
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -411,10 +411,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def components(judgements: DataFrame, name: str) -> DataFrame:
         return written(connected_components(judgements.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))), name, used)
 
-    # texts of lists' members are shuffled out of all texts once; later steps read these alone
+    # texts of lists' members are shuffled out of all texts once, at every size; later steps read these alone
     ids = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
     ids = written(ids.select(F.col("node.tid").alias("tid"), "node"), "list-ids", used)
-    texts = written(base.select("tid", "raw").join(ids, "tid").select("node", "raw").dropDuplicates(["node"]), "list-texts", used)
+    texts = written(base.select("tid", "raw").join(merged(ids), "tid").dropDuplicates(["tid", "node"]).select("node", "raw"), "list-texts", used)
 
     # one pair a member first; of the others only those that would still join two components
     near = seen.where("near").select("a", "b").distinct()
@@ -427,14 +427,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     failed = apart(seen.select("pivot", "a", "b"), label).select("pivot").distinct()
     doubtful = lists.where(F.size("members") > 2).join(failed, "pivot", "left_semi").select(F.xxhash64("members").alias("g"), "pivot", "members").dropDuplicates(["g", "members"])
     members = doubtful.select("g", "pivot", F.size("members").alias("m"), F.explode("members").alias("s1")).withColumn("head", F.col("s1") == F.col("pivot"))
-    member = members.join(nodes, "s1").join(label.select("node", "component"), "node", "left").select("g", "m", "head", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
-    member = written(member, "list-members", used)
+    # sketches stay behind until it is known which lists are compared
+    sized = nodes.select("s1", "node", "size").join(label.select("node", "component"), "node", "left").select("s1", "node", "size", F.coalesce("component", "node").alias("component"))
+    member = written(members.join(sized, "s1").select("g", "m", "head", "s1", "node", "size", "component"), "list-members", used)
     discard(spark, listed)
     mixed_lists = member.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("features")).where("low <> high").select("g", "features")
-    again = written(member.join(mixed_lists, "g"), "lists-again", used)
     pieces = F.greatest(F.ceil(F.col("m") / PIECE_ROWS), F.ceil(F.col("features") / PIECE_FEATURES)).cast("int")
     own = F.pmod(F.xxhash64("node"), pieces).cast("int")
-    spread = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    again = written(member.join(mixed_lists, "g").select("g", pieces.alias("pieces"), own.alias("own"), "head", "s1", "node", "component"), "lists-again", used)
+    again = again.join(merged(nodes.select("s1", "node", "size", "sketch")), ["s1", "node"])
+    spread = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     spread = spread.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "head", "node", "size", "sketch", "component")
     kind = nodes.schema["node"].dataType.simpleString()
     clumps = written(spread.groupBy("g", "i", "j").applyInArrow(_clumps(percent), f"clump long, node {kind}, component {kind}").distinct(), "clumps", used)
@@ -529,7 +531,7 @@ def joined(sets: list[np.ndarray], component: list, percent: int) -> list[tuple[
 
 def clump_links(clumps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: similar nodes that join the components in a clump. The rows of a clump follow each other, so that a task holds one clump's sets."""
-    rows = clumps.join(texts, "node").select("clump", "node", "component", "raw")
+    rows = clumps.join(merged(texts), "node").select("clump", "node", "component", "raw")
     together = rows.repartition("clump").sortWithinPartitions("clump", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,3 +176,22 @@ def test_texts_of_lists_are_taken_out_of_all_texts_once(spark, table, sentences,
     got = {r.doc_id: r.component_id for r in P.near_duplicates(table(rows)).collect()}
     assert all(got[100 + k] == k for k in range(10)) and all(got[k] == k for k in range(60))
     assert len(held) == 1 and 20 <= held[0][1] < len(rows)
+
+
+def test_texts_and_sketches_are_shuffled_at_every_size(spark, table, sentences, monkeypatch):
+    """What a small table sends to all tasks a large one shuffles: joins of texts and sketches keep one form, and rows of lists carry no sketches."""
+    plans, columns, plain = {}, {}, P.written
+
+    def noted(df, name, used=None):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())  # a name that is used twice: the first table
+        columns[name] = df.columns
+        return plain(df, name, used)
+
+    monkeypatch.setattr(P, "written", noted)
+    rows = near_rows(sentences, 3, 20)
+    got = P.near_duplicates(table(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    for name in ("list-texts", "pivot-pairs", "first-pivot-judged"):
+        assert "SortMergeJoin" in plans[name], name
+    assert "BroadcastHashJoin" not in plans["list-texts"] + plans["pivot-pairs"]
+    assert "sketch" not in columns["list-members"] + columns["lists-again"]

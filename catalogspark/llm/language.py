@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, schema_with, without
+from .common import documents, give_back, map_arrow, schema_with, without
 from .segment import span_hashes, split_words
 
 ORDER = 5
@@ -284,6 +284,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
     """Add ``lang_pred, score, rejected, bits_per_letter``. The score is the chosen language's share when costs of a dozen letters compete."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
     keep = without(df, *names)
+    give_back()  # of the sample and of the fit; the driver works on in later stages
     held = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kinds = [pa.string(), pa.float64(), pa.bool_(), pa.float64()]
 

@@ -110,3 +110,13 @@ def test_the_sample_is_bounded_by_characters(spark, table):
     sample = L.labelled_sample(table(rows), F.lit(True), sample_chars=7000)
     chars = {n: sum(len(t) for m, t in sample if m == n) for n in ("x", "y")}
     assert chars == {"x": 7000, "y": 7000}
+
+
+def test_the_driver_gives_memory_of_the_fit_back(table, monkeypatch):
+    calls = []
+    monkeypatch.setattr(L, "give_back", lambda: calls.append(1))
+    docs = table([(k, "the cat sat on the mat and looked") for k in range(8)])
+    model = L.fit(L.labelled_sample(docs, F.lit(True)))
+    assert not calls
+    L.identify(docs, model)
+    assert calls == [1]

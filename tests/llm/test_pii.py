@@ -83,8 +83,9 @@ def test_very_long_runs_take_linear_time():
 def base_spans_of_runs(text):
     """The base rules where a run of digits is tried from its first digit only, so that this check is linear too."""
     out = []
-    for m in re.finditer(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
-        out.append(("email", *m.span()))
+    for m in re.finditer(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)?", text):  # a run that no address follows is passed over whole
+        if m[1]:
+            out.append(("email", *m.span()))
     for m in re.finditer(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
         if all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in m[0].split(".")):
             out.append(("ip", *m.span()))
